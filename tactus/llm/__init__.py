@@ -1,0 +1,8 @@
+"""Operators for preparing training data; nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package installed: what a task runs travels with it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

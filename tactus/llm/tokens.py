@@ -3,22 +3,30 @@
 Both tokenizers here cut a text into pieces by a pattern and encode each piece by itself. Pieces of the word tokenizer
 never span white space, so a chunk between white space always has the same ids. The byte tokenizer puts a single space
 before a word into the word's piece; runs of white space of other kinds are encoded with the whole text.
+Chunks and pieces are remembered, each in two generations, so that what recurs stays and memory is bounded; a new piece goes
+to the tokenizer's own model. Chunks with control characters or any past Latin Extended-A go to the tokenizer as they are.
 Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 from .common import kept_by_worker
 
-#: Pieces that one worker remembers, each up to LONGEST bytes.
-REMEMBERED = 300_000
+#: Pieces that a generation remembers, each up to LONGEST characters.
+REMEMBERED = 500_000
 LONGEST = 48
+#: The pieces of the two tokenizers: fixed values, given by their files.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def vocabulary_path(name: str) -> str:
@@ -27,83 +35,96 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceIds(dict):
-    """prefix + piece -> its ids as little-endian 16-bit bytes."""
+def byte_characters() -> dict[int, int]:
+    """Byte -> code point of the character that stands for it: itself if it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in prints else next(rest) for b in range(256)}
 
-    def __init__(self, tokenizer, prefix: str):
+
+class Remembered(dict):
+    """key -> ids as little-endian 16-bit bytes; ``make`` gives them for a new key."""
+
+    def __init__(self, make: Callable):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.make, self.old = make, {}
 
-    def learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces.difference(self))
-        if not new:
-            return
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(pieces)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([self.prefix + p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, "<u2").tobytes()
+    def __missing__(self, key) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """Chunks of bytes -> ids. ``spaced`` chunks have a space before them that belongs to them."""
+
+    def __init__(self, path: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.cut, self.table = regex.compile(pieces).findall, byte_characters()
+        self.unusual = re.compile("[^\x20-\x7e\xa1-\u017f]").search
+        self.piece = Remembered(self.of_piece)
+        self.plain, self.spaced = Remembered(lambda c: self.of_chunk(c.decode("utf-8", "replace"))), Remembered(lambda c: self.of_chunk(" " + c.decode("utf-8", "replace")))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def of_piece(self, piece: str) -> bytes:
+        if not piece.isascii() or piece[0] == " ":
+            piece = piece.encode().decode("latin-1").translate(self.table)
+        return array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def of_chunk(self, chunk: str) -> bytes:
+        if self.unusual(chunk):
+            return self.whole(chunk)
+        if self.normalizer is not None:
+            chunk = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+        pieces = self.cut(chunk)
+        return self.piece[pieces[0]] if len(pieces) == 1 else b"".join(map(self.piece.__getitem__, pieces))
+
 
 class WordEncoder(Encoder):
-    """For a tokenizer whose pieces hold no white space."""
+    """For the tokenizer whose pieces hold no white space."""
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.known = PieceIds(self.tokenizer, "")
+        super().__init__(path, WORD_PIECES)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.split()
-            self.known.learn({w for w in words if len(w) <= LONGEST} if any(len(w) > LONGEST for w in words) else set(words))
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join(self.known[w] if w in self.known else self.whole(w.decode("utf-8", "replace")) for w in words))
-        return out
+        return [b"".join(map(self.plain.__getitem__, text.split())) for text in texts]
 
 
 class ByteEncoder(Encoder):
-    """For a byte-level tokenizer that joins one space to the word after it."""
+    """For the byte-level tokenizer that joins one space to the word after it."""
 
     #: White space whose cutting depends on more than the next space: long runs, runs at the end, other characters.
     odd = re.compile(r"\s{3}|\s\s\Z|[^\S \n]")
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.first, self.later = PieceIds(self.tokenizer, ""), PieceIds(self.tokenizer, " ")
+        super().__init__(path, BYTE_PIECES)
         self.newline = self.whole("\n")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
+        first, later, out = self.plain, self.spaced.__getitem__, []
         for text in texts:
             s = text.decode("utf-8", "replace")
-            lines = [] if self.odd.search(s) else [x.split(b" ") for x in text.split(b"\n")]
-            later = {w for x in lines for w in x[1:]}
-            first = {x[0] for x in lines}
-            if not lines or max(map(len, later), default=0) > LONGEST or max(map(len, first), default=0) > LONGEST:
+            if self.odd.search(s):
                 out.append(self.whole(s))
-                continue
-            self.first.learn(first)
-            self.later.learn(later)
-            a, b = self.first, self.later.__getitem__
-            a[b""] = b""
-            out.append(self.newline.join([a[x[0]] + b"".join(map(b, x[1:])) for x in lines]))
+            else:
+                lines = (x.split(b" ") for x in text.split(b"\n"))
+                out.append(self.newline.join([first[x[0]] + b"".join(map(later, x[1:])) for x in lines]))
         return out
 
 
@@ -111,8 +132,6 @@ def encoder(path: str) -> Encoder:
     """The encoder of the tokenizer file at path, one per worker."""
 
     def make() -> Encoder:
-        import json
-
         with open(path) as f:
             byte_level = json.load(f)["pre_tokenizer"]["type"] == "ByteLevel"
         return (ByteEncoder if byte_level else WordEncoder)(path)

@@ -137,13 +137,16 @@ def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stored(document_stats(docs).withColumn("base_failed", failed), "quality-stats")
     fine = stored(build_sketches(stats.where("not base_failed"), ["lang", "source"]), "quality-sketch")
-    by = {"own": (fine, ["lang", "source"]), "lang": (merge_sketches(fine, ["lang"]), ["lang"]), "all": (merge_sketches(fine, []), [])}
+    by = {"own": (fine, ["lang", "source"]), "lang": (merge_sketches(fine, ["lang"]), ["lang"])}
+    # One row: a threshold for each of the five metrics.
+    every = thresholds(merge_sketches(fine, []), []).first()
     out = stats
     for name, (sketch, keys) in by.items():
         t = thresholds(sketch, keys).select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("n_docs").alias(f"{name}_n"), F.col("t").alias(f"{name}_t"))
         # A left join by group: the side of the thresholds has a row per group.
-        out = out.join(t, [F.col(k).eqNullSafe(F.col(f"{name}_{k}")) for k in keys] if keys else F.lit(True), "left")
-    out = out.withColumn("t", F.expr(f"case when own_n >= {least} then own_t when lang_n >= {least} then lang_t else all_t end"))
+        out = out.join(t, [F.col(k).eqNullSafe(F.col(f"{name}_{k}")) for k in keys], "left")
+    all_t = F.create_map(*[F.lit(x) for kv in (every["t"] if every else {m: None for m in MARGINS}).items() for x in kv]).cast("map<string,bigint>")
+    out = out.withColumn("t", F.when(F.col("own_n") >= least, F.col("own_t")).when(F.col("lang_n") >= least, F.col("lang_t")).otherwise(all_t))
     over = [F.coalesce(c > F.col("t")[m], F.lit(False)) for m, c in metric_columns().items()]
     rejected = over[0]
     for c in over[1:]:

@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield pa.RecordBatch.from_pydict(flush(doc_ids, ids))
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    ordered = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "shard string, n_docs long, n_ids long").write.parquet(f"{path}/written")
     w = spark.read.parquet(f"{path}/written")
     # A row per shard, some tens of MB of ids each.

@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, token_files
+import corpus_pipeline
+
+from . import embedding_dedup, html_extraction, jaccard_join, mixing, packing, quality_rules, rule_classifier, secret_scan, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_substring_dedup": substring_dedup.query,
+        "op3_embedding_dedup": embedding_dedup.query,
         "op4_token_files": token_files.query,
+        "op5_rule_classifier": rule_classifier.query,
+        "op6_jaccard_join": jaccard_join.query,
         "op7_packing": packing.query,
         "op8_mixing": mixing.query,
+        "op9_html_extraction": html_extraction.query,
+        "op10_secret_scan": secret_scan.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

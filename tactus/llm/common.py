@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,6 +36,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files that no live DataFrame can read, before a step with large ones of its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]]) -> DataFrame:
     """``mapInArrow`` with short batches. ``start()`` runs once a task and returns what turns a batch into columns."""
     spark = df.sparkSession

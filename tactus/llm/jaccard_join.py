@@ -7,9 +7,11 @@ segments is *complete*: whatever is similar to it shares one. Sets that aren't c
 neighbourhoods of their segments, which count two differences each, and those for which even that is not enough meet in a
 key of their own. A pair is missed by none of this. m is allocated per band by the expected number of keys.
 
-Keys shared by few documents are expanded into pairs; in a key that many share (a common passage), only documents that
-would not be complete without such keys are paired with each other. Before that, one star per document and a first round of
-components take near-copy groups out, so that pairs are only formed across components. All pairs are verified exactly.
+A complete set with e more non-empty segments than H shares at least e of them with whatever is similar to it, so each set
+leaves out its e - 1 most common keys, in one order for all: the rarest key that two similar sets share is left out by
+neither. Passages that many documents share make common keys, so few keys are left that join documents by chance. Before that,
+one star per document and a first round of components take near-copy groups out: pairs are only formed across components.
+All pairs are verified exactly.
 
 Defined results: words `[^ \\t-\\r]+` of the text with A-Z in lower case; fewer words than a shingle has make one shingle of
 all; no words, an empty set that links with nothing (a null text too). Rows that share a doc_id are one node whose set is that
@@ -24,10 +26,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, stored, table, texts
+from .common import free_shuffles, in_batches, stored, table, texts
 from .components import components
 from .substring_dedup import mixed
 
@@ -35,8 +37,8 @@ SHINGLE = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 RATIO = 1.4
-#: Documents in a key from which on it counts as common.
-COMMON = 24
+#: Keys to spare beyond H that a scheme aims at, and what each one missing costs in chance pairs.
+SPARE, CHANCE = 0.12, 8
 
 
 def differences(a: int, b: int) -> int:
@@ -54,7 +56,7 @@ def _bands() -> list[tuple[int, int]]:
 
 
 def _segments(low: int, high: int) -> tuple[int, int]:
-    """(m, H) of a band's scheme: m with the least expected number of keys, those of incomplete sets included."""
+    """(m, H) of a band's scheme: m with the least expected cost of keys, of those of incomplete sets and of chance pairs."""
     h = differences(high, high)
     if h == 0:
         return 1, 0
@@ -64,7 +66,7 @@ def _segments(low: int, high: int) -> tuple[int, int]:
         for n in (low, (low + high) // 2, high):
             empty = m * (1 - 1 / m) ** n
             incomplete = 0.5 * math.erfc((m - h - 0.5 - empty) / (max(0.3, math.sqrt(empty)) * math.sqrt(2)))
-            cost += m + incomplete * (n + m)
+            cost += m + incomplete * (n + m) + CHANCE * max(0.0, 1 + SPARE * h - (m - h - empty))
         if best is None or cost < best[0]:
             best = (cost, m)
     return best[1], h
@@ -101,7 +103,7 @@ def shingle_set(text: bytes) -> np.ndarray:
 
 
 def keys_of(tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """For each scheme of the set: its keys, and by how many keys it is complete (0 or less: it isn't)."""
+    """For each scheme of the set: its keys; the scheme, and by how many keys the set is complete in it (0: it isn't)."""
     out = []
     for b in schemes_of(len(tokens)):
         m, h = SCHEMES[b]
@@ -121,12 +123,12 @@ def keys_of(tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
             keys += [mixed(sums ^ deletion), mixed(rest[several] ^ np.repeat(deletion, sizes)[several])]
             if np.minimum(sizes, 2).sum() <= h:
                 keys.append(mixed(np.array([b], np.uint64) + np.uint64(0xD1342543DE82EF95)))
-        out.append((np.unique(np.concatenate(keys)), spare))
+        out.append((np.unique(np.concatenate(keys)), b << 32 | max(spare, 0)))
     return out
 
 
 def sets_and_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest) of each document, stored; (key, doc_id, spare, n), lazy."""
+    """(doc_id, n_shingles, digest) of each document, stored; (key, doc_id, spare: scheme and spare keys), lazy."""
 
     def sets():
         def each(batch: pa.RecordBatch) -> dict:
@@ -137,21 +139,21 @@ def sets_and_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def keys():
         def each(batch: pa.RecordBatch) -> dict | None:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], []]
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = shingle_set(t)
                 if len(tokens):
                     for k, spare in keys_of(tokens):
-                        for c, x in zip(cols, (k.view(np.int64), np.full(len(k), d), np.full(len(k), spare), np.full(len(k), len(tokens))), strict=True):
+                        for c, x in zip(cols, (k.view(np.int64), np.full(len(k), d), np.full(len(k), spare)), strict=True):
                             c.append(x)
             if not cols[0]:
                 return None
-            k, d, spare, n = (np.concatenate(c) for c in cols)
-            return {"key": k, "doc_id": d.astype(np.int64), "spare": spare.astype(np.int32), "n": n.astype(np.int32)}
+            k, d, spare = (np.concatenate(c) for c in cols)
+            return {"key": k, "doc_id": d.astype(np.int64), "spare": spare.astype(np.int64)}
 
         return each
 
-    return stored(in_batches(docs, "doc_id long, n_shingles long, digest binary", sets), "jaccard-sets"), in_batches(docs, "key long, doc_id long, spare int, n int", keys)
+    return stored(in_batches(docs, "doc_id long, n_shingles long, digest binary", sets), "jaccard-sets"), in_batches(docs, "key long, doc_id long, spare long", keys)
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -159,10 +161,10 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
     def run(batches):
         held: list[np.ndarray] | None = None  # rows of the last key; only its first and last are needed to go on
-        names = ["key", "doc_id", "spare", "n", "first"]
+        names = ["key", "doc_id", "spare", "first"]
         last_key = last_first = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in names[:4]]
+            cols = [batch.column(c).to_numpy() for c in names[:3]]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             k = cols[0]
@@ -175,8 +177,6 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             emit = np.flatnonzero(alike[:-1]) if len(k) > 1 else np.empty(0, np.int64)
             last_key, last_first = k[-1], first[-1]
             held = [c[-1:] for c in cols]
-            if len(k) > 1 and k[-2] == k[-1] and cols[1][-1] == first[-1]:
-                last_first = first[-1]
             if len(emit):
                 yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in (*cols, first)], names)
             tail_alike = bool(alike[-1])
@@ -184,7 +184,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held, np.array([last_first], np.int64))], names)
 
     keys.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, doc_id long, spare int, n int, first long")
+    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, doc_id long, spare long, first long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -228,18 +228,16 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return in_batches(both.select("a", "b", "za", "zb"), "a long, b long", start)
 
 
-def cross_pairs(shared: DataFrame, label: DataFrame, seen: DataFrame) -> DataFrame:
+def cross_pairs(shared: DataFrame, sets: DataFrame, label: DataFrame, seen: DataFrame) -> DataFrame:
     """Candidate pairs across components that no earlier round has verified."""
     s = shared.join(label, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
     open_keys = s.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-    s = stored(s.join(open_keys, "key").select("key", "doc_id", "spare", "n", "c", "size"), "jaccard-open")
-    # Without its common keys, is a set still complete? (spare is the same in all rows of a set's scheme.)
-    common = s.where(F.col("size") > COMMON)
-    lost = common.groupBy("doc_id", "spare").agg(F.count("*").alias("lost"))
-    weak = common.join(lost, ["doc_id", "spare"]).where(F.col("spare") - F.col("lost") <= 0).select(*s.columns)
-    live = s.where(F.col("size") <= COMMON).unionByName(weak)
-    a = live.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = live.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    s = stored(s.join(open_keys, "key").select("key", "doc_id", "spare", "c", "size"), "jaccard-open")
+    # All keys that two sets in different components share are open, so each set may leave out its most common ones.
+    rank = F.row_number().over(Window.partitionBy("doc_id", "spare").orderBy(F.desc("size"), "key"))
+    live = s.withColumn("rank", rank).where(F.col("rank") >= F.col("spare") % 2**32).select("key", "doc_id", "c")
+    live = stored(live.join(sets.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id"), "jaccard-live")
+    a, b = (live.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
     return pairs.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
 
@@ -251,6 +249,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     copies = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("b"))
     same = sets.join(copies, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
     shared = stored(shared_keys(keys), "jaccard-shared")
+    free_shuffles(docs.sparkSession)
     one = nodes.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(sets) else nodes.where("doc_id is not null")
     # Round 1: each document and the first one that it shares most keys with, unless they are copies.
     star = shared.where("doc_id != first").groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b")).select(F.col("doc_id").alias("a"), "b")
@@ -258,7 +257,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     links = stored(similar(star, one).unionByName(same), "jaccard-links")
     # Round 2: what is left across components; of copies, one stands for all.
     alone = shared.join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    more = stored(cross_pairs(alone, components(links).withColumnRenamed("id", "doc_id"), star), "jaccard-pairs")
+    more = stored(cross_pairs(alone, sets, components(links).withColumnRenamed("id", "doc_id"), star), "jaccard-pairs")
     links = links.unionByName(stored(similar(more, one), "jaccard-links"))
     label = components(links).withColumnRenamed("id", "doc_id")
     return sets.select("doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).unionByName(

@@ -26,13 +26,15 @@ def qrs_chain(s: Stream, taps: list[int], bucket: int = BUCKET) -> DataFrame:
     """(n, f0.., bp, d, sq, mwi, thr): band pass, derivative, square, short and long averages, all in one shuffle."""
     halo = len(taps) + len(DERIVATIVE) + SHORT + LONG - 4
     w = Window.partitionBy("bucket").orderBy("p")
-    over = lambda size: w.rowsBetween(-(size - 1), 0)
     b = in_buckets(s.df.withColumnRenamed("n", "p"), 1, halo + 1, bucket)
     b = b.withColumn("bp", idiv(weighted("f0", taps, w), 1000))
     b = b.withColumn("d", weighted("bp", DERIVATIVE, w))
     b = b.withColumn("sq", idiv(F.col("d") * F.col("d"), 1000))
-    b = b.withColumn("mwi", F.when(F.count("sq").over(over(SHORT)) == SHORT, idiv(F.sum("sq").over(over(SHORT)), SHORT)))
-    b = b.withColumn("thr", F.when(F.count("mwi").over(over(LONG)) == LONG, idiv(F.sum("mwi").over(over(LONG)), LONG)))
+    for name, of, size in (("mwi", "sq", SHORT), ("thr", "mwi", LONG)):
+        # Running sums of integers are exact, so a window is a difference of two.
+        b = b.withColumn("run", F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        b = b.withColumn("moved", F.col("run") - F.coalesce(F.lag("run", size).over(w), F.lit(0)))
+        b = b.withColumn(name, F.when(F.lag(of, size - 1).over(w).isNotNull(), idiv(F.col("moved"), size)))
     return b.where(f"thr is not null and p div {bucket} = bucket").withColumnRenamed("p", "n").drop("bucket")
 
 

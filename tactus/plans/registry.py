@@ -254,7 +254,7 @@ query("corpus_diff", f"WITH {CHANGED} SELECT CASE WHEN r.doc_id IS NULL THEN 'on
 STATUS = "CASE l_linenumber % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'open' ELSE 'pass' END"
 query("status_transitions", "WITH a AS (SELECT doc_id, ['fail', 'open', 'pass'][(n_chars % 3)::INT + 1] AS b, ['fail', 'open', 'pass'][((n_chars + doc_id) % 3)::INT + 1] AS a FROM documents) SELECT b AS before, a AS after, count(*) AS n, CASE WHEN a > b THEN 'improvement' WHEN a < b THEN 'regression' ELSE 'same' END AS kind FROM a GROUP BY 1, 2")(lambda s, d: _transitions(s, d))
 query("reconcile", f"WITH {CHANGED} SELECT doc_id, 'only_a' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r) UNION ALL SELECT doc_id, 'only_b' FROM r WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'differs' FROM documents d JOIN r USING (doc_id) WHERE d.n_chars <> r.n_chars")(lambda s, d: quality.reconcile(table(s, d, "documents"), _changed(s, d), "doc_id", "n_chars"))
-query("set_equality", "WITH a AS (SELECT DISTINCT l_returnflag AS f, l_linenumber AS k FROM lineitem WHERE l_extendedprice > 103000), b AS (SELECT DISTINCT l_returnflag AS f, l_linenumber AS k FROM lineitem WHERE l_linestatus = 'O' OR l_linenumber < 5) SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")(lambda s, d: quality.set_equality(*[table(s, d, "lineitem").where(c).select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("k")).distinct() for c in ("l_extendedprice > 103000", "l_linestatus = 'O' or l_linenumber < 5")]))
+query("set_equality", "WITH a AS (SELECT DISTINCT l_returnflag AS f, l_linenumber AS k FROM lineitem WHERE l_linenumber <= 5), b AS (SELECT DISTINCT l_returnflag AS f, l_linenumber AS k FROM lineitem WHERE l_linenumber >= 3 AND l_returnflag <> 'A') SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")(lambda s, d: quality.set_equality(*[table(s, d, "lineitem").where(c).select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("k")).distinct() for c in ("l_linenumber <= 5", "l_linenumber >= 3 and l_returnflag <> 'A'")]))
 query("checksum_consistency", "SELECT event_type, count(DISTINCT md5(props)) AS variants, count(*) AS checked FROM events GROUP BY 1 HAVING count(DISTINCT md5(props)) > 1")(lambda s, d: quality.inconsistent(table(s, d, "events").withColumn("digest", F.md5("props")), ["event_type"], ["digest"]))
 query("rate_consistency", "SELECT l_orderkey, count(DISTINCT (l_returnflag, l_linestatus)) AS variants, count(*) AS checked FROM lineitem GROUP BY 1 HAVING count(DISTINCT (l_returnflag, l_linestatus)) > 1")(lambda s, d: quality.inconsistent(table(s, d, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"]))
 query("set_diff_counts", "WITH bad AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), x AS (SELECT l_suppkey, l_partkey, max((l_linestatus = 'F')::INT) AS x, max((l_linestatus = 'O')::INT) AS y FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM bad) GROUP BY 1, 2) SELECT l_suppkey, count(*) FILTER (WHERE y > x) AS added, count(*) FILTER (WHERE x > y) AS removed, sum(y - x)::BIGINT AS net FROM x GROUP BY 1")(lambda s, d: quality.set_difference_counts(table(s, d, "lineitem"), "l_suppkey", "l_partkey", "l_linestatus", "F", "O", F.expr("l_quantity >= 50 and l_discount >= 0.1")))

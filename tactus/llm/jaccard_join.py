@@ -11,7 +11,8 @@ A complete set with e more non-empty segments than H shares at least e of them w
 leaves out its e - 1 most common keys, in one order for all: the rarest key that two similar sets share is left out by
 neither. Passages that many documents share make common keys, so few keys are left that join documents by chance. Before that,
 one star per document and a first round of components take near-copy groups out: pairs are only formed across components.
-All pairs are verified exactly.
+Parity sketches, whose bits bound the differences of two sets from below, drop most of the rest. All
+pairs that remain are verified exactly.
 
 Defined results: words `[^ \\t-\\r]+` of the text with A-Z in lower case; fewer words than a shingle has make one shingle of
 all; no words, an empty set that links with nothing (a null text too). Rows that share a doc_id are one node whose set is that
@@ -39,6 +40,10 @@ PERCENT = 80
 RATIO = 1.4
 #: Keys to spare beyond H that a scheme aims at, and what each one missing costs in chance pairs.
 SPARE, CHANCE = 0.12, 8
+#: Bits of the filter that keeps documents in no pair out of a shuffle.
+FILTER_BITS = 1 << 22
+#: Bits of a set's parity sketch.
+SKETCH = 512
 
 
 def differences(a: int, b: int) -> int:
@@ -102,6 +107,11 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(mixed(h))
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """Parities of the tokens' hashes in SKETCH cells, as words. Sets differ in at least as many elements as their sketches in bits."""
+    return np.packbits((np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def keys_of(tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """For each scheme of the set: its keys; the scheme, and by how many keys the set is complete in it (0: it isn't)."""
     out = []
@@ -128,12 +138,12 @@ def keys_of(tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def sets_and_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest) of each document, stored; (key, doc_id, spare: scheme and spare keys), lazy."""
+    """(doc_id, n_shingles, digest, sketch) of each document, stored; (key, doc_id, spare: scheme and spare keys), lazy."""
 
     def sets():
         def each(batch: pa.RecordBatch) -> dict:
             found = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(s) for s in found], pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], pa.binary())}
+            return {"doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(s) for s in found], pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], pa.binary()), "sketch": pa.array([sketch(s) for s in found], pa.list_(pa.int64()))}
 
         return each
 
@@ -153,7 +163,7 @@ def sets_and_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return each
 
-    return stored(in_batches(docs, "doc_id long, n_shingles long, digest binary", sets), "jaccard-sets"), in_batches(docs, "key long, doc_id long, spare long", keys)
+    return stored(in_batches(docs, "doc_id long, n_shingles long, digest binary, sketch array<long>", sets), "jaccard-sets"), in_batches(docs, "key long, doc_id long, spare long", keys)
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -187,19 +197,38 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, doc_id long, spare long, first long")
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def marks(ids: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits with those of the ids set: at most FILTER_BITS / 64 rows come to the driver, whatever the input."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(bit.cast("int").alias("bit")).selectExpr("bit div 64 as at", "shiftleft(1L, bit % 64) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Compressed texts of the documents with these ids, and of a few more that the filter doesn't tell from them."""
+    wanted = marks(ids)
+
     def start():
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3).compress
-        return lambda batch: {"doc_id": batch.column("doc_id"), "z": pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())}
 
-    return in_batches(docs, "doc_id long, z binary", start)
+        def each(batch: pa.RecordBatch) -> dict:
+            at = batch.column("at").to_numpy()
+            keep = np.flatnonzero((wanted[at // 64] >> (at % 64)) & 1)
+            few = batch.take(pa.array(keep))
+            return {"doc_id": few.column("doc_id"), "z": pa.array([press(t) for t in few.column("text").to_pylist()], pa.binary())}
+
+        return each
+
+    return in_batches(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), "doc_id long, z binary", start)
 
 
 def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are similar, compared as whole sets."""
-    z = packed(docs)
+    z = packed(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(z.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
 
     def start():
@@ -228,17 +257,32 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return in_batches(both.select("a", "b", "za", "zb"), "a long, b long", start)
 
 
-def cross_pairs(shared: DataFrame, sets: DataFrame, label: DataFrame, seen: DataFrame) -> DataFrame:
-    """Candidate pairs across components that no earlier round has verified."""
+def open_rows(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of the keys that join different components, with the component and the key's size."""
     s = shared.join(label, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
-    open_keys = s.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-    s = stored(s.join(open_keys, "key").select("key", "doc_id", "spare", "c", "size"), "jaccard-open")
+    keys = s.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
+    return stored(s.join(keys, "key").select("key", "doc_id", "spare", "c", "size"), "jaccard-open")
+
+
+def hub_pairs(s: DataFrame) -> DataFrame:
+    """For each document, the hub of another component that it shares most keys with: in a key, the one with most open keys."""
+    degree = s.groupBy("doc_id").agg(F.count("*").alias("degree"))
+    hubs = s.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "c")).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.c").alias("hub_c"))
+    votes = s.join(hubs, "key").where("c != hub_c").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
+    best = votes.groupBy("doc_id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    return best.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+
+
+def cross_pairs(s: DataFrame, sets: DataFrame, seen: DataFrame) -> DataFrame:
+    """Candidate pairs across components that no earlier round has verified."""
     # All keys that two sets in different components share are open, so each set may leave out its most common ones.
     rank = F.row_number().over(Window.partitionBy("doc_id", "spare").orderBy(F.desc("size"), "key"))
     live = s.withColumn("rank", rank).where(F.col("rank") >= F.col("spare") % 2**32).select("key", "doc_id", "c")
-    live = stored(live.join(sets.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id"), "jaccard-live")
-    a, b = (live.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
+    live = stored(live.join(sets.select("doc_id", F.col("n_shingles").alias("n"), "sketch").distinct(), "doc_id"), "jaccard-live")
+    a, b = (live.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    apart = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    most = F.floor((100 - PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT))
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart <= most) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
     return pairs.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
 
 
@@ -255,12 +299,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     star = shared.where("doc_id != first").groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b")).select(F.col("doc_id").alias("a"), "b")
     star = stored(star.join(same, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-stars")
     links = stored(similar(star, one).unionByName(same), "jaccard-links")
-    # Round 2: what is left across components; of copies, one stands for all.
+    # Round 2: the same with hubs, as copies of one text with different changes are like it rather than one another. Of copies, one stands for all.
     alone = shared.join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    more = stored(cross_pairs(alone, sets, components(links).withColumnRenamed("id", "doc_id"), star), "jaccard-pairs")
+    label = lambda: components(links).withColumnRenamed("id", "doc_id")
+    hubs = stored(hub_pairs(open_rows(alone, label())).join(star, ["a", "b"], "left_anti"), "jaccard-stars")
+    links = links.unionByName(stored(similar(hubs, one), "jaccard-links"))
+    # Round 3: all that is left across components.
+    more = stored(cross_pairs(open_rows(alone, label()), sets, star.unionByName(hubs)), "jaccard-pairs")
     links = links.unionByName(stored(similar(more, one), "jaccard-links"))
-    label = components(links).withColumnRenamed("id", "doc_id")
-    return sets.select("doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).unionByName(
+    return sets.select("doc_id", "n_shingles").join(label(), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).unionByName(
         in_null(nodes)
     )
 

@@ -121,14 +121,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole; one taken for part of a copy has its words cut to that part."""
-    m = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max_by(F.struct("size", "taken"), "taken").alias("m"))
+    m = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max_by(F.struct("size", "taken"), "taken").alias("_mixed"))
     d = docs.join(m, "doc_id")
-    whole = F.col("m.taken") / F.col("m.size")
-    rest = F.col("m.taken") % F.col("m.size")
+    whole = F.col("_mixed.taken") / F.col("_mixed.size")
+    rest = F.col("_mixed.taken") % F.col("_mixed.size")
     parts = F.concat(F.array_repeat(F.lit(None).cast("long"), F.floor(whole).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    d = d.withColumn("cut", F.explode(parts))
+    d = d.withColumn("_cut", F.explode(parts))
     # The first `cut` words with the white space before each.
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, F.col("cut").cast("int")), "")
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(head)
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, F.col("_cut").cast("int")), "")
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(head)
     d = d.withColumn("text", text)
     return (d.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else d).select(*docs.columns)

@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document's hashed vector (its tokens, projected by a fixed pseudo-random matrix) is a point in four dimensions;
+Each document's hashed vector (counts of its ids by cell), projected by a fixed pseudo-random matrix, is a point in four dimensions;
 documents are range-sorted by the point's Hilbert key, so that neighbours on the curve have like contents; each range is
 packed in that order, cut where a sequence is full. What is left at the end of a range goes into sequences whose lengths are
 powers of two, which need no padding.
@@ -24,14 +24,21 @@ from .tokens import encoder, ids_crc32, vocabulary_path
 END_ID = 0
 LENGTH = 1024
 DIMENSIONS, BITS = 4, 12
+#: Cells that a document vector is hashed to.
+CELLS = 1024
 
 
-def projection(n_ids: int = 1 << 16, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Pseudo-random signs and sizes in [-1, 1) for each id and dimension, from a multiplicative hash."""
+def projection(cells: int = CELLS, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Pseudo-random signs and sizes in [-1, 1) for each cell and dimension, from a multiplicative hash."""
     with np.errstate(over="ignore"):
-        z = np.arange(1, n_ids * dimensions + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = np.arange(1, cells * dimensions + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return ((z >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).reshape(n_ids, dimensions)
+    return ((z >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).reshape(cells, dimensions)
+
+
+def point(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The document's vector, ids counted by the hash id mod CELLS, projected and scaled to its length."""
+    return np.bincount(ids % len(matrix), minlength=len(matrix)) @ matrix / len(ids)
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -68,7 +75,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> dict:
             ids = [x + end for x in encode(batch.column("text").to_pylist())]
-            points = np.array([matrix[np.frombuffer(x, "<u2")].mean(axis=0) for x in ids]).reshape(-1, DIMENSIONS)
+            points = np.array([point(np.frombuffer(x, "<u2"), matrix) for x in ids]).reshape(-1, DIMENSIONS)
             cells = np.clip((0.5 + 0.5 * np.tanh(4 * points)) * (1 << BITS), 0, (1 << BITS) - 1)
             return {"doc_id": batch.column("doc_id"), "hilbert": hilbert_keys(cells), "ids": pa.array(ids, pa.binary())}
 

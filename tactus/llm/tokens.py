@@ -77,7 +77,7 @@ class Encoder:
         self.cut, self.table = regex.compile(pieces).findall, byte_characters()
         self.unusual = re.compile("[^\x20-\x7e\xa1-\u017f]").search
         self.piece = Remembered(self.of_piece)
-        self.plain, self.spaced = Remembered(lambda c: self.of_chunk(c.decode("utf-8", "replace"))), Remembered(lambda c: self.of_chunk(" " + c.decode("utf-8", "replace")))
+        self.plain, self.spaced = Remembered(lambda c: self.of_chunk(c.decode("utf-8", "replace"))), Remembered(self.of_spaced)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -95,6 +95,10 @@ class Encoder:
         pieces = self.cut(chunk)
         return self.piece[pieces[0]] if len(pieces) == 1 else b"".join(map(self.piece.__getitem__, pieces))
 
+    def of_spaced(self, chunk: bytes) -> bytes:
+        """Ids of a chunk with its space."""
+        return self.of_chunk(" " + chunk.decode("utf-8", "replace"))
+
 
 class WordEncoder(Encoder):
     """For the tokenizer whose pieces hold no white space."""
@@ -111,10 +115,21 @@ class ByteEncoder(Encoder):
 
     #: White space whose cutting depends on more than the next space: long runs, runs at the end, other characters.
     odd = re.compile(r"\s{3}|\s\s\Z|[^\S \n]")
+    #: Marks that are a piece of their own after a word, as no contraction begins with them.
+    marks = frozenset(bytes([c]) for c in b".,;:!?")
 
     def __init__(self, path: str):
         super().__init__(path, BYTE_PIECES)
         self.newline = self.whole("\n")
+        self.space = self.table[32]
+
+    def of_spaced(self, chunk: bytes) -> bytes:
+        """Ids of a chunk with its space; a word of ASCII letters is one piece, and a mark after it another."""
+        if chunk.isalpha():
+            return array("H", [t.id for t in self.model.tokenize(chr(self.space) + chunk.decode())]).tobytes()
+        if chunk[-1:] in self.marks and chunk[:-1].isalpha():
+            return self.spaced[chunk[:-1]] + self.plain[chunk[-1:]]
+        return self.of_chunk(" " + chunk.decode("utf-8", "replace"))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         first, later, out = self.plain, self.spaced.__getitem__, []

@@ -1,12 +1,11 @@
 """Main text of web pages by template deduction.
 
-A page is cut into tokens: its tags with their classes, and its blocks of text. Over the pages of a host, every token has an
-occurrence vector (how often it is on each page); tokens with equal vectors form an equivalence class. A class whose vector
-covers enough pages, and whose tokens follow one another in one order on all of them, is valid; valid classes nest into the
-host's template. Vectors are compared by sums of hashes of (page, count), which merge, so a host of any size is a partial
-aggregate. What the template doesn't hold are slots; of these the main text keeps the article's, or, without an article, the
-body's, and neither those in menus, headers, footers, asides, forms, scripts, comments and the like, whose tags or classes
-say so.
+A page is cut into tokens: its blocks of text, each with the path of tags and classes around it. Over the pages of a host,
+every token has an occurrence vector; tokens that come once a page and have equal vectors form an equivalence class, which is
+valid if its vector covers enough pages. Vectors are compared by a merged hash of their pages, so a host of any size is a
+partial aggregate. What is left of a page without the template's tokens are slots; of these the main text keeps the article's,
+or, if none is left there, the body's, and neither those in menus, headers, footers, asides, forms, scripts, comments and the
+like, whose tags or classes say so.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; a page without blocks, an empty
 string; unclosed and stray tags are read as browsers do for the elements here; rows that share a page_id are pages of their
@@ -18,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -105,47 +105,64 @@ def host_column(url: str = "url"):
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """A row per page: page_id, url, host, page (a hash of the row) and its blocks."""
+    """A row per page: page_id, url, host and digest (hashes of the host and of the blocks) and its blocks.
+
+    A block is its token (a hash of path and text), whether that comes once on the page, its text (null in boilerplate, whose
+    text nothing reads) and whether it is inside an article.
+    """
 
     def start():
-        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("main", pa.bool_()), ("bad", pa.bool_())]))
+        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("main", pa.bool_()), ("bad", pa.bool_()), ("once", pa.bool_())]))
 
         def each(batch: pa.RecordBatch) -> dict:
-            found = [[dict(zip(("path", "text", "main", "bad"), b, strict=True)) for b in blocks(raw.decode("utf-8", "replace"))] for raw in batch.column("html").to_pylist()]
-            return {c: batch.column(c) for c in ("page_id", "url", "host", "page")} | {"blocks": pa.array(found, kind)}
+            found = []
+            for raw in batch.column("html").to_pylist():
+                page = blocks(raw.decode("utf-8", "replace"))
+                times = Counter((b[0], b[1]) for b in page)
+                found.append([{"path": p, "text": t, "main": m, "bad": bad, "once": times[p, t] == 1} for p, t, m, bad in page])
+            return {c: batch.column(c) for c in ("page_id", "url")} | {"blocks": pa.array(found, kind)}
 
         return each
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_column().alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    return in_batches(rows, "page_id long, url string, host string, page long, blocks array<struct<path:string,text:string,main:boolean,bad:boolean>>", start)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
+    found = in_batches(rows, "page_id long, url string, blocks array<struct<path:string,text:string,main:boolean,bad:boolean,once:boolean>>", start)
+    found = found.withColumn("blocks", F.expr("transform(blocks, b -> struct(xxhash64(b.path, b.text) as token, b.once, if(b.bad, null, b.text) as text, b.main))"))
+    return found.select("page_id", "url", F.xxhash64(host_column()).alias("host"), F.xxhash64("blocks.token").alias("digest"), "blocks")
+
+
+def grouped(tokens: DataFrame, name: str) -> DataFrame:
+    """(host, classes): a row per host with its classes, each with the tokens in order of rank. Bounded by a page's blocks."""
+    c = tokens.groupBy("host", "vector").agg(F.max("on").alias("on"), F.sort_array(F.collect_list(F.struct("rank", "token", "shown"))).alias("t"))
+    c = c.select("host", F.struct("on", "vector", F.col("t.token").alias("tokens"), F.col("t.shown").alias("shown")).alias("c"))
+    return stored(c.groupBy("host").agg(F.collect_list("c").alias("classes")), name)
+
+
+def covering(contents: DataFrame) -> DataFrame:
+    """(host, token, vector, on, shown): the tokens that come once a content and are on enough of the host's contents."""
+    size = contents.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    tokens = contents.select("host", F.xxhash64("digest").alias("mark"), F.explode("blocks").alias("b")).select("host", "mark", "b.*")
+    # As each content counts once, the exclusive or of their hashes stands for the set of them.
+    vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("on"), F.bit_xor("mark").alias("vector"), F.bool_and("once").alias("once"), F.bool_or("shown").alias("shown"))
+    enough = vectors.where(F.col("once") & (F.col("on") >= LEAST_PAGES)).join(size, "host")
+    return enough.where(100 * F.col("on") >= LEAST_SHARE * F.col("pages")).select("host", "token", "vector", "on", "shown")
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """(host, token): the tokens of each host's template. A token is the hash of a block outside articles with its path."""
-    size = parsed.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    tokens = parsed.select("host", "page", F.posexplode("blocks").alias("at", "b")).where("not b.main").select("host", "page", F.xxhash64("b.path", "b.text").alias("token"), "at")
-    per_page = tokens.groupBy("host", "page", "token").agg(F.count("*").alias("times"), F.min("at").alias("at"))
-    vectors = per_page.groupBy("host", "token").agg(F.count("*").alias("on"), F.sum(F.xxhash64("page", "times").cast("decimal(38,0)")).alias("vector"), F.sum("at").alias("ats"), F.max("times").alias("times"))
-    covered = vectors.join(size, "host").where((F.col("on") >= LEAST_PAGES) & (100 * F.col("on") >= LEAST_SHARE * F.col("pages")))
-    # In a valid class each token comes once a page, at places that don't coincide with another's on all pages.
-    classes = covered.groupBy("host", "vector").agg(F.max("times").alias("most"), F.count("*").alias("tokens"), F.count_distinct("ats").alias("places"))
-    valid = classes.where("most = 1 and places = tokens").select("host", "vector")
-    return covered.join(valid, ["host", "vector"]).select("host", "token")
+    """(host, tokens): the tokens of each host's template that aren't boilerplate already."""
+    contents = parsed.select("host", F.monotonically_increasing_id().alias("digest"), F.expr("transform(blocks, b -> struct(b.token, b.once, b.text is not null as shown))").alias("blocks"))
+    contents = stored(contents, "html-contents")
+    classes = grouped(covering(contents).withColumn("rank", F.lit(0)), "html-classes")
+    t = classes.select("host", F.explode("classes").alias("c")).select("host", F.explode(F.arrays_zip("c.tokens", "c.shown")).alias("t")).where("t.shown")
+    return stored(t.groupBy("host").agg(F.collect_list("t.tokens").alias("tokens")), "html-templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages."""
     parsed = stored(page_blocks(pages), "html-blocks")
-    has_main = F.expr("exists(blocks, b -> b.main and not b.bad)")
-    text = lambda keep: F.array_join(F.transform(F.expr(keep), lambda b: b["text"]), "\n")
-    # An article's slots need no template; of other pages, (host, token) spreads those of a large host over all tasks.
-    article = parsed.where(has_main).select("page_id", "url", text("filter(blocks, b -> b.main and not b.bad)").alias("text"))
-    rest = parsed.where(~has_main)
-    tokens = rest.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", F.xxhash64("b.path", "b.text").alias("token"))
-    found = tokens.join(templates(parsed), ["host", "token"]).groupBy("page").agg(F.collect_set("token").alias("template"))
-    keep = "filter(blocks, b -> not b.bad and not coalesce(array_contains(template, xxhash64(b.path, b.text)), false))"
-    other = rest.join(found, "page", "left").select("page_id", "url", text(keep).alias("text"))
-    return article.unionByName(other).withColumn("n_chars", F.length("text").cast("long"))
+    # A row per host, which is broadcast while small: the pages' texts aren't shuffled.
+    slots = parsed.join(templates(parsed), "host", "left").select("page_id", "url", F.expr("filter(blocks, b -> b.text is not null and not coalesce(array_contains(tokens, b.token), false))").alias("slots"))
+    main = F.expr("if(exists(slots, b -> b.main), filter(slots, b -> b.main), slots)")
+    return slots.select("page_id", "url", F.array_join(F.transform(main, lambda b: b["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,3 +168,12 @@ def test_html(spark):
     assert got[1].text == "T & U\na b\nc d" and got[2].text == "" and got[3].text == "main text" and got[3].n_chars == 9
     shared = [(i, f"http://t/{i}", f"<div>site name</div><div>text {i}</div><div>bottom line</div>", "") for i in range(6)]
     assert {r.text for r in html_extraction.extract(spark.createDataFrame(shared, "page_id long, url string, html string, path string")).collect()} == {f"text {i}" for i in range(6)}
+
+
+def html_texts(spark, bodies):
+    rows = [(i, f"http://t/{i}", b, "") for i, b in enumerate(bodies)]
+    return [r.text for r in sorted(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, path string")).collect())]
+
+
+def test_html_template_inside_articles(spark):
+    assert html_texts(spark, [f"<article><p>text {i}</p><p>shared notice</p></article>" for i in range(6)]) == [f"text {i}" for i in range(6)]

@@ -1,11 +1,12 @@
 """Main text of web pages by template deduction.
 
-A page is cut into tokens: its blocks of text, each with the path of tags and classes around it. Over the pages of a host,
-every token has an occurrence vector; tokens that come once a page and have equal vectors form an equivalence class, which is
-valid if its vector covers enough pages. Vectors are compared by a merged hash of their pages, so a host of any size is a
-partial aggregate. What is left of a page without the template's tokens are slots; of these the main text keeps the article's,
-or, if none is left there, the body's, and neither those in menus, headers, footers, asides, forms, scripts, comments and the
-like, whose tags or classes say so.
+A page is cut into tokens: its blocks of text, each with the path of tags and classes around it. Over the contents of a host
+(pages with equal blocks are one), every token has an occurrence vector; tokens that come once a page and have equal vectors
+form an equivalence class. Of a class whose vector covers enough contents, the tokens that keep their rank in it on all of
+them are valid. Classes must nest: of two that cross, the one on fewer contents is dropped. Vectors are compared by a merged
+hash of their contents, so a host of any size is a partial aggregate. What is left of a page without the template's tokens
+are slots; of these the main text keeps the article's, or, if none is left there, the body's, and neither those in menus,
+headers, footers, asides, forms, scripts, comments and the like, whose tags or classes say so.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; a page without blocks, an empty
 string; unclosed and stray tags are read as browsers do for the elements here; rows that share a page_id are pages of their
@@ -147,13 +148,44 @@ def covering(contents: DataFrame) -> DataFrame:
     return enough.where(100 * F.col("on") >= LEAST_SHARE * F.col("pages")).select("host", "token", "vector", "on", "shown")
 
 
+def ordered(contents: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes' tokens that have the same rank in their class on all contents, with that rank."""
+    x = contents.select("host", F.col("blocks.token").alias("page")).join(classes, "host").select("host", "page", F.explode("classes").alias("c"))
+    x = x.select("host", "c.vector", F.posexplode(F.array_intersect("page", "c.tokens")).alias("rank", "token"))
+    x = x.groupBy("host", "vector", "token").agg(F.min("rank").alias("rank"), F.max("rank").alias("last")).where("rank = last")
+    info = classes.select("host", F.explode("classes").alias("c")).select("host", "c.vector", "c.on", F.explode(F.arrays_zip("c.tokens", "c.shown")).alias("t"))
+    return x.join(info.select("host", "vector", "on", F.col("t.tokens").alias("token"), F.col("t.shown").alias("shown")), ["host", "vector", "token"]).select("host", "token", "vector", "on", "shown", "rank")
+
+
+def nested(contents: DataFrame, classes: DataFrame) -> DataFrame:
+    """(host, tokens): the shown tokens of the classes that nest.
+
+    Two classes nest if on every content one of them lies between two neighbours, or outside, of the other. Of two that
+    don't, the one on more contents stays.
+    """
+    c = classes.select("host", F.explode("classes").alias("c"))
+    many = c.where("size(c.tokens) > 1")
+    pairs = many.withColumnRenamed("c", "a").join(many.withColumnRenamed("c", "b"), "host").where("struct(a.on, a.vector) > struct(b.on, b.vector)")
+    pairs = stored(pairs.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "html-pairs")
+    x = contents.select("host", F.col("blocks.token").alias("page")).join(pairs, "host").select("host", "page", F.explode("pairs").alias("p")).select("host", "page", "p.*")
+    x = x.withColumn("both", F.array_intersect("page", F.concat("a.tokens", "b.tokens")))
+    together = lambda k: f"(array_position(both, element_at({k}.tokens, -1)) - array_position(both, {k}.tokens[0]) = greatest(size({k}.tokens) - 1, 0) or not array_contains(both, {k}.tokens[0]))"
+    cross = x.where(f"not ({together('a')} or {together('b')})").select("host", F.expr("-a.on as less"), F.col("a.vector").alias("a"), F.col("b.vector").alias("b")).distinct()
+    gone = cross.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("less", F.expr("-1 * cast(a as decimal(20, 0)) as down"), "a", "b"))).alias("x"))
+    # From the class on most contents on: a class that is gone takes no other with it.
+    gone = gone.select("host", F.expr("aggregate(x, cast(array() as array<bigint>), (g, p) -> if(array_contains(g, p.a), g, array_union(g, array(p.b))))").alias("gone"))
+    stay = c.join(gone, "host", "left").where("not coalesce(array_contains(gone, c.vector), false)")
+    t = stay.select("host", F.explode(F.arrays_zip("c.tokens", "c.shown")).alias("t")).where("t.shown")
+    return stored(t.groupBy("host").agg(F.collect_list("t.tokens").alias("tokens")), "html-templates")
+
+
 def templates(parsed: DataFrame) -> DataFrame:
     """(host, tokens): the tokens of each host's template that aren't boilerplate already."""
-    contents = parsed.select("host", F.monotonically_increasing_id().alias("digest"), F.expr("transform(blocks, b -> struct(b.token, b.once, b.text is not null as shown))").alias("blocks"))
-    contents = stored(contents, "html-contents")
+    # Copies of a page under other urls are one content.
+    contents = parsed.select("host", "digest", F.expr("transform(blocks, b -> struct(b.token, b.once, b.text is not null as shown))").alias("blocks"))
+    contents = stored(contents.dropDuplicates(["host", "digest"]), "html-contents")
     classes = grouped(covering(contents).withColumn("rank", F.lit(0)), "html-classes")
-    t = classes.select("host", F.explode("classes").alias("c")).select("host", F.explode(F.arrays_zip("c.tokens", "c.shown")).alias("t")).where("t.shown")
-    return stored(t.groupBy("host").agg(F.collect_list("t.tokens").alias("tokens")), "html-templates")
+    return nested(contents, grouped(ordered(contents, classes), "html-ordered"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -177,3 +177,20 @@ def html_texts(spark, bodies):
 
 def test_html_template_inside_articles(spark):
     assert html_texts(spark, [f"<article><p>text {i}</p><p>shared notice</p></article>" for i in range(6)]) == [f"text {i}" for i in range(6)]
+
+
+def test_html_copies_are_one_content(spark):
+    assert html_texts(spark, ["<div>one</div><div>two</div>"] * 6) == ["one\ntwo"] * 6
+
+
+def test_html_template_keeps_order(spark):
+    swap = lambda i: "<div>b</div><div>c</div>" if i % 2 else "<div>c</div><div>b</div>"
+    got = html_texts(spark, [f"<div>top</div>{swap(i)}<div>text {i}</div><div>end</div>" for i in range(6)])
+    assert got == [f"{'b' if i % 2 else 'c'}\n{'c' if i % 2 else 'b'}\ntext {i}" for i in range(6)]
+
+
+def test_html_classes_nest(spark):
+    crossing = [f"<div>a1</div>{'<div>b1</div>' * (i < 5)}<div>text {i}</div><div>a2</div>{'<div>b2</div>' * (i < 5)}" for i in range(6)]
+    assert html_texts(spark, crossing) == [f"b1\ntext {i}\nb2" if i < 5 else "text 5" for i in range(6)]
+    within = [f"<div>a1</div>{'<div>b1</div>' * (i < 5)}<div>text {i}</div>{'<div>b2</div>' * (i < 5)}<div>a2</div>" for i in range(6)]
+    assert html_texts(spark, within) == [f"text {i}" for i in range(6)]

@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on the other long tokens.
 
-A candidate is a run of `[A-Za-z0-9+/_=-]` of LEAST characters or more outside the patterns' finds. Its encoding is inferred
-from its alphabet (hexadecimal, base 32, base 64; one that has no digits, or none but digits, is none). Under the hypothesis
-that its symbols are random, three tests give p-values: chi-squared for uniform use of the alphabet's classes, a runs test of
-their alternation, and a serial correlation of neighbouring symbols; Fisher's method combines them. Words and identifiers are
-far from random, so their p-values are tiny. In each band of lengths, where tests of like power compete, Benjamini and
-Hochberg's procedure over the whole corpus rejects randomness with a controlled rate of false discoveries; what it doesn't
-reject is reported. p-values are kept in steps of 0.01 decades, so that the corpus is summarised by a small histogram.
+A candidate is a run of `[A-Za-z0-9+/_-]` of LEAST characters or more, with up to two `=` of padding, outside the patterns'
+finds; so the value after `NAME=` is one of its own. Its encoding is inferred from its alphabet (hexadecimal, base 32, base 64;
+one that has no digits, or none but digits, is none). Under the hypothesis that its symbols are random, three tests give
+p-values: chi-squared for uniform use of the alphabet's classes, a runs test of their alternation, and a serial correlation of
+neighbouring symbols; Fisher's method combines them. Words and identifiers are far from random, so their p-values are tiny. In
+each band of lengths, where tests of like power compete, Benjamini and Hochberg's procedure over the whole corpus rejects
+randomness with a controlled rate of false discoveries; what it doesn't reject is reported. p-values are kept in steps of 0.01
+decades, so that the corpus is summarised by a small histogram.
 
 Defined results: a null text is empty and has no spans; rows that share a doc_id are scanned one by one; an empty table gives
 an empty result; other columns are ignored. Spans are in code points, the end exclusive.
@@ -30,7 +31,7 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = 20
-LONG = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+LONG = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
 RATE = 0.05
 STEPS, MOST = 100, 3000
 SPANS = "array<struct<kind:int,start:int,end:int,band:int,bin:int>>"

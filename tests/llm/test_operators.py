@@ -1,5 +1,6 @@
 """Edge cases of all operators, and brute force on a small table."""
 
+import base64
 import hashlib
 import zlib
 
@@ -194,3 +195,11 @@ def test_html_classes_nest(spark):
     assert html_texts(spark, crossing) == [f"b1\ntext {i}\nb2" if i < 5 else "text 5" for i in range(6)]
     within = [f"<div>a1</div>{'<div>b1</div>' * (i < 5)}<div>text {i}</div>{'<div>b2</div>' * (i < 5)}<div>a2</div>" for i in range(6)]
     assert html_texts(spark, within) == [f"text {i}" for i in range(6)]
+
+
+def test_secret_scan_values_after_names(spark):
+    # Neither is among the RATE of random values that the battery rejects.
+    value, padded = (base64.b64encode(hashlib.sha256(b"5").digest()[:n]).decode() for n in (30, 31))
+    rows = [(i, t) for i, t in enumerate([f"AWS_SECRET_ACCESS_KEY={value}", f"SIGNING_KEY={padded} x", f"https://h/p?id=5&sig={value}&n=1"])]
+    got = {r.doc_id: [r.text[a:b] for a, k, b in r.spans if k == 3] for r in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert got == {0: [value], 1: [padded], 2: [value]}

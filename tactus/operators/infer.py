@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 REPLICATES = 10_000
 
 
-def resampled_medians(df: DataFrame, cell: list[str], metric: str, replicates: int, seed: int) -> DataFrame:
-    """(cell, rep, median) of bootstrap samples; a draw is a hash of seed, replicate and place, so reruns agree."""
-    g = df.groupBy(*cell).agg(F.sort_array(F.collect_list(metric)).alias("xs"))  # a cell holds the repetitions of one case
-    r = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    size = F.size("xs")
-    draws = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get("xs", F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), i, *[F.col(c) for c in cell]), size).cast("int")))
-    r = r.withColumn("s", F.sort_array(draws))
-    mid = (F.get("s", F.expr("size(s) div 2")) + F.get("s", F.expr("(size(s) - 1) div 2"))) / 2.0
-    return r.select(*cell, "rep", mid.alias("median"))
+def resampled_medians(xs: np.ndarray, replicates: int, rng: np.random.Generator) -> np.ndarray:
+    """Medians of bootstrap samples of the sorted xs.
+
+    A sample's places are floor(n * u) of n uniform u, so its middle values lie at the middle order statistics of the u's,
+    which are drawn as such (beta distributed): the same distribution as that of whole samples, at a cost apart from n.
+    """
+    n = len(xs)
+    u = rng.beta((n + 1) // 2, n - (n + 1) // 2 + 1, replicates)
+    low = high = np.minimum((n * u).astype(np.int64), n - 1)
+    if n % 2 == 0:
+        high = np.minimum((n * (u + (1 - u) * rng.beta(1, n // 2, replicates))).astype(np.int64), n - 1)
+    return (xs[low] + xs[high]) / 2.0
 
 
 def bootstrap_ratio(df: DataFrame, case: str, profile: str, metric: str, top: str, bottom: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
-    """(case, ratio, lo, hi): ratio of two profiles' medians with the nearest-rank 95 % interval of its replicates."""
-    few = df.where(F.col(profile).isin(top, bottom))
-    m = resampled_medians(few, [case, profile], metric, replicates, seed)
-    pair = lambda x, keys: x.groupBy(*keys).agg(F.max(F.when(F.col(profile) == top, F.col("median"))).alias("a"), F.max(F.when(F.col(profile) == bottom, F.col("median"))).alias("b")).where("b <> 0").withColumn("ratio", F.col("a") / F.col("b"))
-    boot = pair(m, [case, "rep"]).groupBy(case).agg(F.sort_array(F.collect_list("ratio")).alias("r"))
-    at = lambda q: F.get("r", F.expr(f"cast(bround({q}D * (size(r) - 1)) as int)"))
-    point = pair(few.groupBy(case, profile).agg(F.percentile(metric, 0.5).alias("median")), [case]).select(case, "ratio")
-    return point.join(boot.select(case, at(0.025).alias("lo"), at(0.975).alias("hi")), case)
+    """(case, ratio, lo, hi): ratio of two profiles' medians with the nearest-rank 95 % interval of its replicates.
+
+    Draws are seeded by seed, case and profile, so reruns agree. A case holds the repetitions of one cell, which are collected.
+    """
+    value = F.col(metric).cast("double")
+    of = lambda name: F.sort_array(F.collect_list(F.when(F.col(profile) == name, value)))
+    cells = df.where(F.col(profile).isin(top, bottom)).groupBy(case).agg(of(top).alias("a"), of(bottom).alias("b"))
+    schema = StructType([df.schema[case], *[StructField(c, DoubleType()) for c in ("ratio", "lo", "hi")]])
+
+    def interval(key, a: list[float], b: list[float]) -> tuple | None:
+        if not b or np.median(b) == 0:
+            return None
+        if not a:
+            return key, None, None, None
+        at = int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest())
+        x, y = (resampled_medians(np.asarray(v), replicates, np.random.default_rng([seed, at, i])) for i, v in enumerate((a, b)))
+        r = np.sort(x[y != 0] / y[y != 0])
+        if not len(r):
+            return None
+        return key, float(np.median(a) / np.median(b)), float(r[round(0.025 * (len(r) - 1))]), float(r[round(0.975 * (len(r) - 1))])
+
+    def run(batches):
+        for batch in batches:
+            rows = [interval(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            rows = [r for r in rows if r is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), *[pa.array([r[i] for r in rows], pa.float64()) for i in (1, 2, 3)]], [f.name for f in schema])
+
+    return cells.mapInArrow(run, schema)
 
 
 def classify(ratio: Column, lo: Column, hi: Column, threshold: float = 0.1) -> Column:

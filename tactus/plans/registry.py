@@ -325,7 +325,7 @@ def _roles(s, d):
 
 
 # --- inference ---
-query("bootstrap_ratio")(lambda s, d: infer.bootstrap_ratio(runs(s, d).where("task < 8").select(F.concat_ws("-", "case", "task").alias("cell"), "profile", "ns"), "cell", "profile", "ns", "F", "O", 200))
+query("bootstrap_ratio")(lambda s, d: infer.bootstrap_ratio(runs(s, d).select(F.concat_ws("-", "case", "task").alias("cell"), "profile", "ns"), "cell", "profile", "ns", "F", "O"))
 query("bootstrap_point", f'WITH {RUNS}, m AS (SELECT "case", quantile_cont(ns, 0.5) FILTER (WHERE profile = \'F\') AS a, quantile_cont(ns, 0.5) FILTER (WHERE profile = \'O\') AS b FROM l GROUP BY 1) SELECT "case", round(a::DOUBLE / b::DOUBLE, 9) AS ratio FROM m WHERE b <> 0 AND a IS NOT NULL')(lambda s, d: measure.profile_pivot(runs(s, d), "case", "profile", "ns", ["F", "O"]).where("O <> 0 and F is not null").select("case", F.round(F.col("F") / F.col("O"), 9).alias("ratio")))
 query("classify_ratio", f"WITH {RUNS}, a AS (SELECT task, (sum(ns) FILTER (WHERE profile = 'F'))::DOUBLE / (sum(ns) FILTER (WHERE profile = 'O')) AS r FROM l GROUP BY 1) SELECT task, CASE WHEN r <= 0.9 AND r * 1.05 < 1 THEN 'A' WHEN r >= 1.1 AND r * 0.95 > 1 THEN 'C' ELSE 'B' END AS class FROM a WHERE r IS NOT NULL")(lambda s, d: _ratios(s, d).select("task", infer.classify(F.col("r"), F.col("r") * 0.95, F.col("r") * 1.05).alias("class")))
 query("least_squares", f"WITH {RUNS}, x AS (SELECT qty::DOUBLE AS a, scale::DOUBLE AS b, ns::DOUBLE / 100 AS y FROM l), g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS byy FROM x) SELECT 'qty' AS feature, round((ay * bb - byy * ab) / (aa * bb - ab * ab), 4) AS coefficient, (ay * bb - byy * ab) / (aa * bb - ab * ab) < 0 AS negative FROM g UNION ALL SELECT 'scale', round((byy * aa - ay * ab) / (aa * bb - ab * ab), 4), (byy * aa - ay * ab) / (aa * bb - ab * ab) < 0 FROM g")(lambda s, d: _fit(s, d))

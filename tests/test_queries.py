@@ -1,12 +1,16 @@
 """Every query of the library beside its oracle, and the algebra beside brute force."""
 
+import itertools
+from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from oracle import connect, difference
 
 from tactus.functions import expr
 from tactus.functions.index import left_position, right_position
+from tactus.operators import infer
 from tactus.operators import streams as S
 from tactus.plans import registry
 
@@ -69,3 +73,25 @@ def test_windows_have_no_single_partition(spark):
 def test_wrong_arguments_raise(spark, call):
     with pytest.raises(ValueError):
         call(registry.ev(spark, SF))
+
+
+def test_bootstrap_covers_all_cells(spark, con):
+    cells = con.sql("SELECT count(*) FROM (SELECT l_returnflag, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING bool_or(l_linestatus = 'F') AND bool_or(l_linestatus = 'O'))").fetchall()[0][0]
+    rows = registry.QUERIES["bootstrap_ratio"](spark, SF).where("lo <= ratio and ratio <= hi").collect()
+    assert infer.REPLICATES == 10_000 and len(rows) == cells
+
+
+def test_resampled_medians_equal_all_samples():
+    for xs in ([5.0], [1.0, 4.0], [1.0, 2.0, 7.0], [1.0, 2.0, 4.0, 9.0], [0.0, 1.0, 3.0, 7.0, 15.0]):
+        brute = Counter(float(np.median(s)) for s in itertools.product(xs, repeat=len(xs)))
+        got = Counter(infer.resampled_medians(np.array(xs), 200_000, np.random.default_rng(3)).tolist())
+        assert set(got) == set(brute) and all(abs(got[m] / 200_000 - k / len(xs) ** len(xs)) < 0.005 for m, k in brute.items())
+
+
+def test_bootstrap_equals_resampling(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(50, 150, 40).tolist(), rng.integers(80, 120, 31).tolist()
+    row = infer.bootstrap_ratio(spark.createDataFrame([("c", "F", x) for x in a] + [("c", "O", x) for x in b], "cell string, p string, x long"), "cell", "p", "x", "F", "O").first()
+    brute = sorted(np.median(rng.choice(a, (10_000, 40)), axis=1) / np.median(rng.choice(b, (10_000, 31)), axis=1))
+    assert row.ratio == np.median(a) / np.median(b)
+    assert abs(row.lo - brute[250]) < 0.03 and abs(row.hi - brute[9749]) < 0.03

@@ -360,7 +360,7 @@ def _live_stream(s, d, name, delta):
 
 
 query("stream_interleave", ORACLES["interleave"])(lambda s, d: live.collected(out(S.interleave(_live_stream(s, d, "events", "1/10"), _live_stream(s, d, "orders", "1/5")), "v")))
-query("stream_window_avg", f"WITH {EV}, w AS (SELECT n, {WIN('sum', 30, 's')} FROM ev) SELECT n, (s // 30)::BIGINT AS f0 FROM w WHERE n >= 29")(lambda s, d: live.collected(live.window_avg(_live(s, d), Fraction(1, 360), 30), "complete"))
+query("stream_window_avg", f"WITH {EV}, w AS (SELECT n, {WIN('sum', 30, 's')} FROM ev) SELECT n, (s // 30)::BIGINT AS f0 FROM w WHERE n >= 29")(lambda s, d: live.collected(live.window_avg(_live(s, d), Fraction(1, 360), 30), "update"))
 query("stream_add_static", f"WITH {EV}, {OD} SELECT ev.n, ev.v AS a, od.v AS b FROM ev JOIN od USING (n)")(lambda s, d: live.collected(_live(s, d).withColumnRenamed("f0", "a").join(od(s, d).df.withColumnRenamed("f0", "b"), "n")))
 query("stream_add", f"WITH {EV}, {OD} SELECT ev.n, ev.v AS f0, od.v AS f1 FROM ev JOIN od USING (n)")(lambda s, d: live.collected(live.add(_live(s, d), _live(s, d, "orders"), Fraction(1, 360))))
 

@@ -40,21 +40,26 @@ def slot_time(n: str, delta: Fraction):
 
 
 def collected(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there now and returns the sink's table."""
+    """Runs the stream over what is there now and returns what it wrote to the shared folder. In update mode df must put out each row once."""
     spark, name = df.sparkSession, f"sink_{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tactus-")
-    if mode == "complete":
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}-state").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.table(name)
     out = f"{root}/{name}"
+    if mode == "update":
+        # The executors write each batch to a folder of its own, which a repeated batch overwrites.
+        spark.createDataFrame([], df.schema).write.parquet(f"{out}/none")
+        q = df.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/{i}")).outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{out}/*")
     q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
 def window_avg(df: DataFrame, delta: Fraction, length: int, delay: str = "1 second") -> DataFrame:
-    """Sliding average with step 1, keyed by output index; full windows only."""
+    """Sliding average with step 1, keyed by output index; full windows only.
+
+    For update mode: a window is put out once, by the batch that fills it, and the watermark drops its state later.
+    """
     x = df.withColumn("m", F.explode(F.sequence(F.col("n"), F.col("n") + length - 1)))
     x = x.select(F.col("m").alias("n"), "f0", slot_time("m", delta).alias("slot")).withWatermark("slot", delay)
     g = x.groupBy("n", "slot").agg(F.sum("f0").alias("s"), F.count("*").alias("c")).where(F.col("c") == length)

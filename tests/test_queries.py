@@ -13,6 +13,7 @@ from tactus.functions.index import left_position, right_position
 from tactus.operators import infer
 from tactus.operators import streams as S
 from tactus.plans import registry
+from tactus.streaming import live
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +96,11 @@ def test_bootstrap_equals_resampling(spark):
     brute = sorted(np.median(rng.choice(a, (10_000, 40)), axis=1) / np.median(rng.choice(b, (10_000, 31)), axis=1))
     assert row.ratio == np.median(a) / np.median(b)
     assert abs(row.lo - brute[250]) < 0.03 and abs(row.hi - brute[9749]) < 0.03
+
+
+def test_live_windows_are_written_once(spark, tmp_path):
+    for i in range(3):
+        spark.range(40 * i, 40 * i + 40, 1, 1).selectExpr("id as n", "id * 3 as f0").write.parquet(f"file://{tmp_path}/in/{i}")
+    source = spark.readStream.schema("n long, f0 long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    got = live.collected(live.window_avg(source, Fraction(1, 360), 30), "update")
+    assert got.inputFiles() and sorted(map(tuple, got.collect())) == [(n, (2 * n - 29) * 3 // 2) for n in range(29, 120)]

@@ -7,6 +7,7 @@ index they look the source record up, or use one unbucketed window.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,7 @@ def size(name: str) -> str:
 
 # --- sources and sinks ---
 query("src_cyclic", f"WITH {PT} SELECT r.n, pt.v AS v FROM (SELECT unnest(range(0, 5000)) AS n) r JOIN pt ON pt.n = r.n % {size('pt')}")(lambda s, d: out(S.cyclic(pt(s, d), 5000), "v"))
+query("src_cyclic_wrapped", f"WITH {PT} SELECT r.n, pt.v AS v FROM (SELECT unnest(range(0, 2 * {size('pt')} + 1)) AS n) r JOIN pt ON pt.n = r.n % {size('pt')}")(lambda s, d: out(_wrapped(pt(s, d)), "v"))
 query("src_synthetic", f"WITH {EV} SELECT n, ((n * 37) % 1000 - 500)::BIGINT AS f0, (n + 1)::BIGINT AS f1, (2000000 + n * 10)::BIGINT AS f2 FROM ev")(lambda s, d: table(s, d, "events").select(F.col("event_id").alias("n"), F.expr("event_id * 37 % 1000 - 500").alias("f0"), F.expr("event_id + 1").alias("f1"), F.expr("2000000 + event_id * 10").alias("f2")))
 query("validate_table", "SELECT 'not_empty' AS rule, (CASE WHEN count(*) = 0 THEN 1 ELSE 0 END)::BIGINT AS violations FROM lineitem UNION ALL SELECT 'quantity', count(*) FILTER (WHERE NOT coalesce(l_quantity > 5, false)) FROM lineitem UNION ALL SELECT 'flag', count(*) FILTER (WHERE NOT coalesce(l_returnflag IN ('A', 'N'), false)) FROM lineitem")(lambda s, d: readers.validate_table(table(s, d, "lineitem"), {"quantity": "l_quantity > 5", "flag": "l_returnflag in ('A', 'N')"}))
 query("log_counters", """SELECT event_type, 'k' AS counter, max(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT)) AS value, count(*) FILTER (WHERE regexp_matches(props, '"k": \\d+')) AS hits FROM events GROUP BY event_type""")(lambda s, d: readers.log_counters(table(s, d, "events"), "event_type", "props", {"k": '"k": (\\d+)'}))
@@ -97,6 +99,10 @@ query("expr_promote", f"WITH {EV} SELECT n, CAST(v AS DOUBLE) + CAST(u AS DOUBLE
 query("monitors_q8", f"WITH {EV} SELECT n, {', '.join(f'v + {i} AS m{i}' for i in range(8))} FROM ev")(lambda s, d: out(pipelines.monitors(ev(s, d), 8), *[f"m{i}" for i in range(8)]))
 
 
+def _wrapped(x: S.Stream) -> S.Stream:
+    return S.cyclic(x, 2 * x.end + 1)
+
+
 def _zip(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("n"), F.expr("transform(embedding, x -> cast(round(cast(x as double) * 10000) as bigint))").alias("f"))
     z = e.join(e.select((F.col("n") + 1).alias("n"), F.col("f").alias("g")), "n").select("n", expr.zip_fields(F.col("f"), F.col("g"), lambda a, b: a * b).alias("z"))
@@ -248,6 +254,7 @@ def _norms(s, d, margin):
 query("null_coverage", f"WITH {EV}, x AS (SELECT {HOLES} AS a, CASE WHEN n % 19 IN (3, 7) THEN NULL ELSE u END AS b FROM ev) SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS present, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL)) AS partial_null, count(*) FILTER (WHERE a IS NULL AND b IS NULL) AS all_null FROM x")(lambda s, d: quality.null_coverage(_with_holes(s, d).join(ev(s, d).select(F.expr("case when n % 19 in (3, 7) then null else 1 end")).df.withColumnRenamed("f0", "b"), "n"), ["h", "b"]))
 query("gap_runs", f"WITH {EV}, x AS (SELECT n FROM ev WHERE {HOLES} IS NULL), g AS (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM x) SELECT min(n) AS first, count(*) AS length, count(*) > 2 AS is_gap FROM g GROUP BY g")(lambda s, d: quality.runs(_with_holes(s, d), F.col("h").isNull(), 1000).withColumn("is_gap", F.col("length") > quality.NULL_FILL))
 query("stream_compare", f"WITH {EV}, b AS (SELECT n, CASE WHEN n % 997 = 996 THEN v + 1 ELSE v END AS v FROM ev WHERE n % 1009 <> 1008), j AS (SELECT a.n, a.v AS a, b.v AS b, b.n AS m FROM ev a LEFT JOIN b USING (n) WHERE a.n BETWEEN 10 AND 9009) SELECT count(m) AS compared, count(*) FILTER (WHERE m IS NOT NULL AND a <> b) AS mismatches, 9000 - count(m) AS missing, min(n) FILTER (WHERE m IS NULL OR a <> b) AS first_bad, arg_min_null(a, n) FILTER (WHERE m IS NULL OR a <> b) AS first_a, arg_min_null(b, n) FILTER (WHERE m IS NULL OR a <> b) AS first_b FROM j")(lambda s, d: quality.stream_compare(ev(s, d).df, ev(s, d).df.where("n % 1009 <> 1008").withColumn("f0", F.expr("case when n % 997 = 996 then f0 + 1 else f0 end")), 10, 9000))
+query("stream_compare_all", f"WITH {EV}, b AS (SELECT n, CASE WHEN n % 997 = 996 THEN v + 1 ELSE v END AS v FROM ev WHERE n % 1009 <> 1008), j AS (SELECT a.n, a.v AS a, b.v AS b, b.n AS m FROM ev a LEFT JOIN b USING (n) WHERE a.n >= 10) SELECT count(m) AS compared, count(*) FILTER (WHERE m IS NOT NULL AND a <> b) AS mismatches, {size('ev')} - 10 - count(m) AS missing, min(n) FILTER (WHERE m IS NULL OR a <> b) AS first_bad, arg_min_null(a, n) FILTER (WHERE m IS NULL OR a <> b) AS first_a, arg_min_null(b, n) FILTER (WHERE m IS NULL OR a <> b) AS first_b FROM j")(lambda s, d: quality.stream_compare(ev(s, d).df, _damaged(ev(s, d)).df, 10, ev(s, d).end - 10))
 query("interleave_picks", f"WITH {EV}, {PT}, {gather('ev', 'pt', 100, 147, size('ev'), size('pt'))} SELECT n // 247 AS period, count(*) FILTER (WHERE takes_right) AS from_b, count(*) FILTER (WHERE NOT takes_right) AS from_a FROM g GROUP BY 1")(lambda s, d: S.interleave(ev(s, d).select(F.lit(0)), pt(s, d).select(F.lit(1))).trimmed().groupBy(F.expr("n div 247").alias("period")).agg(F.sum("f0").cast("long").alias("from_b"), F.count_if(F.col("f0") == 0).alias("from_a")))
 CHANGED = "r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT -doc_id - 1, n_chars FROM documents WHERE doc_id % 50 = 0)"
 query("corpus_diff", f"WITH {CHANGED} SELECT CASE WHEN r.doc_id IS NULL THEN 'only_left' WHEN l.doc_id IS NULL THEN 'only_right' WHEN l.n_chars = r.n_chars THEN 'identical' ELSE 'changed' END AS status, count(*) AS n FROM documents l FULL JOIN r ON l.doc_id = r.doc_id GROUP BY 1")(lambda s, d: quality.corpus_diff(table(s, d, "documents"), _changed(s, d), "doc_id", "n_chars"))
@@ -262,6 +269,11 @@ query("expected_check", "WITH o AS (SELECT user_id, count(*) AS n FROM events GR
 query("observation_diff")(lambda s, d: S.interleave(ev(s, d), od(s, d)).trimmed().agg(F.count("*").alias("records"), F.count_if(F.col("f0").isNull()).alias("nulls"), F.min("n").alias("origin"), (F.max("n") + 1 - F.count("*") - F.min("n")).alias("gaps")))
 
 
+def _damaged(x: S.Stream) -> S.Stream:
+    """A copy that lacks some records and differs in others."""
+    return replace(x, df=x.df.where("n % 1009 <> 1008").withColumn("f0", F.expr("case when n % 997 = 996 then f0 + 1 else f0 end")))
+
+
 def _changed(s, d):
     t = table(s, d, "documents").select("doc_id", "n_chars")
     return t.where("doc_id % 11 <> 0").withColumn("n_chars", F.expr("case when doc_id % 7 = 0 then n_chars + 1 else n_chars end")).unionByName(t.where("doc_id % 50 = 0").withColumn("doc_id", -F.col("doc_id") - 1))

@@ -104,3 +104,10 @@ def test_live_windows_are_written_once(spark, tmp_path):
     source = spark.readStream.schema("n long, f0 long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
     got = live.collected(live.window_avg(source, Fraction(1, 360), 30), "update")
     assert got.inputFiles() and sorted(map(tuple, got.collect())) == [(n, (2 * n - 29) * 3 // 2) for n in range(29, 120)]
+
+
+def test_spans_grow_with_the_tables(spark):
+    parts, events = (registry.table(spark, SF, t).count() for t in ("part", "events"))
+    assert registry.QUERIES["src_cyclic_wrapped"](spark, SF).count() == 2 * parts + 1
+    r = registry.QUERIES["stream_compare_all"](spark, SF).first()
+    assert r.compared + r.missing == events - 10

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tactus.operators.streams import Stream
+
 NULL_FILL = 2
 
 
@@ -37,6 +39,22 @@ def stream_compare(a: DataFrame, b: DataFrame, first: int, span: int, field: str
     return j.agg(F.count_if(both).alias("compared"), F.count_if(both & bad).alias("mismatches"), (F.lit(span) - F.count_if(both)).cast("long").alias("missing"), F.min(F.when(bad, F.col("n"))).alias("first_bad"), F.min_by("a", F.when(bad, F.col("n"))).alias("first_a"), F.min_by("b", F.when(bad, F.col("n"))).alias("first_b"))
 
 
+def observation_diff(a: Stream, b: Stream) -> DataFrame:
+    """(layer, compared, differences) of two observed streams: interval, span, tail, schema, records and gaps.
+
+    Records are compared where both have one, gaps (indexes without a record) where either has one.
+    """
+    kinds = lambda s: [(f.name, f.dataType.simpleString()) for f in s.df.select(*s.fields).schema]
+    heads = [("interval", a.delta == b.delta), ("span", (a.origin, a.end) == (b.origin, b.end)), ("tail", a.tail == b.tail), ("schema", kinds(a) == kinds(b))]
+    side = lambda s, name: s.trimmed().select("n", F.array(*[F.col(f).cast("string") for f in s.fields]).alias(name))
+    j = side(a, "a").join(side(b, "b"), "n", "full")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    row = j.agg(F.count_if(both).alias("common"), F.count_if(both & ~F.col("a").eqNullSafe(F.col("b"))).alias("unequal"), F.count("*").alias("every"), F.count_if(~both).alias("alone"))
+    layer = lambda name, compared, differences: F.struct(F.lit(name).alias("layer"), compared.cast("long").alias("compared"), differences.cast("long").alias("differences"))
+    layers = [layer(name, F.lit(1), F.lit(int(not same))) for name, same in heads]
+    return row.select(F.inline(F.array(*layers, layer("records", F.col("common"), F.col("unequal")), layer("gaps", F.col("every"), F.col("alone")))))
+
+
 def corpus_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """(status, n): identical, changed, only_left, only_right."""
     a, b = left.select(key, F.col(value).alias("a"), F.lit(1).alias("l")), right.select(key, F.col(value).alias("b"), F.lit(1).alias("r"))

@@ -266,7 +266,7 @@ query("checksum_consistency", "SELECT event_type, count(DISTINCT md5(props)) AS
 query("rate_consistency", "SELECT l_orderkey, count(DISTINCT (l_returnflag, l_linestatus)) AS variants, count(*) AS checked FROM lineitem GROUP BY 1 HAVING count(DISTINCT (l_returnflag, l_linestatus)) > 1")(lambda s, d: quality.inconsistent(table(s, d, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"]))
 query("set_diff_counts", "WITH bad AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), x AS (SELECT l_suppkey, l_partkey, max((l_linestatus = 'F')::INT) AS x, max((l_linestatus = 'O')::INT) AS y FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM bad) GROUP BY 1, 2) SELECT l_suppkey, count(*) FILTER (WHERE y > x) AS added, count(*) FILTER (WHERE x > y) AS removed, sum(y - x)::BIGINT AS net FROM x GROUP BY 1")(lambda s, d: quality.set_difference_counts(table(s, d, "lineitem"), "l_suppkey", "l_partkey", "l_linestatus", "F", "O", F.expr("l_quantity >= 50 and l_discount >= 0.1")))
 query("expected_check", "WITH o AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), e AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE count(DISTINCT event_type) + 95 END AS expected FROM events GROUP BY 1) SELECT user_id, n, expected FROM o JOIN e USING (user_id) WHERE expected IS NOT NULL AND n <> expected")(lambda s, d: _expected(s, d))
-query("observation_diff")(lambda s, d: S.interleave(ev(s, d), od(s, d)).trimmed().agg(F.count("*").alias("records"), F.count_if(F.col("f0").isNull()).alias("nulls"), F.min("n").alias("origin"), (F.max("n") + 1 - F.count("*") - F.min("n")).alias("gaps")))
+query("observation_diff")(lambda s, d: quality.observation_diff(S.interleave(ev(s, d), od(s, d)), _damaged(S.interleave(ev(s, d), od(s, d)))))
 
 
 def _damaged(x: S.Stream) -> S.Stream:

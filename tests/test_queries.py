@@ -1,5 +1,6 @@
 """Every query of the library beside its oracle, and the algebra beside brute force."""
 
+import dataclasses
 import itertools
 from collections import Counter
 from fractions import Fraction
@@ -7,10 +8,11 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from oracle import connect, difference
+from pyspark.sql import functions as F
 
 from tactus.functions import expr
 from tactus.functions.index import left_position, right_position
-from tactus.operators import infer
+from tactus.operators import infer, quality
 from tactus.operators import streams as S
 from tactus.plans import registry
 from tactus.streaming import live
@@ -111,3 +113,16 @@ def test_spans_grow_with_the_tables(spark):
     assert registry.QUERIES["src_cyclic_wrapped"](spark, SF).count() == 2 * parts + 1
     r = registry.QUERIES["stream_compare_all"](spark, SF).first()
     assert r.compared + r.missing == events - 10
+
+
+def test_observation_diff_finds_each_layer(spark):
+    a = registry.ev(spark, SF)
+    found = lambda b: {r.layer: r.differences for r in quality.observation_diff(a, b).collect() if r.differences}
+    assert found(registry.ev(spark, SF)) == {}
+    assert found(registry.ev(spark, SF, "1/5")) == {"interval": 1}
+    assert found(dataclasses.replace(a, tail=3, end=a.end - 1)) == {"span": 1, "tail": 1, "gaps": 1}
+    assert found(a.select(F.col("f0").cast("double"))).keys() == {"schema", "records"}
+    assert found(dataclasses.replace(a, df=a.df.where("n <> 7").selectExpr("n", "if(n = 9, null, if(n = 8, f0 + 1, f0)) as f0"))) == {"records": 2, "gaps": 1}
+    rows = {r.layer: r for r in registry.QUERIES["observation_diff"](spark, SF).collect()}
+    x = registry._damaged(S.interleave(a, registry.od(spark, SF)))
+    assert rows["gaps"].differences == rows["gaps"].compared - x.trimmed().count() > 0 and rows["records"].differences == x.trimmed().where("n % 997 = 996").count() > 0

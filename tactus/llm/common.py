@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch carries to Python. Documents can be long, so batches are short.
 BATCH_ROWS = 500
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,23 +29,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: cuts lineage and survives lost executors. ``by``: a column with few values that gives the folders."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files that no live DataFrame can read, before a step with large ones of its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most (a longer row is a batch of its own)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def in_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]]) -> DataFrame:
     """``mapInArrow`` with short batches. ``start()`` runs once a task and returns what turns a batch into columns."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    short_batches(spark)
     names = [f.name for f in spark.createDataFrame([], schema).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

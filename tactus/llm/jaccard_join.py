@@ -27,10 +27,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, in_batches, stored, table, texts
+from .common import in_batches, short_batches, stored, table, texts, unused
 from .components import components
 from .substring_dedup import mixed
 
@@ -40,6 +41,13 @@ PERCENT = 80
 RATIO = 1.4
 #: Keys to spare beyond H that a scheme aims at, and what each one missing costs in chance pairs.
 SPARE, CHANCE = 0.12, 8
+#: Keys that a task gathers before it sends them, and rows that a batch has at most.
+FLUSH, EMIT = 2_000_000, 100_000
+#: Digests of sets that a task remembers, in each of two generations.
+SEEN = 500_000
+#: Bytes of text whose keys make a part of the key space: some millions of keys, which a task sorts in memory.
+PART_BYTES = 64 << 20
+BLOBS = ["part", "doc_id", "n_shingles", "digest", "sketch", "blob"]
 #: Bits of the filter that keeps documents in no pair out of a shuffle.
 FILTER_BITS = 1 << 22
 #: Bits of a set's parity sketch.
@@ -117,84 +125,157 @@ def keys_of(tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
     out = []
     for b in schemes_of(len(tokens)):
         m, h = SCHEMES[b]
-        seg = (tokens >> np.uint64(20)) % np.uint64(m)
-        order = np.argsort(seg, kind="stable")
-        seg, parts = seg[order], mixed(tokens[order] + np.uint64(b + 1))
-        starts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-        sums = np.add.reduceat(parts, starts)
-        tag = mixed((np.uint64(b) << np.uint64(32)) + seg[starts] + np.uint64(1))
-        keys = [mixed(sums ^ tag)]
-        spare = len(starts) - h
+        seg = ((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+        parts = mixed(tokens + np.uint64(b + 1))
+        sizes, sums = np.bincount(seg, minlength=m), np.zeros(m, np.uint64)
+        np.add.at(sums, seg, parts)
+        full = np.flatnonzero(sizes)
+        tags = mixed((np.uint64(b) << np.uint64(32)) + np.arange(1, m + 1, dtype=np.uint64))
+        keys = [mixed(sums[full] ^ tags[full])]
+        spare = len(full) - h
         if spare <= 0:
-            sizes = np.diff(np.append(starts, len(seg)))
-            deletion = tag ^ np.uint64(0x5851F42D4C957F2D)
-            several = np.repeat(sizes > 1, sizes)
-            rest = np.repeat(sums, sizes) - parts
-            keys += [mixed(sums ^ deletion), mixed(rest[several] ^ np.repeat(deletion, sizes)[several])]
+            deletion = tags ^ np.uint64(0x5851F42D4C957F2D)
+            several = sizes[seg] > 1
+            keys += [mixed(sums[full] ^ deletion[full]), mixed((sums[seg] - parts)[several] ^ deletion[seg[several]])]
             if np.minimum(sizes, 2).sum() <= h:
                 keys.append(mixed(np.array([b], np.uint64) + np.uint64(0xD1342543DE82EF95)))
-        out.append((np.unique(np.concatenate(keys)), b << 32 | max(spare, 0)))
+        out.append((np.concatenate(keys), b << 32 | max(spare, 0)))
     return out
 
 
-def sets_and_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest, sketch) of each document, stored; (key, doc_id, spare: scheme and spare keys), lazy."""
+def key_blobs(nodes: DataFrame, parts: int) -> DataFrame:
+    """A row per document with its set's summary, and rows that hold many documents' keys of one part of the key space.
 
-    def sets():
-        def each(batch: pa.RecordBatch) -> dict:
-            found = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(s) for s in found], pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], pa.binary()), "sketch": pa.array([sketch(s) for s in found], pa.list_(pa.int64()))}
-
-        return each
-
-    def keys():
-        def each(batch: pa.RecordBatch) -> dict | None:
-            cols: list[list] = [[], [], []]
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = shingle_set(t)
-                if len(tokens):
-                    for k, spare in keys_of(tokens):
-                        for c, x in zip(cols, (k.view(np.int64), np.full(len(k), d), np.full(len(k), spare)), strict=True):
-                            c.append(x)
-            if not cols[0]:
-                return None
-            k, d, spare = (np.concatenate(c) for c in cols)
-            return {"key": k, "doc_id": d.astype(np.int64), "spare": spare.astype(np.int64)}
-
-        return each
-
-    return stored(in_batches(docs, "doc_id long, n_shingles long, digest binary, sketch array<long>", sets), "jaccard-sets"), in_batches(docs, "key long, doc_id long, spare long", keys)
+    Keys travel as arrays, a few kilobytes a row, so that Spark moves them without handling each one. A document whose set a task
+    has seen before sends no keys: it links with its copies by their digest.
+    """
 
-
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows whose key another document has too, with the key's first document; groups stream by, sorted."""
+    def start():
+        seen: list[set[bytes]] = [set(), set()]
+        held: dict[str, list] = {"keys": [], "doc_id": [], "spare": [], "count": []}
+
+        def summary(doc_ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+            n, digest, sketches = [], [], []
+            for d, s in zip(doc_ids, sets, strict=True):
+                n.append(len(s))
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sketches.append(sketch(s))
+                if not len(s) or digest[-1] in seen[0] or digest[-1] in seen[1]:
+                    continue
+                if len(seen[0]) >= SEEN:
+                    seen[:] = [set(), seen[0]]
+                seen[0].add(digest[-1])
+                for k, spare in keys_of(s):
+                    for c, x in zip(("keys", "doc_id", "spare", "count"), (k, d, spare, len(k)), strict=True):
+                        held[c].append(x)
+            size = len(n)
+            part = [d % parts for d in doc_ids]
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(size, pa.binary())], BLOBS)
+
+        def flush() -> pa.RecordBatch:
+            keys = np.concatenate(held["keys"])
+            entry = np.repeat(np.arange(len(held["count"])), held["count"])
+            doc_id, spare = np.array(held["doc_id"], np.int64), np.array(held["spare"], np.int64)
+            for x in held.values():
+                x.clear()
+            part = (keys % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            keys, entry = keys[order], entry[order]
+            ends = np.cumsum(np.bincount(part, minlength=parts))
+            blobs, at = [], []
+            for p, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                if a < b:
+                    new = np.append(True, entry[a + 1 : b] != entry[a : b - 1])
+                    first = np.flatnonzero(new)
+                    own = entry[a:b][first]
+                    count = np.diff(np.append(first, b - a)).astype("<u4")
+                    blobs.append(b"".join((len(own).to_bytes(4, "little"), doc_id[own].tobytes(), spare[own].tobytes(), count.tobytes(), keys[a:b].tobytes())))
+                    at.append(p)
+            n = len(at)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))), pa.array(blobs, pa.binary())], BLOBS)
+
+        return summary, flush, held
 
     def run(batches):
-        held: list[np.ndarray] | None = None  # rows of the last key; only its first and last are needed to go on
-        names = ["key", "doc_id", "spare", "first"]
-        last_key = last_first = None
+        summary, flush, held = start()
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in names[:3]]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            k = cols[0]
-            new = np.append(True, k[1:] != k[:-1])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-            first = cols[1][start]
-            if held is not None and last_key == k[0]:
-                first = np.where(start == 0, last_first, first)
-            alike = np.append(~new[1:], False) | ~new | (first != cols[1])
-            emit = np.flatnonzero(alike[:-1]) if len(k) > 1 else np.empty(0, np.int64)
-            last_key, last_first = k[-1], first[-1]
-            held = [c[-1:] for c in cols]
-            if len(emit):
-                yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in (*cols, first)], names)
-            tail_alike = bool(alike[-1])
-        if held is not None and tail_alike:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held, np.array([last_first], np.int64))], names)
-
-    keys.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, doc_id long, spare long, first long")
+            yield summary(batch.column("doc_id").to_pylist(), [shingle_set(t) for t in batch.column("text").to_pylist()])
+            if sum(held["count"]) >= FLUSH:
+                yield flush()
+        if held["count"]:
+            yield flush()
+
+    short_batches(nodes.sparkSession)
+    return nodes.mapInArrow(run, "part int, doc_id long, n_shingles long, digest binary, sketch array<long>, blob binary")
+
+
+def met_in(keys: np.ndarray, doc_id: np.ndarray, spare: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, doc_id, spare, first document of the key, whether the key has two documents) of keys with two documents or more."""
+    order = np.argsort(keys)
+    k = keys[order]
+    same = k[1:] == k[:-1]
+    few = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    k, e = k[few], entry[order[few]]
+    d = doc_id[e]
+    order = np.lexsort((d, k))
+    k, e, d = k[order], e[order], d[order]
+    # Rows with one doc_id are one document.
+    once = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])) if len(k) else np.empty(0, bool)
+    k, e, d = k[once], e[once], d[once]
+    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.empty(0, bool)
+    group = np.cumsum(new) - 1
+    size = np.bincount(group)[group] if len(k) else group
+    first = d[np.flatnonzero(new)][group] if len(k) else d
+    keep = size > 1
+    return k[keep], d[keep], spare[e][keep], first[keep], size[keep] == 2
+
+
+def found_in(nodes: DataFrame) -> DataFrame:
+    """One pass over the texts and one shuffle; rows of three kinds.
+
+    ``set``: doc_id, n_shingles, digest, sketch of each document. ``vote``: doc_id shares n keys with the document b, the first
+    of each of these keys, and nobody else has ``two`` of them. ``key``: doc_id holds a key that three documents or more hold.
+    """
+    size = nodes.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    names = ["kind", "doc_id", "n_shingles", "digest", "sketch", "b", "n", "two", "key", "spare"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def batch(kind: str, size: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * size) if c == "kind" else pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in zip(names, types, strict=True)], names)
+
+    def run(batches):
+        doc_id, spare, count, keys = [], [], [], []
+        for x in batches:
+            sets = x.filter(pa.compute.is_valid(x.column("doc_id")))
+            if sets.num_rows:
+                yield batch("set", sets.num_rows, **{c: sets.column(c) for c in ("doc_id", "n_shingles", "digest", "sketch")})
+            for blob in x.column("blob").drop_null().to_pylist():
+                n = int.from_bytes(blob[:4], "little")
+                for c, kind, at in ((doc_id, "<i8", 4), (spare, "<i8", 4 + 8 * n), (count, "<u4", 4 + 16 * n)):
+                    c.append(np.frombuffer(blob, kind, n, at))
+                keys.append(np.frombuffer(blob, "<u8", -1, 4 + 20 * n))
+        if not keys:
+            return
+        doc_id, spare, count, keys = (np.concatenate(c) for c in (doc_id, spare, count, keys))
+        k, d, s, first, two = met_in(keys, doc_id, spare, np.repeat(np.arange(len(count)), count))
+        vote = d != first
+        order = np.lexsort((first[vote], d[vote]))
+        a, b, t = d[vote][order], first[vote][order], two[vote][order]
+        if len(a):
+            at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            n, t, a, b = np.diff(np.append(at, len(a))), np.add.reduceat(t.astype(np.int64), at), a[at], b[at]
+            for i in range(0, len(a), EMIT):
+                j = slice(i, i + EMIT)
+                yield batch("vote", len(a[j]), doc_id=a[j], b=b[j], n=n[j], two=t[j])
+        k, d, s = k.view(np.int64)[~two], d[~two], s[~two]
+        for i in range(0, len(k), EMIT):
+            j = slice(i, i + EMIT)
+            yield batch("key", len(k[j]), doc_id=d[j], key=k[j], spare=s[j])
+
+    dealt = key_blobs(nodes, parts).repartitionById(parts, "part")
+    found = dealt.mapInArrow(run, "kind string, doc_id long, n_shingles long, digest binary, sketch array<long>, b long, n long, two long, key long, spare long")
+    return stored(found, "jaccard-found", "kind")
 
 
 def marks(ids: DataFrame) -> np.ndarray:
@@ -207,7 +288,7 @@ def marks(ids: DataFrame) -> np.ndarray:
 
 
 def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Compressed texts of the documents with these ids, and of a few more that the filter doesn't tell from them."""
+    """Compressed texts of the documents with these ids; where ids outnumber the filter's bits, of the others too."""
     wanted = marks(ids)
 
     def start():
@@ -223,11 +304,23 @@ def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
         return each
 
-    return in_batches(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), "doc_id long, z binary", start)
+    return stored(in_batches(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), "doc_id long, z binary", start), "jaccard-texts")
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b), stored, that their sizes and sketches allow to be similar."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").where(allowed()).select("a", "b").distinct(), "jaccard-pairs")
+
+
+def allowed() -> Column:
+    apart = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    most = F.floor((100 - PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT))
+    return (apart <= most) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
 
 
 def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, compared as whole sets."""
+    """Those of the pairs (a, b) that are similar, stored, compared as whole sets."""
     z = packed(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(z.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
 
@@ -254,14 +347,14 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
         return each
 
-    return in_batches(both.select("a", "b", "za", "zb"), "a long, b long", start)
+    return stored(in_batches(both.select("a", "b", "za", "zb"), "a long, b long", start), "jaccard-links")
 
 
-def open_rows(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of the keys that join different components, with the component and the key's size."""
-    s = shared.join(label, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
-    keys = s.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-    return stored(s.join(keys, "key").select("key", "doc_id", "spare", "c", "size"), "jaccard-open")
+def open_rows(rows: DataFrame) -> DataFrame:
+    """Of rows (key, doc_id, spare, c: component): those of keys that join different components, with the key's size; stored."""
+    rows = stored(rows, "jaccard-keys")
+    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
+    return stored(rows.join(keys, "key").select("key", "doc_id", "spare", "c", "size"), "jaccard-open")
 
 
 def hub_pairs(s: DataFrame) -> DataFrame:
@@ -273,43 +366,56 @@ def hub_pairs(s: DataFrame) -> DataFrame:
     return best.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def cross_pairs(s: DataFrame, sets: DataFrame, seen: DataFrame) -> DataFrame:
-    """Candidate pairs across components that no earlier round has verified."""
-    # All keys that two sets in different components share are open, so each set may leave out its most common ones.
+def cross_pairs(s: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs across components that share a key of three documents or more."""
+    # All such keys that two sets in different components share are open, so each set may leave out its most common ones.
     rank = F.row_number().over(Window.partitionBy("doc_id", "spare").orderBy(F.desc("size"), "key"))
     live = s.withColumn("rank", rank).where(F.col("rank") >= F.col("spare") % 2**32).select("key", "doc_id", "c")
-    live = stored(live.join(sets.select("doc_id", F.col("n_shingles").alias("n"), "sketch").distinct(), "doc_id"), "jaccard-live")
+    live = stored(live.join(sets.select("doc_id", F.col("n_shingles").alias("n"), "sketch"), "doc_id"), "jaccard-live")
     a, b = (live.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    apart = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    most = F.floor((100 - PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart <= most) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
-    return pairs.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & allowed())
+    return pairs.select("a", "b").distinct()
+
+
+def labelled(rows: DataFrame, column: str, label: DataFrame, name: str = "c") -> DataFrame:
+    """rows with the component of the document in ``column``, which is its own where it has no link."""
+    return rows.join(label.select(F.col("id").alias(column), F.col("component_id").alias("_c")), column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs."""
-    nodes = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    sets, keys = sets_and_keys(nodes.where("doc_id is not null"))
-    copies = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("b"))
-    same = sets.join(copies, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
-    shared = stored(shared_keys(keys), "jaccard-shared")
-    free_shuffles(docs.sparkSession)
-    one = nodes.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(sets) else nodes.where("doc_id is not null")
+    nodes = texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    known = nodes.where("doc_id is not null")
+    found = found_in(known)
+    rows = found.where("kind = 'set'").select("doc_id", "n_shingles", "digest", "sketch")
+    votes = found.where("kind = 'vote'").groupBy("doc_id", "b").agg(F.sum("n").alias("n"), F.sum("two").alias("two"))
+    repeats = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    one = known.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else known
+    copies = stored(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("digest", "b"), "jaccard-copies")
+    same = stored(rows.join(copies, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b"), "jaccard-links")
     # Round 1: each document and the first one that it shares most keys with, unless they are copies.
-    star = shared.where("doc_id != first").groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b")).select(F.col("doc_id").alias("a"), "b")
-    star = stored(star.join(same, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-stars")
-    links = stored(similar(star, one).unionByName(same), "jaccard-links")
+    votes = stored(votes, "jaccard-votes")
+    star = votes.groupBy("doc_id").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")).select(F.col("doc_id").alias("a"), "b")
+    star = likely(star.join(same, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows)
+    label = stored(components(similar(star, one).unionByName(same)), "jaccard-labels")
     # Round 2: the same with hubs, as copies of one text with different changes are like it rather than one another. Of copies, one stands for all.
-    alone = shared.join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    label = lambda: components(links).withColumnRenamed("id", "doc_id")
-    hubs = stored(hub_pairs(open_rows(alone, label())).join(star, ["a", "b"], "left_anti"), "jaccard-stars")
-    links = links.unionByName(stored(similar(hubs, one), "jaccard-links"))
+    keys = found.where("kind = 'key'").select("key", "doc_id", "spare").join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    open_keys = open_rows(labelled(keys, "doc_id", label))
+    hubs = likely(hub_pairs(open_keys).join(star, ["a", "b"], "left_anti"), rows)
+    label2 = stored(components(between(similar(hubs, one), label)), "jaccard-labels")
     # Round 3: all that is left across components.
-    more = stored(cross_pairs(open_rows(alone, label()), sets, star.unionByName(hubs)), "jaccard-pairs")
-    links = links.unionByName(stored(similar(more, one), "jaccard-links"))
-    return sets.select("doc_id", "n_shingles").join(label(), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).unionByName(
-        in_null(nodes)
-    )
+    of_two = labelled(labelled(votes.where("two > 0").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")), "a", label, "ca"), "b", label, "cb")
+    of_two = labelled(labelled(of_two, "ca", label2, "la"), "cb", label2, "lb").where("la != lb").select("a", "b")
+    still = open_rows(labelled(open_keys.select("key", "doc_id", "spare", "c"), "c", label2))
+    more = likely(cross_pairs(still, rows).unionByName(of_two).join(star.unionByName(hubs), ["a", "b"], "left_anti"), rows)
+    last = components(between(similar(more, one), label).unionByName(label2.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
+    out = labelled(labelled(rows.select("doc_id", "n_shingles"), "doc_id", label), "c", last, "component_id")
+    return out.select("doc_id", "n_shingles", "component_id").unionByName(in_null(nodes))
+
+
+def between(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links (a, b) of documents as links of their components."""
+    return labelled(labelled(links, "a", label, "ca"), "b", label, "cb").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
 def in_null(nodes: DataFrame) -> DataFrame:
@@ -321,15 +427,12 @@ def in_null(nodes: DataFrame) -> DataFrame:
     return in_batches(nodes.where("doc_id is null"), "doc_id long, n_shingles long, component_id long", start)
 
 
-def _repeats(sets: DataFrame) -> bool:
-    return not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least doc_id."""
-    keep = jaccard_join(docs).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    """Of each group of near duplicates, the rows with the least doc_id; rows without a doc_id are kept."""
+    name = unused(docs, "kept")
+    keep = jaccard_join(docs).where("component_id = doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long") == F.col(name), "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -1,15 +1,19 @@
 """Quality rules with adaptive thresholds.
 
-Per document, counts over the whole text; per (lang, source), a mergeable quantile sketch of each count-derived
-metric; from the sketches, thresholds that follow each group's own distribution; then a join and a filter.
+Per document, counts over the whole text; per (lang, source), a mergeable quantile sketch of each metric, a ratio of two
+counts; from the sketches, thresholds that follow each group's own distribution: the upper quartile, and SPREAD times its
+distance from the median above it. Then a join of documents and thresholds, and a filter: a document is rejected if a count
+is over what the threshold gives for its length by more than SURE standard deviations of such a count (at least those of one), so
+that short documents aren't judged by a single line or sign.
 
 The sketch is a log-linear histogram: values under 32 have a bin each, larger ones 16 bins per power of two, so a
 quantile is off by at most 1/16. Sketches merge by adding bins: a partial aggregate of Spark builds them, and the
 sketches of a language or of everything are sums of those of its sources. They are exact in their counts, so reruns agree.
 
 Defined results: a null text is empty (no words, base_failed). Null lang or source are groups of their own. A group
-with fewer than ``least`` documents uses its language's sketch, a language with fewer the sketch of all. An empty
-table gives an empty result. Columns other than doc_id, text, lang and source are ignored.
+with fewer than ``least`` documents uses its language's sketch, a language with fewer the sketch of all. Null and
+repeated doc_ids are rows of their own, each judged by its own text; ties of a metric share a bin; texts of any length are counted
+whole. An empty table gives an empty result. Columns other than doc_id, text, lang and source are ignored, and kept by ``stage``.
 """
 
 from __future__ import annotations
@@ -18,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import in_batches, stored, table, texts
+from .common import short_batches, stored, table, unused
 
-#: Metric -> least margin above the median, in its own unit (thousandths; hundredths of a character for avg_len).
-MARGINS = {"symbols": 40, "upper": 150, "dup_lines": 500, "stutter": 120, "avg_len": 350}
-#: A threshold is median + max(margin, SPREAD * (median - lower quartile)).
-SPREAD = 8
+#: Metric -> count, what it is a part of, and unit.
+METRICS = {"symbols": ("n_symbols", "word_chars", 1000), "upper": ("n_upper", "n_letters", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "stutter": ("n_stutter", "n_words", 1000), "avg_len": ("word_chars", "n_words", 100)}
+SPREAD, SURE = 6, 4
 LEAST = 200
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_stutter long"
 
@@ -80,24 +84,45 @@ def text_stats(text: bytes) -> tuple[int, ...]:
     )
 
 
+COUNTS = [x.split()[0] for x in STATS.split(", ")[1:]]
+
+
+def with_stats(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs with the counts of their texts as columns of these names."""
+    kept = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            rows = [text_stats(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            cols = np.array(rows, np.int64).reshape(-1, len(COUNTS)).T
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, cols)], [*kept, *names])
+
+    short_batches(docs.sparkSession)
+    return docs.mapInArrow(run, StructType([*docs.schema, *[StructField(n, LongType()) for n in names]]))
+
+
 def document_stats(docs: DataFrame) -> DataFrame:
     """One row per document with the counts of STATS, lang and source."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return with_stats(src, COUNTS).select("doc_id", *COUNTS, "lang", "source")
 
-    def start():
-        def each(batch: pa.RecordBatch) -> dict:
-            rows = [text_stats(t) for t in batch.column("text").to_pylist()]
-            cols = np.array(rows, np.int64).reshape(-1, 9).T
-            return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "source": batch.column("source")} | dict(zip([x.split()[0] for x in STATS.split(", ")[1:]], cols, strict=True))
 
-        return each
+def metric_columns() -> dict[str, Column]:
+    return {m: F.expr(f"{unit} * {a} div greatest({b}, 1)") for m, (a, b, unit) in METRICS.items()}
 
-    src = texts(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")}), "lang", "source")
-    return in_batches(src, f"{STATS}, lang string, source string", start)
 
+def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
+    return (F.col(n_words) < 20) | (100 * F.col(n_repeat_words) > 30 * F.col(n_words))
 
-def metric_columns() -> dict[str, Column]:
-    part = lambda a, b, unit=1000: F.expr(f"{unit} * {a} div greatest({b}, 1)")
-    return {"symbols": part("n_symbols", "word_chars"), "upper": part("n_upper", "n_letters"), "dup_lines": part("n_dup_lines", "n_lines"), "stutter": part("n_stutter", "n_words"), "avg_len": part("word_chars", "n_words", 100)}
+
+def over(limit: str, names: dict[str, str]) -> Column:
+    """Whether any count is surely over what the limits (a map by metric) give; names: columns of the counts."""
+    tests = []
+    for m, (a, b, unit) in METRICS.items():
+        most = f"({limit}['{m}'] * greatest({names[b]}, 1))"
+        excess = f"({unit} * {names[a]} - {most})"
+        tests.append(f"coalesce({excess} > 0 and double({excess}) * double({excess}) > {SURE * SURE * unit}D * double(greatest({most}, {unit})), false)")
+    return F.expr(" or ".join(tests))
 
 
 def sketch_bin(v: Column) -> Column:
@@ -126,32 +151,29 @@ def thresholds(sketches: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "metric")
     cum = sketches.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, bin_top(F.col("bin"))))
-    q = cum.groupBy(*keys, "metric").agg(at(25).alias("q25"), at(50).alias("q50"), F.max("all").alias("n_docs"))
-    margin = F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv])[F.col("metric")]
-    limit = F.col("q50") + F.greatest(margin, SPREAD * (F.col("q50") - F.col("q25")))
+    q = cum.groupBy(*keys, "metric").agg(at(50).alias("q50"), at(75).alias("q75"), F.max("all").alias("n_docs"))
+    limit = F.col("q75") + SPREAD * (F.col("q75") - F.col("q50"))
     return q.groupBy(*keys).agg(F.max("n_docs").alias("n_docs"), F.map_from_entries(F.collect_list(F.struct("metric", limit.cast("long").alias("limit")))).alias("t"))
 
 
+def limits_of(sketch: DataFrame, least: int = LEAST) -> DataFrame:
+    """(of_lang, of_source, limits): a row per group in the sketch, with its own limits or those of its language or of all."""
+    own = thresholds(sketch, ["lang", "source"])
+    by_lang = thresholds(merge_sketches(sketch, ["lang"]), ["lang"]).select(F.col("lang").alias("of"), F.col("n_docs").alias("lang_n"), F.col("t").alias("lang_t"))
+    # One row: a threshold for each of the five metrics.
+    every = thresholds(merge_sketches(sketch, []), []).first()
+    all_t = F.create_map(*[F.lit(x) for kv in (every["t"] if every else {m: None for m in METRICS}).items() for x in kv]).cast("map<string,bigint>")
+    t = F.when(F.col("n_docs") >= least, F.col("t")).when(F.col("lang_n") >= least, F.col("lang_t")).otherwise(all_t)
+    return stored(own.join(by_lang, own.lang.eqNullSafe(F.col("of"))).select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), t.alias("limits")), "quality-limits")
+
+
 def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """STATS, base_failed, the thresholds used and kept, one row per document."""
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    stats = stored(document_stats(docs).withColumn("base_failed", failed), "quality-stats")
-    fine = stored(build_sketches(stats.where("not base_failed"), ["lang", "source"]), "quality-sketch")
-    by = {"own": (fine, ["lang", "source"]), "lang": (merge_sketches(fine, ["lang"]), ["lang"])}
-    # One row: a threshold for each of the five metrics.
-    every = thresholds(merge_sketches(fine, []), []).first()
-    out = stats
-    for name, (sketch, keys) in by.items():
-        t = thresholds(sketch, keys).select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("n_docs").alias(f"{name}_n"), F.col("t").alias(f"{name}_t"))
-        # A left join by group: the side of the thresholds has a row per group.
-        out = out.join(t, [F.col(k).eqNullSafe(F.col(f"{name}_{k}")) for k in keys], "left")
-    all_t = F.create_map(*[F.lit(x) for kv in (every["t"] if every else {m: None for m in MARGINS}).items() for x in kv]).cast("map<string,bigint>")
-    out = out.withColumn("t", F.when(F.col("own_n") >= least, F.col("own_t")).when(F.col("lang_n") >= least, F.col("lang_t")).otherwise(all_t))
-    over = [F.coalesce(c > F.col("t")[m], F.lit(False)) for m, c in metric_columns().items()]
-    rejected = over[0]
-    for c in over[1:]:
-        rejected = rejected | c
-    return out.select(*stats.columns, F.col("t").alias("limits"), (~F.col("base_failed") & ~rejected).alias("kept"))
+    stats = stored(document_stats(docs).withColumn("base_failed", base_failed()), "quality-stats")
+    limits = limits_of(stored(build_sketches(stats.where("not base_failed"), ["lang", "source"]), "quality-sketch"), least)
+    # A left join by group: the side of the thresholds has a row per group. Groups without one have failed documents only.
+    out = stats.join(limits, stats.lang.eqNullSafe(F.col("of_lang")) & stats.source.eqNullSafe(F.col("of_source")), "left")
+    return out.select(*stats.columns, "limits", (~F.col("base_failed") & ~over("limits", {c: c for c in COUNTS})).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,9 +182,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Every row of a doc_id that occurs twice is judged; a doc_id stays if all its rows are kept."""
-    gone = quality_rules(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that the rules keep, each judged by its own text. Texts aren't shuffled: counted once for the sketches, once more for the filter."""
+    stats = document_stats(docs).where(~base_failed())
+    limits = limits_of(stored(build_sketches(stats, ["lang", "source"]), "quality-sketch"))
+    names = {c: unused(docs, c) for c in COUNTS}
+    of = {c: unused(docs, c) for c in limits.columns}
+    rows = with_stats(docs, list(names.values())).where(~base_failed(names["n_words"], names["n_repeat_words"]))
+    limits = limits.select(*[F.col(c).alias(n) for c, n in of.items()])
+    rows = rows.join(limits, rows["lang"].cast("string").eqNullSafe(F.col(of["of_lang"])) & rows["source"].cast("string").eqNullSafe(F.col(of["of_source"])))
+    return rows.where(~over(of["limits"], names)).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
@@ -185,12 +213,10 @@ s AS (
     len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutter
   FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
-m AS (SELECT doc_id, lang, source, base_failed, u.metric, u.v FROM (SELECT *, unnest([
-    {'metric': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1)},
-    {'metric': 'upper', 'v': 1000 * n_upper // greatest(n_letters, 1)},
-    {'metric': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)},
-    {'metric': 'stutter', 'v': 1000 * n_stutter // greatest(n_words, 1)},
-    {'metric': 'avg_len', 'v': 100 * word_chars // greatest(n_words, 1)}]) AS u FROM b)),
+m AS (SELECT doc_id, lang, source, base_failed, r.metric, r.u, r.a, greatest(r.b, 1) AS b, r.u * r.a // greatest(r.b, 1) AS v FROM (SELECT *, unnest([
+    {'metric': 'symbols', 'u': 1000, 'a': n_symbols, 'b': word_chars}, {'metric': 'upper', 'u': 1000, 'a': n_upper, 'b': n_letters},
+    {'metric': 'dup_lines', 'u': 1000, 'a': n_dup_lines, 'b': n_lines}, {'metric': 'stutter', 'u': 1000, 'a': n_stutter, 'b': n_words},
+    {'metric': 'avg_len', 'u': 100, 'a': word_chars, 'b': n_words}]) AS r FROM b)),
 f AS (SELECT lang, source, metric, shift, count(*) AS n, v // (1 << shift) AS top FROM
    (SELECT *, greatest(length(bin(v)) - 5, 0)::INTEGER AS shift FROM m WHERE NOT base_failed) GROUP BY ALL),
 k AS (SELECT lang, source, metric, ((top + 1) * (1 << shift)) - 1 AS v, n FROM f),
@@ -199,14 +225,15 @@ lv AS (SELECT 'own' AS lv, lang, source, metric, v, n FROM k
   UNION ALL SELECT 'all', NULL, NULL, metric, v, sum(n) FROM k GROUP BY ALL),
 c AS (SELECT lv, lang, source, metric, v, sum(n) OVER (PARTITION BY lv, lang, source, metric ORDER BY v) AS upto,
     sum(n) OVER (PARTITION BY lv, lang, source, metric) AS every FROM lv),
-q AS (SELECT lv, lang, source, metric, max(every) AS nd, min(v) FILTER (WHERE upto * 100 >= every * 25) AS q25,
-    min(v) FILTER (WHERE upto * 100 >= every * 50) AS q50 FROM c GROUP BY ALL),
-t AS (SELECT *, q50 + greatest(CASE metric WHEN 'symbols' THEN 40 WHEN 'upper' THEN 150 WHEN 'dup_lines' THEN 500
-    WHEN 'stutter' THEN 120 ELSE 350 END, 8 * (q50 - q25)) AS lim FROM q),
-over AS (SELECT m.doc_id, bool_or(m.v > CASE WHEN o.nd >= 200 THEN o.lim WHEN l.nd >= 200 THEN l.lim ELSE a.lim END) AS bad
+q AS (SELECT lv, lang, source, metric, max(every) AS nd, min(v) FILTER (WHERE upto * 100 >= every * 50) AS q50,
+    min(v) FILTER (WHERE upto * 100 >= every * 75) AS q75 FROM c GROUP BY ALL),
+t AS (SELECT *, q75 + 6 * (q75 - q50) AS lim FROM q),
+x AS (SELECT m.doc_id, m.u, m.a, m.b, CASE WHEN o.nd >= 200 THEN o.lim WHEN l.nd >= 200 THEN l.lim ELSE a.lim END * m.b AS most
   FROM m LEFT JOIN t o ON o.lv = 'own' AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source AND o.metric = m.metric
   LEFT JOIN t l ON l.lv = 'lang' AND l.lang IS NOT DISTINCT FROM m.lang AND l.metric = m.metric
-  LEFT JOIN t a ON a.lv = 'all' AND a.metric = m.metric GROUP BY m.doc_id)
+  LEFT JOIN t a ON a.lv = 'all' AND a.metric = m.metric),
+over AS (SELECT doc_id, bool_or(u * a > most AND (u * a - most)::DOUBLE * (u * a - most)::DOUBLE > 16 * u::DOUBLE * greatest(most, u)::DOUBLE) AS bad
+  FROM x GROUP BY doc_id)
 SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(bad, false) AS kept FROM b LEFT JOIN over USING (doc_id)

@@ -9,16 +9,18 @@ source, solves a convex dual; Newton's method finds it. Each iteration is one di
 curvature over (source, size, count), a lossless summary of the documents.
 
 Rounding: within a source, documents ordered by size get whole copies by systematic rounding, whose token error is at
-most the size of one document; the rest is taken as part of a copy from documents that still have room. All choices are
-functions of the rows, so reruns agree.
+most the size of one document; the rest is taken as part of a copy from documents that still have room. Running sums over a source
+are taken in two levels, over ranges of sizes and within each, in whole units of 2**-20 copies, so that no task holds a
+source and sums don't depend on their order: reruns agree.
 
-Defined results: null texts have size 0 and are never taken; an empty table gives an empty result; repeated doc_ids are
-separate rows that are treated alike in turn; other columns are ignored.
+Defined results: null texts have size 0 and are never taken; null and repeated doc_ids are rows of their own, each with its own
+share (equal rows differ by their turn only); a text of any length is counted whole; an empty table gives an empty result; columns
+besides doc_id, text and source are ignored by ``mix`` and kept by ``stage``, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -28,6 +30,8 @@ SHARE_PERCENT = 150
 CAP = 2
 #: Parts that documents of one source and size are dealt into, so that a group of copies isn't ranked in one task.
 SALTS = 64
+#: Parts of a copy that running sums count in.
+UNIT = 1 << 20
 MAX_ITERATIONS = 60
 TOLERANCE = 1e-4
 
@@ -79,40 +83,56 @@ def balance(groups: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "mean", "lam")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """All columns of docs, with size, source_size, target, rate, copies (whole) and taken."""
-    sized = docs.withColumn("size", word_count("text"))
-    slim = stored(sized.select("doc_id", F.col("source").cast("string").alias("source"), "size"), "mix-sizes")
-    groups = stored(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-groups")
+def before(rows: DataFrame, value: str, name: str, down: bool = False) -> DataFrame:
+    """rows (source, size, salt, value) with ``name``: the sum of value over those of the source that come before by size and salt."""
+    order = F.desc if down else F.asc
+    upto = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Ranges of sizes, 16 for each power of two: a few hundred a source.
+    shift = F.greatest(F.length(F.bin("size")) - 5, F.lit(0))
+    rows = rows.withColumn("range", (shift * 16 + F.floor(F.col("size") / F.pow(F.lit(2.0), shift))).cast("int"))
+    tops = rows.groupBy("source", "range").agg(F.sum(value).alias(value)).withColumn("top", upto(Window.partitionBy("source").orderBy(order("range")))).select(F.col("source").alias("_s"), F.col("range").alias("_r"), "top")
+    within = rows.withColumn("within", upto(Window.partitionBy("source", "range").orderBy(order("size"), "salt")))
+    return within.join(tops, within.source.eqNullSafe(F.col("_s")) & (within["range"] == F.col("_r"))).withColumn(name, F.col("top") + F.col("within")).drop("range", "top", "within", "_s", "_r")
+
+
+def shares(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
+    """A row per row of docs: the columns ``keep``, and source, size, source_size, target, rate, copies (whole) and taken."""
+    row = F.xxhash64("doc_id", "text")
+    sized = docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), *[c.alias(k) for k, c in keep.items()])
+    slim = stored(sized.select("source", "size", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-sizes")
+    groups = stored(slim.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-groups")
     targets = stored(source_targets(groups.select("source", (F.col("size") * F.col("n")).alias("size"))), "mix-targets")
     lam = balance(groups, targets)
     known = targets.join(lam.withColumnRenamed("source", "src"), targets.source.eqNullSafe(F.col("src")), "left").drop("src")
     rate = F.when(F.col("target") >= CAP * F.col("source_size"), F.lit(float(CAP))).otherwise(CAP / (1 + F.exp(-F.col("lam") * F.col("size") / F.col("mean"))))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     # Parts of (source, size): at most SALTS per length that occurs, however many documents there are.
-    parts = slim.groupBy("source", "size", salt.alias("salt")).agg(F.count("*").alias("n"))
-    parts = parts.join(known.withColumnRenamed("source", "src"), parts.source.eqNullSafe(F.col("src"))).drop("src")
-    parts = parts.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))
-    run = Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
-    upto = lambda k: F.floor(F.col("before") + k * F.col("rate") + 0.5)
-    parts = parts.withColumn("copies_all", upto(F.col("n")) - upto(F.lit(0)))
-    every = Window.partitionBy("source")
-    parts = parts.withColumn("short", F.round("target").cast("long") - F.sum(F.col("copies_all") * F.col("size")).over(every))
+    parts = slim.join(known.withColumnRenamed("source", "src"), slim.source.eqNullSafe(F.col("src"))).drop("src")
+    parts = parts.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0))).withColumn("units", F.round(F.col("rate") * UNIT).cast("long"))
+    parts = before(parts.withColumn("all_units", F.col("n") * F.col("units")), "all_units", "start")
+    upto = lambda k: F.expr(f"(start + ({k}) * units + {UNIT // 2}L) div {UNIT}L")
+    parts = stored(parts.withColumn("copies_all", upto("n") - upto("0")), "mix-parts")
+    short = parts.groupBy("source").agg((F.round(F.max("target")).cast("long") - F.sum(F.col("copies_all") * F.col("size"))).alias("short")).withColumnRenamed("source", "src")
+    parts = parts.join(short, parts.source.eqNullSafe(F.col("src"))).drop("src")
     # What whole copies leave over or take too much: from the longest documents on, as far as each has room.
     room = F.when(F.col("short") > 0, CAP * F.col("n") - F.col("copies_all")).otherwise(F.col("copies_all")) * F.col("size")
-    down = Window.partitionBy("source").orderBy(F.desc("size"), "salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = stored(parts.withColumn("room", room).withColumn("room_before", F.coalesce(F.sum("room").over(down), F.lit(0))).withColumn("fix", F.greatest(F.least(F.abs("short") - F.col("room_before"), F.col("room")), F.lit(0)).cast("long")), "mix-parts")
-    rank = Window.partitionBy("source", "size", "salt").orderBy("doc_id")
-    ranked = slim.withColumn("salt", salt).withColumn("k", F.row_number().over(rank))
-    p = parts.select(F.col("source").alias("src"), F.col("size").alias("sz"), F.col("salt").alias("st"), "source_size", "target", "rate", "before", "short", "fix")
-    out = ranked.join(p, ranked.source.eqNullSafe(F.col("src")) & (ranked["size"] == F.col("sz")) & (ranked.salt == F.col("st")))
-    out = out.withColumn("copies", (upto(F.col("k")) - upto(F.col("k") - 1)).cast("long"))
+    parts = before(parts.withColumn("room", room), "room", "room_before", down=True)
+    parts = parts.withColumn("fix", F.greatest(F.least(F.abs("short") - F.col("room_before"), F.col("room")), F.lit(0)).cast("long"))
+    p = stored(parts.select(F.col("source").alias("src"), F.col("size").alias("sz"), F.col("salt").alias("st"), "source_size", "target", "rate", "units", "start", "short", "fix"), "mix-parts")
+    sized = sized.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    rank = Window.partitionBy("source", "size", "salt").orderBy("id", "row")
+    out = sized.withColumn("k", F.row_number().over(rank))
+    out = out.join(p, out.source.eqNullSafe(F.col("src")) & (out["size"] == F.col("sz")) & (out.salt == F.col("st")))
+    out = out.withColumn("copies", upto("k") - upto("k - 1"))
     mine = F.when(F.col("short") > 0, CAP - F.col("copies")).otherwise(F.col("copies")) * F.col("size")
     out = out.withColumn("mine", mine).withColumn("mine_before", F.coalesce(F.sum("mine").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     part = F.greatest(F.least(F.col("fix") - F.col("mine_before"), F.col("mine")), F.lit(0))
     taken = F.col("copies") * F.col("size") + F.when(F.col("short") > 0, part).otherwise(-part)
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.cast("long").alias("taken"))
+    return out.select(*keep, "source", "size", "source_size", "target", "rate", "copies", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies (whole) and taken: a row per row of docs."""
+    return shares(docs, {"doc_id": F.col("doc_id")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,15 +140,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole; one taken for part of a copy has its words cut to that part."""
-    m = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max_by(F.struct("size", "taken"), "taken").alias("_mixed"))
-    d = docs.join(m, "doc_id")
-    whole = F.col("_mixed.taken") / F.col("_mixed.size")
-    rest = F.col("_mixed.taken") % F.col("_mixed.size")
-    parts = F.concat(F.array_repeat(F.lit(None).cast("long"), F.floor(whole).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    d = d.withColumn("_cut", F.explode(parts))
+    """Each row as often as the mix takes it whole; one taken for part of a copy has its words cut to that part. n_chars follows the text."""
+    m = shares(docs, {"doc": F.struct(*docs.columns)}).where("taken > 0")
+    rest = F.col("taken") % F.col("size")
+    whole = F.array_repeat(F.lit(None).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    m = m.select("doc", F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))).alias("cut"))
     # The first `cut` words with the white space before each.
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, F.col("_cut").cast("int")), "")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(head)
-    d = d.withColumn("text", text)
-    return (d.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else d).select(*docs.columns)
+    head = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, F.col("cut").cast("int")), "")
+    m = m.withColumn("new", F.when(F.col("cut").isNull(), F.col("doc.text")).otherwise(head))
+    kinds = dict(docs.dtypes)
+    changed = {"text": F.col("new"), "n_chars": F.length("new").cast(kinds.get("n_chars", "long"))}
+    return m.select(*[changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

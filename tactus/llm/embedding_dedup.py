@@ -3,8 +3,9 @@
 k-means on a bounded sample gives unit centroids; every vector goes to the cell of its nearest one. Two vectors at cosine t
 or more can lie in different cells only near the border: y of cell c can have such a partner in cell d only if
 y . (c - d) <= sin(acos t) * |c - d|. So each vector also visits the lower-numbered cells for which that holds, and no pair
-is missed. Equal vectors are one node with a multiplicity. Cells are cut into blocks, and a task multiplies two blocks; it
-returns link counts and a star per component of the block pair, never the pairs.
+is missed. Equal vectors are one node with a multiplicity and a number of its own. Cells are cut into blocks, and a task multiplies
+two blocks; it returns link counts and a star per component of the block pair, never the pairs. Up to MOST_CELLS * PER_CELL
+vectors, cells keep their size as the input grows; beyond that they grow with it.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components have no links and are components of
 their own, as are vectors of a length that few share with others (cosines need equal lengths). Rows that share a vec_id are
@@ -26,9 +27,9 @@ from .components import components
 
 COSINE = 0.95
 #: k-means is fitted on this many vectors at most, those with the least hashes.
-SAMPLE = 8_192
+SAMPLE = 32_768
 #: Vectors aimed at in a cell, and the most cells (the centroids are sent to all tasks: at most this many vectors).
-PER_CELL, MOST_CELLS = 1_024, 2_048
+PER_CELL, MOST_CELLS = 1_024, 8_192
 BLOCK = 1_024
 ROUNDS = 8
 
@@ -87,16 +88,16 @@ def block_links(t: pa.Table, kind: type = np.float64) -> pa.Table:
     return pa.table({"node": ids[keep], "n_links": (mask @ weight)[keep].astype(np.int64), "root": label[keep]})
 
 
-def embedding_links(vectors: DataFrame) -> DataFrame:
+def embedding_links(vectors: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     sound = "e is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)"
     rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
-    nodes = stored(rows.where("sound").groupBy("e").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).select(F.xxhash64("e").alias("node"), "e", "first", "n", F.size("e").alias("dim")), "embedding-nodes")
+    nodes = stored(rows.where("sound").groupBy("e").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), "e", "first", "n", F.size("e").alias("dim")), "embedding-nodes")  # stored, so the numbers stay
     links = None
     for dim, count in [tuple(r) for r in nodes.groupBy("dim").count().collect()]:  # a row per vector length
-        part = _links_of_length(nodes.where(F.col("dim") == dim), count, np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64)
+        part = _links_of_length(nodes.where(F.col("dim") == dim), count, per_cell, np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64)
         links = part if links is None else links.unionByName(part)
     if links is None:
         links = spark.createDataFrame([], "node long, n_links long, root long")
@@ -111,9 +112,14 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links_of_length(nodes: DataFrame, count: int, kind: type) -> DataFrame:
-    sample = nodes.orderBy("node").limit(SAMPLE).select("e").collect()  # bounded by SAMPLE
-    k = max(1, min(MOST_CELLS, count // PER_CELL, len(sample) // 4))
+def _links_of_length(nodes: DataFrame, count: int, per_cell: int, kind: type) -> DataFrame:
+    rows = nodes.withColumn("hash", F.xxhash64("e"))
+    # Only hashes in the range that the sample's should lie in, six deviations more: the partitions together send little more than the sample.
+    share = (SAMPLE + 6 * math.sqrt(SAMPLE)) / count
+    if share < 1:
+        rows = rows.where(F.col("hash") < int(share * 2**64) - 2**63)
+    sample = rows.orderBy("hash", "node").limit(SAMPLE).select("e").collect()  # bounded by SAMPLE
+    k = max(1, min(MOST_CELLS, count // per_cell, len(sample) // 4))
     centroids = spherical_kmeans(unit(np.array([r.e for r in sample])), k)
 
     def start():

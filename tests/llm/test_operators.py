@@ -97,11 +97,12 @@ def test_elias_fano():
 
 
 def test_packing(docs, empty):
-    got = packing.pack(docs.dropDuplicates(), vocabulary_path("byte_bpe_50k.json")).collect()
-    want = dict(encoded(docs, "byte_bpe_50k.json", 0))
-    for d, ids in want.items():
+    got = packing.pack(docs, vocabulary_path("byte_bpe_50k.json")).collect()
+    want = encoded(docs, "byte_bpe_50k.json", 0)
+    for d, ids in want:
+        copies = sum(x == d for x, _ in want)
         parts = sorted((r for r in got if r.doc_id == d), key=lambda r: r.start)
-        assert np.array_equal(np.concatenate([np.frombuffer(r.ids, "<u2") for r in parts]), ids)
+        assert sum(r.length for r in parts) == copies * len(ids) and all(np.array_equal(np.frombuffer(r.ids, "<u2"), ids[r.start : r.start + r.length]) for r in parts)
     sizes = {}
     for r in got:
         sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
@@ -116,7 +117,7 @@ def test_mixing(docs, empty):
     for s in {r.source for r in got}:
         rows = [r for r in got if r.source == s]
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= 1
-    assert [tuple(r) for r in sorted(got)] == [tuple(r) for r in sorted(mixing.mix(docs).collect())] if None not in {r.source for r in got} else True
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs).collect()))
 
 
 def test_jaccard_join(docs, empty):

@@ -10,6 +10,7 @@ Special tokens' strings in a text are ordinary text.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -28,6 +29,13 @@ LONGEST = 48
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Marks after a word.
+MARKS = ".,;:!?)]}|\""
+#: White space other than space and newline, as single bytes and as first bytes in UTF-8; runs of three of those two.
+OTHER_SPACES = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE_SPACES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80"]
+RUNS = [bytes(x) for x in itertools.product(b" \n", repeat=3)]
+
 
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
@@ -53,11 +61,12 @@ class Remembered(dict):
         ids = self.old.get(key)
         if ids is None:
             ids = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[key] = ids
+            if len(key) > LONGEST:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
         return ids
 
 
@@ -75,9 +84,9 @@ class Encoder:
             raise ValueError("ids must fit 16 bits")
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.cut, self.table = regex.compile(pieces).findall, byte_characters()
-        self.unusual = re.compile("[^\x20-\x7e\xa1-\u017f]").search
+        self.unusual = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u017f]").search
         self.piece = Remembered(self.of_piece)
-        self.plain, self.spaced = Remembered(lambda c: self.of_chunk(c.decode("utf-8", "replace"))), Remembered(self.of_spaced)
+        self.plain, self.spaced = Remembered(self.of_plain), Remembered(self.of_spaced)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -87,62 +96,64 @@ class Encoder:
             piece = piece.encode().decode("latin-1").translate(self.table)
         return array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def of_chunk(self, chunk: str) -> bytes:
-        if self.unusual(chunk):
-            return self.whole(chunk)
-        if self.normalizer is not None:
-            chunk = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
-        pieces = self.cut(chunk)
-        return self.piece[pieces[0]] if len(pieces) == 1 else b"".join(map(self.piece.__getitem__, pieces))
+    def of_plain(self, chunk: bytes) -> bytes:
+        return self.of_chunk(chunk, "", self.plain)
 
     def of_spaced(self, chunk: bytes) -> bytes:
         """Ids of a chunk with its space."""
-        return self.of_chunk(" " + chunk.decode("utf-8", "replace"))
+        return self.of_chunk(chunk, " ", self.spaced)
+
+    def of_chunk(self, chunk: bytes, before: str, known: Remembered) -> bytes:
+        """A word of letters is one piece and marks after it are another, as no contraction begins with them; the pattern cuts the rest."""
+        text = chunk.decode("utf-8", "replace")
+        if self.unusual(text):
+            return self.whole(before + text)
+        if self.normalizer is not None:  # up to Latin Extended-A, and without marks that combine, it only lowers case
+            text = text.lower()
+        if text.isalpha():
+            return self.of_piece(before + text)
+        word = text.rstrip(MARKS)
+        if word is not text and word.isalpha():
+            return known[word.encode()] + self.piece[text[len(word) :]]
+        pieces = self.cut(before + text)
+        return self.piece[pieces[0]] if len(pieces) == 1 else b"".join(map(self.piece.__getitem__, pieces))
 
 
 class WordEncoder(Encoder):
-    """For the tokenizer whose pieces hold no white space."""
+    """For the tokenizer whose pieces hold no white space, and that lowers case first."""
 
     def __init__(self, path: str):
         super().__init__(path, WORD_PIECES)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        return [b"".join(map(self.plain.__getitem__, text.split())) for text in texts]
+        return [b"".join(map(self.plain.__getitem__, text.lower().split())) for text in texts]
 
 
 class ByteEncoder(Encoder):
     """For the byte-level tokenizer that joins one space to the word after it."""
 
-    #: White space whose cutting depends on more than the next space: long runs, runs at the end, other characters.
-    odd = re.compile(r"\s{3}|\s\s\Z|[^\S \n]")
-    #: Marks that are a piece of their own after a word, as no contraction begins with them.
-    marks = frozenset(bytes([c]) for c in b".,;:!?")
-
     def __init__(self, path: str):
         super().__init__(path, BYTE_PIECES)
         self.newline = self.whole("\n")
-        self.space = self.table[32]
-
-    def of_spaced(self, chunk: bytes) -> bytes:
-        """Ids of a chunk with its space; a word of ASCII letters is one piece, and a mark after it another."""
-        if chunk.isalpha():
-            return array("H", [t.id for t in self.model.tokenize(chr(self.space) + chunk.decode())]).tobytes()
-        if chunk[-1:] in self.marks and chunk[:-1].isalpha():
-            return self.spaced[chunk[:-1]] + self.plain[chunk[-1:]]
-        return self.of_chunk(" " + chunk.decode("utf-8", "replace"))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        first, later, out = self.plain, self.spaced.__getitem__, []
+        first, later, out = self.plain.__getitem__, self.spaced.__getitem__, []
         for text in texts:
-            s = text.decode("utf-8", "replace")
-            if self.odd.search(s):
-                out.append(self.whole(s))
+            if odd_space(text):
+                out.append(self.whole(text.decode("utf-8", "replace")))
             else:
                 lines = (x.split(b" ") for x in text.split(b"\n"))
-                out.append(self.newline.join([first[x[0]] + b"".join(map(later, x[1:])) for x in lines]))
+                out.append(self.newline.join([first(x[0]) + b"".join(map(later, x[1:])) for x in lines]))
         return out
 
 
+def odd_space(text: bytes) -> bool:
+    """White space whose cutting depends on more than the next space: long runs, runs at the end, other characters."""
+    if len(text.translate(None, OTHER_SPACES)) < len(text) or (len(text) > 1 and text[-2:].isspace()) or any(map(text.__contains__, RUNS)):
+        return True
+    return not text.isascii() and any(map(text.__contains__, WIDE_SPACES)) and re.search(r"[^\S \n]", text.decode("utf-8", "replace")) is not None
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of the tokenizer file at path, one per worker."""
 

@@ -7,13 +7,17 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Rows that one Arrow batch carries to Python. Documents can be long, so batches are short.
 BATCH_ROWS = 500
 BATCH_BYTES = 32 << 20
+#: Bits of the filter that keeps rows that nothing needs out of a shuffle.
+FILTER_BITS = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +70,51 @@ def in_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def marks(ids: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits with those of the ids (column ``id``) set: at most FILTER_BITS / 64 rows come to the driver, whatever the input."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(bit.cast("int").alias("bit")).selectExpr("bit div 64 as at", "shiftleft(1L, bit % 64) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def marked(docs: DataFrame, key: str, wanted: np.ndarray, others: bool = False) -> DataFrame:
+    """Rows whose key has its bit in the filter; with ``others``, those whose key hasn't. A few keys besides those marked have one, all if they are many."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(columns)).to_numpy()
+            keep = np.flatnonzero(((wanted[at // 64] >> (at % 64)) & 1 == 1) != others)
+            if len(keep):
+                yield batch.select(columns).take(pa.array(keep))
+
+    short_batches(docs.sparkSession)
+    schema = docs.schema
+    return docs.select("*", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(run, schema)
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """docs with the column z, the compressed text, in place of ``text``."""
+    kept = [f for f in docs.schema if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), z], [*(f.name for f in kept), "z"])
+
+    return docs.mapInArrow(run, StructType([*kept, StructField("z", BinaryType())]))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, from which numbers of parts are derived."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the UTF-8 bytes of the whole text (a null text is empty), with further columns as they are."""
     return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))

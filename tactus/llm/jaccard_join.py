@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, short_batches, stored, table, texts, unused
+from .common import compressed, in_batches, marked, marks, short_batches, stored, table, text_bytes, texts, unused
 from .components import components
 from .substring_dedup import mixed
 
@@ -48,8 +48,6 @@ SEEN = 500_000
 #: Bytes of text whose keys make a part of the key space: some millions of keys, which a task sorts in memory.
 PART_BYTES = 64 << 20
 BLOBS = ["part", "doc_id", "n_shingles", "digest", "sketch", "blob"]
-#: Bits of the filter that keeps documents in no pair out of a shuffle.
-FILTER_BITS = 1 << 22
 #: Bits of a set's parity sketch.
 SKETCH = 512
 
@@ -236,8 +234,7 @@ def found_in(nodes: DataFrame) -> DataFrame:
     ``set``: doc_id, n_shingles, digest, sketch of each document. ``vote``: doc_id shares n keys with the document b, the first
     of each of these keys, and nobody else has ``two`` of them. ``key``: doc_id holds a key that three documents or more hold.
     """
-    size = nodes.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(nodes) // PART_BYTES))
     names = ["kind", "doc_id", "n_shingles", "digest", "sketch", "b", "n", "two", "key", "spare"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -278,33 +275,9 @@ def found_in(nodes: DataFrame) -> DataFrame:
     return stored(found, "jaccard-found", "kind")
 
 
-def marks(ids: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits with those of the ids set: at most FILTER_BITS / 64 rows come to the driver, whatever the input."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.cast("int").alias("bit")).selectExpr("bit div 64 as at", "shiftleft(1L, bit % 64) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["at"].to_numpy()] = words["bits"].to_numpy()
-    return out
-
-
 def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Compressed texts of the documents with these ids; where ids outnumber the filter's bits, of the others too."""
-    wanted = marks(ids)
-
-    def start():
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3).compress
-
-        def each(batch: pa.RecordBatch) -> dict:
-            at = batch.column("at").to_numpy()
-            keep = np.flatnonzero((wanted[at // 64] >> (at % 64)) & 1)
-            few = batch.take(pa.array(keep))
-            return {"doc_id": few.column("doc_id"), "z": pa.array([press(t) for t in few.column("text").to_pylist()], pa.binary())}
-
-        return each
-
-    return stored(in_batches(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), "doc_id long, z binary", start), "jaccard-texts")
+    """Compressed texts of the documents with these ids, stored; where ids outnumber the filter's bits, of the others too."""
+    return stored(compressed(marked(docs.select("doc_id", "text"), "doc_id", marks(ids))).select("doc_id", "z"), "jaccard-texts")
 
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:

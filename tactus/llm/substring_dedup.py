@@ -1,35 +1,43 @@
 """Exact removal of repeated passages, with a log-structured fingerprint index.
 
 Fingerprints are winnowed: of the 8-word hashes in a 35-word window the least is the window's anchor, which two equal
-windows share at the same place. Consecutive windows with the same anchor form a span; the index keeps, per span, the
-anchor's hash, a digest of the span's words and its place: about 7 rows for 100 words, whatever repeats.
-
-Each batch of documents becomes an immutable run: a table bucketed and sorted by anchor hash. Runs are merge-joined on it
-without a shuffle: an anchor that occurs once anywhere proves all its windows unique. The others are verified on words: spans
-with equal digests repeat as a whole; where one anchor has different spans, the windows of one copy of each are compared by
-digests of their words. ``compact`` merges runs into one.
-
-Defined results: a null text has no words; a text with fewer words than a window loses none; rows are told apart by doc_id
-and text, and two equal rows repeat each other; an empty table gives an empty result; other columns are ignored.
+windows share at the same place. Consecutive windows with the same anchor form a span, which has the anchor's hash and a hash of
+its words: about 7 spans for 100 words, whatever repeats.
+
+Each batch of documents becomes an immutable run: a table of (anchor, span, number), bucketed and sorted by anchor; copies of a
+passage are counted before they are shuffled, so a passage that a third of the documents share is a row. A run is merge-joined
+with the history on its buckets, without a shuffle: an anchor that occurs once anywhere proves all its windows unique. Then runs are
+compacted into one. The batches' spans stay in the order of the documents; those with repeated anchors are joined to them
+and verified on words: spans with equal hashes repeat as a whole; where one anchor has different spans, the windows of one copy of
+each are compared by digests of their words. Only documents that lose words are shuffled.
+
+Defined results: a null text has no words; a text with fewer words than a window loses none, and one of any length is read whole;
+null doc_ids are rows like others; rows are told apart by doc_id and text, and two equal rows repeat each other; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, scratch, table, texts
+from .common import compressed, in_batches, marked, marks, scratch, stored, table, text_bytes, texts
 
 WINDOW = 35
 GRAM = 8
 BATCHES = 2
+#: Runs that may stand side by side.
+MOST_RUNS = 1
 NO_ID = -(2**63)
-FINGERPRINTS = "h long, span binary, doc_id long, row int, lo int, hi int"
+FINGERPRINTS = "h long, span long, doc_id long, row int, lo int, hi int"
+#: Bytes of text whose fingerprints make a bucket.
+BUCKET_BYTES = 64 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -67,23 +75,24 @@ def word_ends(words: list[bytes]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     def start():
+        from xxhash import xxh3_64_intdigest
+
         def each(batch: pa.RecordBatch) -> dict | None:
             out: list[list] = [[] for _ in range(5)]
-            digests: list[bytes] = []
+            spanned: list[int] = []
             for d, r, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 words = text.split()
                 if len(words) < WINDOW:
                     continue
                 h, lo, hi = spans(words)
                 joined, at = b" ".join(words), word_ends(words)
-                for a, b in zip(at[lo].tolist(), (at[hi + WINDOW] - 1).tolist(), strict=True):
-                    digests.append(hashlib.blake2b(joined[a:b], digest_size=16).digest())
+                spanned += [xxh3_64_intdigest(joined[a:b]) for a, b in zip(at[lo].tolist(), (at[hi + WINDOW] - 1).tolist(), strict=True)]
                 for o, x in zip(out, (h.view(np.int64), np.full(len(h), d), np.full(len(h), r), lo, hi), strict=True):
                     o.append(x)
-            if not digests:
+            if not spanned:
                 return None
             h, d, r, lo, hi = (np.concatenate(x) for x in out)
-            return {"h": h, "span": pa.array(digests, pa.binary()), "doc_id": d.astype(np.int64), "row": r.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+            return {"h": h, "span": np.array(spanned, np.uint64).view(np.int64), "doc_id": d.astype(np.int64), "row": r.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
 
         return each
 
@@ -91,69 +100,76 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Immutable runs of fingerprints, each a table bucketed and sorted by anchor hash in the shared folder."""
+    """Immutable runs of (h, span, n), each a table bucketed and sorted by anchor hash h in the shared folder; and the spans of all documents."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.runs = spark, []
+        self.spark, self.runs, self.spans, self.found = spark, [], [], []
+        self.names: list[str] = []
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(self, rows: DataFrame) -> DataFrame:
-        name = f"run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", scratch(self.spark, "fingerprints")).saveAsTable(name)
-        return self.spark.table(name)
+        self.names.append(f"run_{uuid.uuid4().hex}")
+        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", scratch(self.spark, "fingerprints")).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch of documents as a run; returns its rows whose anchor occurs elsewhere in the index."""
-        run = self.write(fingerprints(batch))
+        """Adds a batch of documents as a run, compacts, and returns the batch's spans whose anchor occurs elsewhere in the index."""
+        new = stored(fingerprints(batch), "spans")
+        run = self.write(new.groupBy("h", "span").agg(F.count("*").alias("n")))
+        met = anchors(run)
+        for old in self.runs:
+            met = both(met, anchors(old), "left")
+        self.found.append(stored(repeats(met), "repeated"))
+        self.spans.append(new)
         self.runs.append(run)
-        return run.join(self.repeated(), "h", "left_semi")
+        if len(self.runs) > MOST_RUNS:
+            self.compact()
+        return new.join(self.found[-1], "h", "left_semi")
 
     def repeated(self) -> DataFrame:
         """(h, several): anchors with two rows or more; several, if their spans differ. A merge join of the runs."""
-        total = None
-        for run in self.runs:
-            a = run.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("least"), F.max("span").alias("most"))
-            if total is None:
-                total = a
-            else:
-                b = a.select("h", *[F.col(c).alias(f"{c}_b") for c in ("n", "least", "most")])
-                n = F.coalesce("n", F.lit(0)) + F.coalesce("n_b", F.lit(0))
-                total = total.hint("merge").join(b, "h", "full").select("h", n.alias("n"), F.least("least", "least_b").alias("least"), F.greatest("most", "most_b").alias("most"))
-        return total.where("n > 1").select("h", (F.col("least") != F.col("most")).alias("several"))
+        met = anchors(self.runs[0])
+        for run in self.runs[1:]:
+            met = both(met, anchors(run), "full")
+        return repeats(met)
 
     def candidates(self) -> DataFrame:
-        """Rows of all runs whose anchor is repeated, with ``several``."""
-        found = self.repeated()
-        out = None
-        for run in self.runs:
-            part = run.join(found.hint("merge"), "h")
-            out = part if out is None else out.unionByName(part)
-        return out
+        """Spans of all batches whose anchor is repeated, as the batches' merge joins have found, with ``several``."""
+        found = reduce(DataFrame.unionByName, self.found).groupBy("h").agg(F.max("several").alias("several"))
+        found = stored(found, "repeated")
+        few = marks(found.select(F.col("h").alias("id")))
+        return stored(marked(reduce(DataFrame.unionByName, self.spans), "h", few).join(found, "h"), "candidates")
 
     def compact(self) -> None:
         """One run instead of all."""
-        rows = self.runs[0]
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run)
-        self.runs = [self.write(rows)]
+        rows = reduce(DataFrame.unionByName, self.runs)
+        self.runs = [self.write(rows.groupBy("h", "span").agg(F.sum("n").alias("n")))]
 
+    def forget(self) -> None:
+        """Takes the runs' names out of the catalogue; their files stay in the shared folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names, self.runs = [], []
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed before they are shuffled."""
 
-    def start():
-        import zstandard
+def anchors(run: DataFrame) -> DataFrame:
+    return run.groupBy("h").agg(F.sum("n").alias("n"), F.min("span").alias("least"), F.max("span").alias("most"))
+
 
-        press = zstandard.ZstdCompressor(level=3).compress
-        return lambda batch: {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "z": pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())}
+def both(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    b = b.select("h", *[F.col(c).alias(f"{c}_b") for c in ("n", "least", "most")])
+    n = F.coalesce("n", F.lit(0)) + F.coalesce("n_b", F.lit(0))
+    return a.hint("merge").join(b, "h", how).select("h", n.alias("n"), F.least("least", "least_b").alias("least"), F.greatest("most", "most_b").alias("most"))
 
-    return in_batches(docs, "doc_id long, row int, z binary", start)
+
+def repeats(met: DataFrame) -> DataFrame:
+    return met.where("n > 1").select("h", (F.col("least") != F.col("most")).alias("several"))
 
 
 def window_digests(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(w, doc_id, row, at, alone): a digest of the words of every window in the given spans."""
     per_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("places"))
-    joined = packed(docs).join(per_doc, ["doc_id", "row"])
+    joined = compressed(marked(docs, "doc_id", marks(per_doc.select(F.col("doc_id").alias("id"))))).join(per_doc, ["doc_id", "row"])
 
     def start():
         import zstandard
@@ -181,8 +197,9 @@ def window_digests(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept text; ranges: (doc_id, row, lo, hi) of repeated windows."""
-    per_doc = ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-    joined = packed(docs).join(per_doc, ["doc_id", "row"], "left")
+    per_doc = stored(ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("places")), "ranges")
+    few = marks(per_doc.select(F.col("doc_id").alias("id")))
+    touched = compressed(marked(docs, "doc_id", few)).join(per_doc, ["doc_id", "row"], "left").select("doc_id", "z", "places")
 
     def start():
         import zstandard
@@ -190,9 +207,11 @@ def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
 
         def each(batch: pa.RecordBatch) -> dict:
+            whole = "text" in batch.schema.names
             n, gone, digest, kept = [], [], [], []
-            for z, places in zip(batch.column("z").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                words = unpack(z).split()
+            given = batch.column("text" if whole else "z").to_pylist()
+            for z, places in zip(given, [None] * len(given) if whole else batch.column("places").to_pylist(), strict=True):
+                words = (z if whole else unpack(z)).split()
                 n.append(len(words))
                 if places:
                     edge = np.zeros(len(words) + 1, np.int64)
@@ -206,7 +225,8 @@ def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
         return each
 
-    return in_batches(joined, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", start)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    return in_batches(touched, schema, start).unionByName(in_batches(marked(docs, "doc_id", few, others=True).select("doc_id", "text"), schema, start))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -218,10 +238,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Ingests the documents batch by batch, then removes every word in a window that occurs elsewhere."""
     rows = keyed(docs)
-    index = FingerprintIndex(docs.sparkSession)
+    index = FingerprintIndex(docs.sparkSession, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // BUCKET_BYTES)))
     for b in range(batches):
         index.ingest(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     found = index.candidates()
+    index.forget()
     same = found.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "lo", "hi")).alias("one"), F.max("several").alias("several"))
     whole = found.join(same.where("n > 1").select("h", "span"), ["h", "span"], "left_semi").select("doc_id", "row", "lo", "hi")
     windows = window_digests(same.where("several").select("one.*", (F.col("n") == 1).alias("alone")), rows)

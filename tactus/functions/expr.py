@@ -61,3 +61,34 @@ def promote(x: Column, kind: str) -> Column:
     if kind == "rational":
         return F.struct(x.cast("long").alias("num"), F.lit(1).cast("long").alias("den"))
     return x.cast({"byte": "short", "integer": "long", "uint": "long", "float": "float", "double": "double"}[kind])
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two longs, 0 for two zeros: Euclid's steps, as many as 64 bits can take."""
+    start = F.struct(F.abs(a.cast("long")).alias("x"), F.abs(b.cast("long")).alias("y"))
+    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.nullif(s["y"], F.lit(0).cast("long"))).alias("y")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["x"])
+
+
+def rational(num: Column, den: Column) -> Column:
+    """(num, den) in lowest terms with a positive denominator; NULL for a zero denominator."""
+    num, den = num.cast("long"), den.cast("long")
+    g = gcd(num, den) * F.signum(den).cast("long")
+    lowest = F.struct(F.call_function("div", num, F.nullif(g, F.lit(0).cast("long"))).alias("num"), F.call_function("div", den, F.nullif(g, F.lit(0).cast("long"))).alias("den"))
+    return F.when(num.isNotNull() & (den != 0), lowest)
+
+
+def radd(a: Column, b: Column) -> Column:
+    return rational(a["num"] * b["den"] + b["num"] * a["den"], a["den"] * b["den"])
+
+
+def rsub(a: Column, b: Column) -> Column:
+    return rational(a["num"] * b["den"] - b["num"] * a["den"], a["den"] * b["den"])
+
+
+def rmul(a: Column, b: Column) -> Column:
+    return rational(a["num"] * b["num"], a["den"] * b["den"])
+
+
+def rdiv(a: Column, b: Column) -> Column:
+    return rational(a["num"] * b["den"], a["den"] * b["num"])

@@ -49,3 +49,16 @@ def first_reaching(target: int, position) -> int:
         else:
             lo = mid + 1
     return lo
+
+
+def least_tail(delta: Fraction, period: int, needs) -> int:
+    """Least W >= 0 with which record n, emitted at (n + 1 + W) * delta, never precedes a record that it needs.
+
+    needs(n): (index, interval, tail) of each; what it asks for repeats with ``period`` records.
+    """
+    worst = 0
+    for n in range(period):
+        for index, interval, tail in needs(n):
+            r = (index + 1 + tail) * Fraction(interval) / delta
+            worst = max(worst, cdiv(r.numerator, r.denominator) - 1 - n)
+    return worst

@@ -12,8 +12,13 @@ def tail_events(df: DataFrame, metric: str, threshold: int, rate: int) -> DataFr
     return df.where(F.col(metric) >= threshold).withColumn("at_s", F.col("iter") / rate)
 
 
-def event_gaps(df: DataFrame, role: str, order: str) -> DataFrame:
-    g = df.withColumn("gap", F.col(order) - F.lag(order).over(Window.partitionBy(role).orderBy(order))).where("gap is not null")
+def event_gaps(df: DataFrame, role: str, order: str, bucket: int = 100_000) -> DataFrame:
+    """(role, least, median, largest) gap between consecutive events: within buckets of ``order``, and between those that have events."""
+    b = df.where(F.col(order).isNotNull()).select(role, F.col(order).alias("at_"), F.floor(F.col(order) / bucket).alias("bucket_"))
+    inner = b.withColumn("gap", F.col("at_") - F.lag("at_").over(Window.partitionBy(role, "bucket_").orderBy("at_"))).select(role, "gap")
+    ends = b.groupBy(role, "bucket_").agg(F.min("at_").alias("lo_"), F.max("at_").alias("hi_"))
+    outer = ends.withColumn("gap", F.col("lo_") - F.lag("hi_").over(Window.partitionBy(role).orderBy("bucket_"))).select(role, "gap")
+    g = inner.unionByName(outer).where("gap is not null")
     return g.groupBy(role).agg(F.min("gap").alias("least"), median("gap").alias("median"), F.max("gap").alias("largest"))
 
 

@@ -27,6 +27,11 @@ def resampled_medians(xs: np.ndarray, replicates: int, rng: np.random.Generator)
     return (xs[low] + xs[high]) / 2.0
 
 
+def bounds(replicates: np.ndarray) -> tuple[float, float]:
+    """95 % interval of sorted replicates: those at floor(0.025 * (R - 1)) and floor(0.975 * (R - 1))."""
+    return float(replicates[int(0.025 * (len(replicates) - 1))]), float(replicates[int(0.975 * (len(replicates) - 1))])
+
+
 def bootstrap_ratio(df: DataFrame, case: str, profile: str, metric: str, top: str, bottom: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """(case, ratio, lo, hi): ratio of two profiles' medians with the nearest-rank 95 % interval of its replicates.
 
@@ -47,7 +52,7 @@ def bootstrap_ratio(df: DataFrame, case: str, profile: str, metric: str, top: st
         r = np.sort(x[y != 0] / y[y != 0])
         if not len(r):
             return None
-        return key, float(np.median(a) / np.median(b)), float(r[round(0.025 * (len(r) - 1))]), float(r[round(0.975 * (len(r) - 1))])
+        return key, float(np.median(a) / np.median(b)), *bounds(r)
 
     def run(batches):
         for batch in batches:
@@ -58,6 +63,33 @@ def bootstrap_ratio(df: DataFrame, case: str, profile: str, metric: str, top: st
     return cells.mapInArrow(run, schema)
 
 
+def bootstrap_difference(df: DataFrame, case: str, group: str, metric: str, groups: tuple[str, str, str, str], replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
+    """(case, diff, lo, hi): median(a) / median(b) - median(c) / median(d) of four groups, with the interval of its replicates.
+
+    Cases without a value in each group, or with a zero median below, are left out. A case holds the repetitions of one cell.
+    """
+    value = F.col(metric).cast("double")
+    cells = df.where(F.col(group).isin(*groups)).groupBy(case).agg(*[F.sort_array(F.collect_list(F.when(F.col(group) == g, value))).alias(f"x{i}") for i, g in enumerate(groups)])
+    schema = StructType([df.schema[case], *[StructField(c, DoubleType()) for c in ("diff", "lo", "hi")]])
+
+    def interval(key, *samples: list[float]) -> tuple | None:
+        if not all(samples) or np.median(samples[1]) == 0 or np.median(samples[3]) == 0:
+            return None
+        at = int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest())
+        a, b, c, d = (resampled_medians(np.asarray(v), replicates, np.random.default_rng([seed, at, i])) for i, v in enumerate(samples))
+        ok = (b != 0) & (d != 0)
+        r = np.sort(a[ok] / b[ok] - c[ok] / d[ok])
+        m = [float(np.median(v)) for v in samples]
+        return (key, m[0] / m[1] - m[2] / m[3], *bounds(r)) if len(r) else None
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for r in (interval(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)) if r is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), *[pa.array([r[i] for r in rows], pa.float64()) for i in (1, 2, 3)]], [f.name for f in schema])
+
+    return cells.mapInArrow(run, schema)
+
+
 def classify(ratio: Column, lo: Column, hi: Column, threshold: float = 0.1) -> Column:
     """A: better by the threshold and surely better; C: worse by it and surely worse; B: neither."""
     return F.when((ratio <= 1 - threshold) & (hi < 1), "A").when((ratio >= 1 + threshold) & (lo > 1), "C").otherwise("B")

@@ -6,27 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def warmup_trim(df: DataFrame, run: str, order: str, percent: int = 5) -> DataFrame:
-    """Without the first ``percent`` of each run's rows."""
-    w = Window.partitionBy(run)
-    return df.withColumns({"rn": F.row_number().over(w.orderBy(order)), "size": F.count("*").over(w)}).where(F.expr(f"rn > (size * {percent}) div 100")).drop("rn", "size")
+def placed(df: DataFrame, run: str, metric: str) -> DataFrame:
+    """(run, metric, n, before, size): each value that is there, its rows, the run's rows with less, and all of the run's.
+
+    Counts by value come first; they are summed up over ranges of values, and within each, so that no task sorts a run. NULL
+    values are left out.
+    """
+    counts = df.where(F.col(metric).isNotNull()).groupBy(run, metric).agg(F.count("*").alias("n"))
+    x = F.col(metric).cast("double")
+    # Sixteen ranges for each power of two, in the order of the values.
+    counts = counts.withColumn("range", F.when(x == 0, 0).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x)) * 16) + 20_000)).cast("int"))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_run = Window.partitionBy("run_")
+    tops = counts.groupBy(F.col(run).alias("run_"), F.col("range").alias("range_")).agg(F.sum("n").alias("n")).select("run_", "range_", upto(by_run.orderBy("range_")).alias("top"), F.sum("n").over(by_run).alias("size"))
+    within = counts.withColumn("within", upto(Window.partitionBy(run, "range").orderBy(metric)))
+    both = within.join(tops, within[run].eqNullSafe(F.col("run_")) & (within["range"] == F.col("range_")))
+    return both.select(run, metric, "n", (F.col("top") + F.col("within")).alias("before"), "size")
+
 
+def at_rank(metric: str, rank: Column) -> Column:
+    """Aggregate over ``placed``: the value at a rank from 0 on."""
+    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col(metric)))
 
-def ranked(df: DataFrame, run: str, metric: str) -> DataFrame:
-    w = Window.partitionBy(run)
-    return df.withColumns({"rn": F.row_number().over(w.orderBy(metric)) - 1, "size": F.count("*").over(w)})
+
+def warmup_trim(df: DataFrame, run: str, order: str, percent: int = 5) -> DataFrame:
+    """Without the first ``percent`` of each run's rows; of rows with equal order any may stay. Rows without order come first."""
+    first = df.withColumn(order, F.coalesce(F.col(order), F.lit(-(2**62)).cast(df.schema[order].dataType))) if df.schema[order].nullable else df
+    drop = F.expr(f"(size * {percent}) div 100")
+    cut = placed(first, run, order).where((F.col("before") <= drop) & (drop < F.col("before") + F.col("n"))).select(F.col(run).alias("run_"), F.col(order).alias("cut_"), (drop - F.col("before")).alias("drop_"))
+    rows = df.join(cut, df[run].eqNullSafe(F.col("run_")))
+    at = F.coalesce(F.col(order), F.lit(-(2**62)).cast(df.schema[order].dataType))
+    tied = rows.where(at == F.col("cut_")).withColumn("rn_", F.row_number().over(Window.partitionBy(run).orderBy(order))).where("rn_ > drop_")
+    return rows.where(at > F.col("cut_")).select(*df.columns).unionByName(tied.select(*df.columns))
 
 
 def percentile_nearest(df: DataFrame, run: str, metric: str, per_mille: list[int]) -> DataFrame:
     """(run, p<k>): the value at round(k / 1000 * (N - 1)), halves to even."""
     at = lambda k: F.expr(f"cast(bround({k} * (size - 1) / 1000D) as long)")
-    return ranked(df, run, metric).groupBy(run).agg(*[F.max(F.when(F.col("rn") == at(k), F.col(metric))).alias(f"p{k}") for k in per_mille])
+    return placed(df, run, metric).groupBy(run).agg(*[at_rank(metric, at(k)).alias(f"p{k}") for k in per_mille])
 
 
 def percentile_floor(df: DataFrame, run: str, metric: str, per_cent: list[int]) -> DataFrame:
     """(run, p<k>): the value at min(N - 1, floor(k / 100 * N))."""
     at = lambda k: F.expr(f"least(size - 1, (size * {k}) div 100)")
-    return ranked(df, run, metric).groupBy(run).agg(*[F.max(F.when(F.col("rn") == at(k), F.col(metric))).alias(f"p{k}") for k in per_cent])
+    return placed(df, run, metric).groupBy(run).agg(*[at_rank(metric, at(k)).alias(f"p{k}") for k in per_cent])
 
 
 def median(c: str) -> Column:
@@ -34,8 +57,11 @@ def median(c: str) -> Column:
 
 
 def run_summary(df: DataFrame, run: str, metric: str) -> DataFrame:
-    p = percentile_nearest(df, run, metric, [990, 999])
-    return df.groupBy(run).agg(F.count("*").alias("slots"), median(metric).alias("median"), F.max(metric).alias("largest"), F.sum(metric).alias("total")).join(p, run)
+    at = lambda k: F.expr(f"cast(bround({k} * (size - 1) / 1000D) as long)")
+    middle = (at_rank(metric, F.expr("(size - 1) div 2")) + at_rank(metric, F.expr("size div 2"))) / 2
+    kind = df.schema[metric].dataType.simpleString()
+    total = F.sum(F.col(metric) * F.col("n")) if kind in ("double", "float") else F.sum(F.col(metric).cast("long") * F.col("n"))
+    return placed(df, run, metric).groupBy(run).agg(F.sum("n").alias("slots"), middle.cast("double").alias("median"), F.max(metric).alias("largest"), total.alias("total"), *[at_rank(metric, at(k)).alias(f"p{k}") for k in (990, 999)])
 
 
 def budget_report(df: DataFrame, run: str, metric: str, budget: int) -> DataFrame:
@@ -72,14 +98,13 @@ def profile_pivot(df: DataFrame, case: str, profile: str, metric: str, profiles:
 
 def iqr_exclusive(df: DataFrame, run: str, metric: str) -> DataFrame:
     """(run, q1, q3, iqr) by interpolation at (N + 1) * q."""
-    r = ranked(df, run, metric).withColumn("rn", F.col("rn") + 1)
 
     def at(k: int) -> Column:
         lo, frac = F.expr(f"((size + 1) * {k}) div 4"), F.expr(f"((size + 1) * {k}) % 4 / 4D")
-        v = lambda i: F.max(F.when(F.col("rn") == F.greatest(F.least(i, F.col("size")), F.lit(1)), F.col(metric)))
+        v = lambda i: at_rank(metric, F.greatest(F.least(i, F.col("size")), F.lit(1)) - 1)
         return v(lo) + (v(lo + 1) - v(lo)) * F.max(frac)
 
-    return r.groupBy(run).agg(at(1).alias("q1"), at(3).alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    return placed(df, run, metric).groupBy(run).agg(at(1).alias("q1"), at(3).alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def relative_change(old: DataFrame, new: DataFrame, key: str, metric: str) -> DataFrame:
@@ -88,11 +113,16 @@ def relative_change(old: DataFrame, new: DataFrame, key: str, metric: str) -> Da
 
 
 def class_verdict(df: DataFrame, kind: str, gap: str, witness: str) -> DataFrame:
-    """(kind, gap, n, regime, witnesses): how form and oracle differ, with two witnesses of each direction."""
-    w = Window.partitionBy(kind, gap).orderBy(witness)
-    r = df.withColumn("rn", F.row_number().over(w))
+    """(kind, gap, n, regime, witnesses): how form and oracle differ, with the two least witnesses of each direction."""
+    of = df.groupBy(kind, gap, witness).agg(F.count("*").alias("rows_"))
+    least = F.min(F.when(F.col(witness).isNotNull(), F.struct(F.col(witness).alias("w"), F.col("rows_").alias("k"))))
+    one = of.groupBy(kind, gap).agg(F.sum("rows_").alias("n"), least.alias("one_"))
+    # The second is another row of the first's value, or the least value above it.
+    up = of.join(one.select(F.col(kind).alias("k_"), F.col(gap).alias("g_"), F.col("one_.w").alias("w_")), of[kind].eqNullSafe(F.col("k_")) & of[gap].eqNullSafe(F.col("g_")) & (of[witness] > F.col("w_")))
+    two = up.groupBy("k_", "g_").agg(F.min(witness).alias("next_"))
     regime = F.when(F.col(gap) == 0, "exact").when(F.col(gap) > 0, "over").otherwise("under")
-    return r.groupBy(kind, gap).agg(F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col(witness))).alias("first"), F.max(F.when(F.col("rn") == 2, F.col(witness))).alias("second")).withColumn("regime", regime)
+    out = one.join(two, one[kind].eqNullSafe(F.col("k_")) & one[gap].eqNullSafe(F.col("g_")), "left")
+    return out.select(kind, gap, "n", F.col("one_.w").alias("first"), F.when(F.col("one_.k") > 1, F.col("one_.w")).otherwise(F.col("next_")).alias("second"), regime.alias("regime"))
 
 
 def divergence_share(df: DataFrame, group: str, diverges: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ DERIVATIVE = [-1, -2, 0, 2, 1]
 SHORT, LONG = 30, 180
 
 
+def union(rows: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, rows)
+
+
 def scaled_fir(s: Stream, taps: list[int]) -> Stream:
     f = fir(s, taps)
     return f.select(idiv(idiv(F.col("f0"), len(taps)), 1000))

@@ -16,16 +16,24 @@ def null_coverage(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.agg(F.count_if(nulls == 0).alias("present"), F.count_if((nulls > 0) & (nulls < len(fields))).alias("partial_null"), F.count_if(nulls == len(fields)).alias("all_null"))
 
 
-def runs(df: DataFrame, where: Column, bucket: int = 100_000) -> DataFrame:
-    """(first, length) of each run of consecutive n for which ``where`` holds: islands per bucket, stitched at the edges."""
+def runs(df: DataFrame, where: Column, bucket: int = 100_000, fan: int = 1_000) -> DataFrame:
+    """(first, length) of each run of consecutive n for which ``where`` holds.
+
+    Islands per bucket; pieces that touch a bucket's edge may go on and are joined per ``fan`` buckets, then per ``fan`` of those.
+    What is left for one task are two pieces at most for each range of bucket * fan * fan records.
+    """
     hit = df.where(where).select("n").withColumn("bucket", F.expr(f"n div {bucket}L"))
-    part = hit.withColumn("g", F.col("n") - F.row_number().over(Window.partitionBy("bucket").orderBy("n"))).groupBy("bucket", "g").agg(F.min("n").alias("first"), F.max("n").alias("last"))
-    # Pieces that end or begin at an edge may go on; the rest are done. Edge pieces are at most two a bucket.
-    edge = part.where(f"first % {bucket} = 0 or last % {bucket} = {bucket - 1}")
-    inner = part.where(f"not (first % {bucket} = 0 or last % {bucket} = {bucket - 1})").select("first", (F.col("last") - F.col("first") + 1).alias("length"))
-    w = Window.orderBy("first")
-    e = edge.withColumn("new", (F.col("first") != F.coalesce(F.lag("last").over(w), F.lit(-2)) + 1).cast("int")).withColumn("run", F.sum("new").over(w))
-    return inner.unionByName(e.groupBy("run").agg(F.min("first").alias("first"), (F.max("last") - F.min("first") + 1).alias("length")).select("first", "length"))
+    part = hit.withColumn("g", F.col("n") - F.row_number().over(Window.partitionBy("bucket").orderBy("n"))).groupBy("bucket", "g").agg(F.min("n").alias("first"), F.max("n").alias("last")).select("first", "last")
+    done = None
+    for size, above in ((bucket, bucket * fan), (bucket * fan, bucket * fan * fan), (bucket * fan * fan, None)):
+        edge = f"first % {size}L = 0 or last % {size}L = {size - 1}L"
+        ready = part.where(f"not ({edge})")
+        done = ready if done is None else done.unionByName(ready)
+        e = part.where(edge).withColumn("range", F.expr(f"first div {above}L") if above else F.lit(0))
+        w = Window.partitionBy("range").orderBy("first") if above else Window.orderBy("first")
+        e = e.withColumn("new", (F.col("first") != F.coalesce(F.lag("last").over(w), F.lit(-2)) + 1).cast("int")).withColumn("run", F.sum("new").over(w))
+        part = e.groupBy("range", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
+    return done.unionByName(part).select("first", (F.col("last") - F.col("first") + 1).alias("length"))
 
 
 def stream_compare(a: DataFrame, b: DataFrame, first: int, span: int, field: str = "f0") -> DataFrame:
@@ -87,6 +95,12 @@ def inconsistent(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count_distinct(F.struct(*values)).alias("variants"), F.count("*").alias("checked")).where("variants > 1")
 
 
+def consistency(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """One row: groups checked, those whose values aren't one and the same, and whether that is well. Nothing checked is an error."""
+    g = df.groupBy(*by).agg(F.min(F.struct(*values)).alias("lo"), F.max(F.struct(*values)).alias("hi"))
+    return g.agg(F.count("*").alias("checked"), F.count_if(F.col("lo") != F.col("hi")).alias("problems")).withColumn("ok", (F.col("checked") > 0) & (F.col("problems") == 0))
+
+
 def set_difference_counts(df: DataFrame, case: str, node: str, profile: str, before: str, after: str, failed: Column) -> DataFrame:
     """(case, added, removed, net) of the nodes under two profiles; cases that fail under any are left out."""
     bad = df.where(failed).select(case).distinct()

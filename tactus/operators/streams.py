@@ -1,7 +1,7 @@
 """The algebra of regular streams on DataFrames.
 
 A stream is a DataFrame with a dense index ``n`` and fields f0, f1, ...; its interval, origin (first index without a hole
-after it) and end (one past the last) are small numbers on the driver. Shift, interleave, both de-interleaves and decimation
+after it), end (one past the last) and tail (records that an emission waits for its inputs) are small numbers on the driver. Shift, interleave, both de-interleaves and decimation
 are projections and filters; only joins and windows shuffle, and a window shuffles once, by ranges of the index.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.functions import expr
-from tactus.functions.index import cdiv, component_interval, first_reaching, left_position, ratio, right_position, window_origin
+from tactus.functions.index import cdiv, component_interval, first_reaching, least_tail, left_position, ratio, right_position, window_origin
 
 #: Output records in one bucket of a window.
 BUCKET = 100_000
@@ -75,7 +75,13 @@ def interleave(a: Stream, b: Stream) -> Stream:
     origin = max(left_position(a.origin - 1, u, v) + 1 if a.origin else 0, right_position(b.origin - 1, u, v) + 1 if b.origin else 0)
     end = min(left_position(a.end, u, v), right_position(b.end, u, v))
     out = left.unionByName(right).where((F.col("n") >= origin) & (F.col("n") < end))
-    return Stream(out, a.delta * b.delta / (a.delta + b.delta), a.width, origin, end)
+    delta = a.delta * b.delta / (a.delta + b.delta)
+
+    def needs(n: int) -> list:
+        taken = n * v // (u + v)
+        return [(n - taken, b.delta, b.tail) if taken == (n + 1) * v // (u + v) else (taken, a.delta, a.tail)]
+
+    return Stream(out, delta, a.width, origin, end, least_tail(delta, u + v, needs))
 
 
 def _taken(n: str, u: int, v: int) -> str:
@@ -88,8 +94,7 @@ def left_of(c: Stream, other: Fraction | str) -> Stream:
     delta = component_interval(c.delta, other)
     u, v = ratio(delta, other)
     df = c.df.where(f"{_taken('n', u, v)} <> {_taken('n + 1', u, v)}").withColumn("n", F.expr(_taken("n", u, v)))
-    at = lambda n: left_position(n, u, v)
-    return Stream(df, delta, c.width, first_reaching(c.origin, at), first_reaching(c.end, at))
+    return _picked(c, df, delta, v, lambda n: left_position(n, u, v))
 
 
 def right_of(c: Stream, other: Fraction | str) -> Stream:
@@ -98,8 +103,7 @@ def right_of(c: Stream, other: Fraction | str) -> Stream:
     delta = component_interval(c.delta, other)
     u, v = ratio(other, delta)
     df = c.df.where(f"{_taken('n', u, v)} = {_taken('n + 1', u, v)}").withColumn("n", F.expr(f"n - {_taken('n', u, v)}"))
-    at = lambda n: right_position(n, u, v)
-    return Stream(df, delta, c.width, first_reaching(c.origin, at), first_reaching(c.end, at))
+    return _picked(c, df, delta, u, lambda n: right_position(n, u, v))
 
 
 def decimate(s: Stream, to: Fraction | str) -> Stream:
@@ -109,20 +113,38 @@ def decimate(s: Stream, to: Fraction | str) -> Stream:
         raise ValueError("the target can't be faster than the source")
     u, v = ratio(to, s.delta)
     df = s.df.withColumn("k", F.expr(f"(n * {v}L) div {u}L")).where(f"(k * {u}L + {v - 1}L) div {v}L = n").withColumn("n", F.col("k")).drop("k")
-    at = lambda n: cdiv(n * u, v)
-    return Stream(df, to, s.width, first_reaching(s.origin, at), first_reaching(s.end, at))
+    return _picked(s, df, to, v, lambda n: cdiv(n * u, v))
+
+
+def _picked(s: Stream, df: DataFrame, delta: Fraction, period: int, at: Callable[[int], int]) -> Stream:
+    """A stream whose record n is that of s at ``at(n)``, which ascends."""
+    tail = least_tail(delta, period, lambda n: [(at(n), s.delta, s.tail)])
+    return Stream(df, delta, s.width, first_reaching(s.origin, at), first_reaching(s.end, at), tail)
+
+
+def rescale(s: Stream, factor: Fraction | str) -> Stream:
+    """All intervals times a factor: the records, origin, end and tail stay."""
+    if Fraction(factor) <= 0:
+        raise ValueError("a factor is positive")
+    return replace(s, delta=s.delta * Fraction(factor))
+
+
+def shared(s: Stream) -> Stream:
+    """A stream that several results read: computed once and kept on the executors, on disk where memory ends."""
+    return replace(s, df=s.df.persist())
 
 
 def add(a: Stream, b: Stream) -> Stream:
     """Rate-aligned join: fields of both; the faster side's index n meets floor(n * fast / slow) of the other."""
     fast = min(a.delta, b.delta)
-    out, origins, ends = None, [], []
+    out, origins, ends, tails = None, [], [], []
     names = iter(range(a.width + b.width))
     for s in (a, b):
         u, v = ratio(fast, s.delta)
         at = (lambda n, u=u, v=v: n * u // v)
         origins.append(first_reaching(s.origin, at))
         ends.append(first_reaching(s.end, at))
+        tails.append(least_tail(fast, v, lambda n, at=at, s=s: [(at(n), s.delta, s.tail)]))
         side = s.df.select(F.col("n").alias("at"), *[F.col(f).alias(f"g{next(names)}") for f in s.fields])
         if s.delta == fast:
             side = side.withColumnRenamed("at", "n")
@@ -135,7 +157,7 @@ def add(a: Stream, b: Stream) -> Stream:
         else:
             out = side.withColumn("at", F.expr(at_sql)).join(out, "at").drop("at")
     out = out.select("n", *[F.col(f"g{i}").alias(f"f{i}") for i in range(a.width + b.width)])
-    return Stream(out, fast, a.width + b.width, max(origins), min(ends))
+    return Stream(out, fast, a.width + b.width, max(origins), min(ends), max(tails))
 
 
 def with_constants(s: Stream, values: list[int]) -> Stream:
@@ -158,21 +180,24 @@ def in_buckets(df: DataFrame, step: int, length: int, bucket: int = BUCKET) -> D
 
 
 def _windowed(s: Stream, step: int, length: int) -> Stream:
-    n = window_origin(s.origin, s.width, step, length)
-    return Stream(s.df, s.delta * step / s.width, 1, n, max(n, cdiv(s.end * s.width, step)))
+    n, delta = window_origin(s.origin, s.width, step, length), s.delta * step / s.width
+    tail = least_tail(delta, s.width, lambda k: [(k * step // s.width, s.delta, s.tail)])
+    return Stream(s.df, delta, 1, n, max(n, cdiv(s.end * s.width, step)), tail)
+
 
+def window(s: Stream, step: int, length: int, bucket: int = BUCKET) -> Stream:
+    """Record n holds positions n * step - (L - 1) .. n * step; newest first, or oldest first for a negative length. One array field f0.
 
-def window(s: Stream, step: int, length: int) -> Stream:
-    """Record n holds positions n * step - (L - 1) .. n * step; newest first, or oldest first for a negative length. One array field f0."""
+    One shuffle by ranges of the index; a record is copied to two ranges at most, not to each of its windows.
+    """
     if step < 1 or length == 0:
         raise ValueError("a window needs a step of 1 or more and a length")
     size = abs(length)
-    p = flattened(s).withColumn("n", F.explode(F.expr(f"case when (p + {step - 1}L) div {step}L <= (p + {size - 1}L) div {step}L then sequence((p + {step - 1}L) div {step}L, (p + {size - 1}L) div {step}L) else array() end")))
-    f = F.array_sort(F.collect_list(F.struct("p", "v")))
-    f = F.reverse(f) if length > 0 else f
-    out = p.groupBy("n").agg(F.transform(f, lambda x: x["v"]).alias("f0")).where((F.size("f0") == size))
+    held = F.collect_list(F.struct("v")).over(Window.partitionBy("bucket").orderBy("p").rangeBetween(-(size - 1), 0))
+    b = in_buckets(flattened(s), step, size, bucket).withColumn("held", held).where(f"size(held) = {size} and p % {step} = 0 and (p div {step}) div {bucket} = bucket")
+    f = F.reverse("held") if length > 0 else F.col("held")
     w = _windowed(s, step, size)
-    return replace(w, df=out.where((F.col("n") >= w.origin)))
+    return replace(w, df=b.select(F.expr(f"p div {step}").alias("n"), F.transform(f, lambda x: x["v"]).alias("f0")).where(F.col("n") >= w.origin))
 
 
 REDUCERS: dict[str, Callable[[Window], Column]] = {
@@ -225,6 +250,36 @@ def emission_times(s: Stream) -> DataFrame:
     return s.trimmed().select("n", ((F.col("n") + 1 + s.tail) * s.delta.numerator).alias("emit_num"), F.lit(s.delta.denominator).cast("long").alias("emit_den"))
 
 
+def resample(s: Stream, up: int, down: int, taps: list[float], bucket: int = BUCKET) -> Stream:
+    """Polyphase rate conversion in doubles: ``up - 1`` zeros after each record, a centred filter, every ``down``-th record.
+
+    Record o is the sum of taps[k] * x[m] over k + up * m = o * down + (len(taps) - 1) / 2; x is 0 outside the stream. Each input
+    makes the outputs from itself to the next input, from its neighbours: one shuffle by ranges of the index with a halo.
+    """
+    if up < 1 or down < 1 or len(taps) % 2 == 0:
+        raise ValueError("rates are 1 or more, and the taps' number is odd")
+    half = len(taps) // 2
+    reach = half // up + 1
+    x = s.trimmed().select("n", F.col("f0").cast("double").alias("x"))
+    x = x.withColumn("bucket", F.explode(F.expr(f"sequence(greatest(n - {reach}L, 0L) div {bucket}L, (n + {reach}L) div {bucket}L)")))
+    w = Window.partitionBy("bucket").orderBy("n")
+    near = lambda j: F.coalesce(F.lead("x", j).over(w) if j > 0 else F.lag("x", -j).over(w) if j else F.col("x"), F.lit(0.0))
+    for r in range(up):
+        # Output o = (n * up + r) / down; tap r + half - up * j meets x[n + j].
+        y = sum((near(j) * F.lit(float(taps[r + half - up * j])) for j in range(-reach, reach + 1) if 0 <= r + half - up * j < len(taps)), F.lit(0.0))
+        x = x.withColumn(f"y{r}", y)
+    x = x.where(f"n div {bucket}L = bucket")
+    outs = f"(n * {up}L + {down - 1}L) div {down}L", f"((n + 1) * {up}L + {down - 1}L) div {down}L - 1"
+    x = x.select("n", F.array(*[f"y{r}" for r in range(up)]).alias("y"), F.explode(F.expr(f"if({outs[0]} <= {outs[1]}, sequence({outs[0]}, {outs[1]}), cast(array() as array<bigint>))")).alias("o"))
+    df = x.select(F.col("o").alias("n"), F.get("y", (F.col("o") * down - F.col("n") * up).cast("int")).alias("f0"))
+    return Stream(df, s.delta * down / up, 1, first_reaching(s.origin, lambda o: o * down // up), cdiv(s.end * up, down), s.tail)
+
+
+def provenance(s: Stream, field: str = "f0", unit: int = 1_000_000) -> DataFrame:
+    """(n, source, record, place) that the values of tagged sources, (source + 1) * unit + record * 10 + place, tell of themselves."""
+    return s.trimmed().select("n", F.expr(f"{field} div {unit}L - 1").alias("source"), F.expr(f"{field} % {unit}L div 10").alias("record"), F.expr(f"{field} % 10").alias("place"))
+
+
 def canonical_long(s: Stream, family: str, variant: str) -> DataFrame:
     """(family, variant, logical_index, field_name, value, is_null, is_gap), a row per field."""
     pairs = F.array(*[F.struct(F.lit(f"out_{i}").alias("field_name"), F.col(f).cast("string").alias("value")) for i, f in enumerate(s.fields)])

@@ -141,8 +141,6 @@ query("reduce_avg_exact", f"WITH {EV}, h AS (SELECT n, {HOLES} AS v FROM ev), w
 SHIFTED = "sa AS (SELECT n + 2 AS n, v FROM ev), sb AS (SELECT n + 4 AS n, v FROM od)"
 query("origin_trim", f"WITH {EV}, {OD}, {SHIFTED}, {gather('sa', 'sb', 1, 2, size('sa'), size('sb'))} SELECT n, v FROM mix WHERE n > (SELECT max(n) FROM mix WHERE v IS NULL)")(lambda s, d: out(S.interleave(S.shift(ev(s, d), 2), S.shift(od(s, d), 4)), "v"))
 query("emission_time", f"WITH {EV} SELECT n, (n + 1) * 147 AS emit_num, 1000::BIGINT AS emit_den FROM (SELECT p_partkey AS n FROM part)")(lambda s, d: S.emission_times(pt(s, d)))
-
-
 def _emb(s, d):
     e = table(s, d, "embeddings")
     return S.from_table(e, "vec_id", [F.expr(f"cast(round(cast(embedding[{i}] as double) * 10000) as bigint)") for i in range(64)], "1/10")
@@ -379,10 +377,9 @@ query("stream_add", f"WITH {EV}, {OD} SELECT ev.n, ev.v AS f0, od.v AS f1 FROM e
 
 @query("stream_subscribe", f"WITH {EV} SELECT n, v AS f0 FROM ev")
 def _subscribe(s, d):
-    import tempfile
     import uuid
 
-    root = (s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tactus-")) + f"/subscribed-{uuid.uuid4().hex}"
+    root = f"{readers.shared_folder(s)}/subscribed-{uuid.uuid4().hex}"
     live.subscribe(_live(s, d), f"{root}/rows", f"{root}/state").awaitTermination()
     return s.read.parquet(f"{root}/rows")
 
@@ -397,3 +394,6 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["qrs_features"](spark, sf_dir)
+
+
+from tactus.plans import extended  # noqa: E402, F401  registers more queries

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import struct
+import tempfile
 from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
+
+from tactus.operators.streams import Stream
 
 PROBE = "iter LONG, compute_ns LONG, wake_lag_ns LONG, e2e_ns LONG"
 
@@ -19,24 +25,68 @@ def text_records(spark: SparkSession, path: str, fields: list[str]) -> DataFrame
     return spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, 0).cast("long").alias("n"), *cols)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a local one of its own only where all run on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tactus-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows (part, ``order``, ...) with n, their number from 0 on by part and order; a row per part comes to the driver."""
+    sizes, starts, total = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}, {}, 0
+    for part in sorted(sizes):
+        starts[part] = total
+        total += sizes[part]
+    base = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")] if starts else F.lit(0)
+    return rows.withColumn("n", base.cast("long") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1)
+
+
 def numbered_lines(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """Lines without an index: numbered in file order once, at ingest."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF(StructType([StructField("n", LongType()), StructField("value", rows.schema["value"].dataType)]))
+    """Lines without an index: numbered in file order once, at ingest. Files and their splits come in the order of Spark's listing."""
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "value")
     parts = F.split(F.trim("value"), r"\s+")
-    return numbered.select("n", *[F.when(F.upper(F.get(parts, i)) != "NULL", F.get(parts, i).cast("long")).alias(f) for i, f in enumerate(fields)])
+    return numbered(rows, "at").select("n", *[F.when(F.upper(F.get(parts, i)) != "NULL", F.get(parts, i).cast("long")).alias(f) for i, f in enumerate(fields)])
+
+
+def binary_records(spark: SparkSession, path: str, layout: str, fields: list[str], chunk: int = 100_000) -> DataFrame:
+    """Fixed-length binary records, numbered in file order; layout is that of ``struct``, such as '<ii'.
 
+    Hadoop's splits end at records; a split's records travel in chunks and are unpacked as arrays.
+    """
+    size, order = struct.calcsize(layout), layout[0] if layout[0] in "<>" else "="
+    kinds = [f"{order}{'u' if c.isupper() else 'i'}{struct.calcsize(order + c)}" if c not in "fd" else f"{order}f{struct.calcsize(c)}" for c in layout.lstrip("<>=")]
+    record = np.dtype({"names": fields, "formats": kinds})
 
-def binary_records(spark: SparkSession, path: str, layout: str, fields: list[str]) -> DataFrame:
-    """Fixed-length binary records, numbered in file order; layout is that of ``struct``, such as '<ii'."""
-    size = struct.calcsize(layout)
-    rdd = spark.sparkContext.binaryRecords(path, size).zipWithIndex()
+    def chunks(part: int, records: Iterator[bytes]) -> Iterator[tuple]:
+        held, at = [], 0
+        for r in records:
+            held.append(r)
+            if len(held) == chunk:
+                yield part, at, b"".join(held)
+                held, at = [], at + 1
+        if held:
+            yield part, at, b"".join(held)
 
-    def rows(part: Iterator) -> Iterator[tuple]:
-        for raw, n in part:
-            yield (n, *struct.unpack(layout, raw))
+    rows = spark.sparkContext.binaryRecords(path, size).mapPartitionsWithIndex(chunks).toDF("part int, at int, blob binary")
+    counts = rows.select("part", F.expr(f"cast(length(blob) / {size} as long)").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row per split
+    starts, total = {}, 0
+    for r in sorted(counts):
+        starts[r.part] = total
+        total += r.n
 
-    return rdd.mapPartitions(rows).toDF(StructType([StructField(f, LongType()) for f in ["n", *fields]]))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, at, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(blob, record)
+                cols = [np.arange(len(x)) + starts[part] + at * chunk, *(x[f].astype(np.float64 if x[f].dtype.kind == "f" else np.int64) for f in fields)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["n", *fields])
+
+    return rows.mapInArrow(unpack, ", ".join(["n long", *(f"{f} {'double' if 'f' in k else 'long'}" for f, k in zip(fields, kinds, strict=True))]))
 
 
 def synthetic(spark: SparkSession, count: int, *fields: Column) -> DataFrame:
@@ -78,16 +128,40 @@ def log_counters(lines: DataFrame, key: str, text: str, patterns: dict[str, str]
     return x.groupBy(key, "counter").agg(F.max(F.get("all", F.lit(0)).cast("long")).alias("value"), F.sum(F.size("all").cast("long")).alias("hits"))
 
 
-def validate_table(df: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(rule, violations): rows for which a rule isn't true; the rule ``not_empty`` is always checked."""
+def schema_problems(df: DataFrame, schema: str) -> dict[str, str]:
+    """Column -> what is wrong with it beside a declared schema: missing, unexpected, or of another type; and order, if only that differs."""
+    want = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema)}
+    have = dict(df.dtypes)
+    out = {c: "missing" for c in want if c not in have} | {c: "unexpected" for c in have if c not in want}
+    out |= {c: f"{have[c]} instead of {k}" for c, k in want.items() if c in have and have[c] != k}
+    return out or ({"*": "order"} if list(want) != list(have) else {})
+
+
+def validate_table(df: DataFrame, rules: dict[str, str], schema: str | None = None) -> DataFrame:
+    """(rule, violations): rows for which a rule isn't true; ``not_empty`` is always checked, ``header`` counts the columns that differ from a schema."""
+    problems = schema_problems(df, schema) if schema else {}
     checks = [F.count_if(~F.coalesce(F.expr(r), F.lit(False))).alias(k) for k, r in rules.items()]
     one = df.agg(F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("not_empty"), *checks)
+    one = one.withColumn("header", F.lit(len(problems)).cast("long")) if schema else one
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in one.columns])).alias("x")).select("x.*")
 
 
-def write_stream(df: DataFrame, path: str) -> None:
-    """A stream as Parquet, ordered by ranges of its index, so that a filter on n skips files."""
-    df.repartitionByRange("n").sortWithinPartitions("n").write.mode("overwrite").parquet(path)
+def save_stream(s: Stream, path: str) -> None:
+    """A stream as Parquet files: records ordered by ranges of the index, so that a filter on n skips files, and a descriptor of one row."""
+    s.df.select("n", *s.fields).repartitionByRange("n").sortWithinPartitions("n").write.mode("overwrite").parquet(f"{path}/records")
+    head = [(s.delta.numerator, s.delta.denominator, s.width, s.origin, s.end, s.tail)]
+    s.df.sparkSession.createDataFrame(head, "num long, den long, width int, origin long, end long, tail long").coalesce(1).write.mode("overwrite").parquet(f"{path}/descriptor")
+
+
+def load_stream(spark: SparkSession, path: str) -> Stream:
+    h = spark.read.parquet(f"{path}/descriptor").first()
+    return Stream(spark.read.parquet(f"{path}/records"), Fraction(h.num, h.den), h.width, h.origin, h.end, h.tail)
+
+
+def null_index(s: Stream) -> DataFrame:
+    """(n, fields): the records with NULL fields, and which."""
+    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(i)) for i, f in enumerate(s.fields)]))
+    return s.trimmed().select("n", missing.alias("fields")).where(F.size("fields") > 0)
 
 
 def file_index(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from fractions import Fraction
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.functions.expr import idiv
+from tactus.sources.readers import shared_folder
 
 #: Slot 0 of the clock: well after the epoch, so that a first watermark doesn't drop the first records.
 BASE = 86_400_000_000
@@ -42,8 +42,7 @@ def slot_time(n: str, delta: Fraction):
 def collected(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there now and returns what it wrote to the shared folder. In update mode df must put out each row once."""
     spark, name = df.sparkSession, f"sink_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tactus-")
-    out = f"{root}/{name}"
+    out = f"{shared_folder(spark)}/{name}"
     if mode == "update":
         # The executors write each batch to a folder of its own, which a repeated batch overwrites.
         spark.createDataFrame([], df.schema).write.parquet(f"{out}/none")
@@ -56,7 +55,7 @@ def collected(df: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def window_avg(df: DataFrame, delta: Fraction, length: int, delay: str = "1 second") -> DataFrame:
-    """Sliding average with step 1, keyed by output index; full windows only.
+    """Sliding average with step 1, keyed by output index; full windows only. Each record meets the state of its ``length`` windows.
 
     For update mode: a window is put out once, by the batch that fills it, and the watermark drops its state later.
     """

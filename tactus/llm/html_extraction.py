@@ -253,9 +253,13 @@ def templates(parsed: DataFrame) -> DataFrame:
 
 def cut(pages: DataFrame) -> DataFrame:
     """Pages joined with their host's template (null without one), with the blocks of text outside it and the slot of each: the template's token before it."""
-    places = "filter(transform(tokens, (t, i) -> struct(i, t.token)), x -> array_contains(template, x.token))"
-    block = "struct(t.text, t.chars, t.links, t.role, t.main, coalesce(array_contains(template, t.token), false) as fixed, coalesce(try_element_at(filter(places, x -> x.i < i), -1).token, 0L) as slot)"
-    return pages.withColumn("places", F.expr(places)).withColumn("blocks", F.expr(f"filter(transform(tokens, (t, i) -> {block}), b -> b.chars is not null and not b.fixed)")).drop("tokens", "places")
+    # Each step is bound to a name once a page: an expression inside a function of elements would be evaluated for each.
+    numbered = "transform(tokens, (t, i) -> struct(i, t.token, t.chars, t.links, t.role, t.main, t.text, coalesce(array_contains(template, t.token), false) as fixed))"
+    block = "struct(b.text, b.chars, b.links, b.role, b.main, coalesce(try_element_at(filter(places, x -> x.i < b.i), -1).token, 0L) as slot)"
+    within = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    blocks = f"transform(filter(n, b -> b.chars is not null and not b.fixed), b -> {block})"
+    places = "transform(filter(n, x -> x.fixed), x -> struct(x.i, x.token))"
+    return pages.withColumn("blocks", F.expr(within(numbered, "n", within(places, "places", blocks)))).drop("tokens")
 
 
 def verdicts(parsed: DataFrame, found: DataFrame) -> DataFrame:

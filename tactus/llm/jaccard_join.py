@@ -15,7 +15,7 @@ Parity sketches, whose bits bound the differences of two sets from below, drop m
 pairs that remain are verified exactly.
 
 Defined results: words `[^ \\t-\\r]+` of the text with A-Z in lower case; fewer words than a shingle has make one shingle of
-all; no words, an empty set that links with nothing (a null text too). Rows that share a doc_id are one node whose set is that
+all; no words, an empty set that links with nothing (a null text too); a text of any length is shingled whole. Rows that share a doc_id are one node whose set is that
 of its least text; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -405,7 +405,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the rows with the least doc_id; rows without a doc_id are kept."""
+    """Of each group of near duplicates, the rows with the least doc_id; all of them if that repeats.
+
+    Rows without a doc_id can't be told apart by it and are kept; documents without words are like no other and are kept. Columns keep
+    their names, whatever they are; an empty table stays empty.
+    """
     name = unused(docs, "kept")
     keep = jaccard_join(docs).where("component_id = doc_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(keep, F.col("doc_id").cast("long") == F.col(name), "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -140,7 +140,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it whole; one taken for part of a copy has its words cut to that part. n_chars follows the text."""
+    """Each row as often as the mix takes it whole; one taken for part of a copy has its words cut to that part. n_chars follows the text.
+
+    Rows with null or repeated doc_ids have shares of their own; null and empty texts are never taken; columns keep their names.
+    """
     m = shares(docs, {"doc": F.struct(*docs.columns)}).where("taken > 0")
     rest = F.col("taken") % F.col("size")
     whole = F.array_repeat(F.lit(None).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))

@@ -5,8 +5,9 @@ documents are range-sorted by the point's Hilbert key, so that neighbours on the
 packed in that order, cut where a sequence is full. What is left at the end of a range goes into sequences whose lengths are
 powers of two, which need no padding.
 
-Defined results: a null text is empty and has its end id only; null and repeated doc_ids are documents of their own; an
-empty table gives an empty result; other columns are ignored.
+Defined results: a null text is empty and has its end id only; null and repeated doc_ids, and equal rows, are documents of their own;
+points that tie are ordered by doc_id and ids; a text of any length is encoded whole and cut where sequences are full; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .tokens import encoder, ids_crc32, vocabulary_path
 END_ID = 0
 LENGTH = 1024
 DIMENSIONS, BITS = 4, 12
+#: Bytes of ids in a range of the curve.
+RANGE_BYTES = 64 << 20
 #: Cells that a document vector is hashed to.
 CELLS = 1024
 
@@ -134,7 +137,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = LE
 
     # Stored, so that sampling the ranges doesn't run the tokenizer a second time.
     points = stored(tokenized(docs, tokenizer, end_id), "packing-ids")
-    curve = points.repartitionByRange("hilbert", "doc_id").sortWithinPartitions("hilbert", "doc_id", "ids")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(points.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // RANGE_BYTES))
+    curve = points.repartitionByRange(parts, "hilbert", "doc_id").sortWithinPartitions("hilbert", "doc_id", "ids")
     return curve.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in cols))
 
 
@@ -143,4 +147,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, with their ids; each row is a document of its own, with a null or repeated doc_id as well."""
     return pack(docs, vocabulary_path("byte_bpe_50k.json"))

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import embedding_dedup, html_extraction, jaccard_join, mixing, packing, quality_rules, rule_classifier, secret_scan, substring_dedup, token_files
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
@@ -23,7 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_html_extraction": html_extraction.query,
         "op10_secret_scan": secret_scan.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 

@@ -6,7 +6,8 @@ scoring is a projection. Fitting takes a bounded sample of labelled rows, those
 
 Defined results: a null text is empty and gets the score of its (zero) statistics. Without labels of both kinds every score is
 the share of label 1, or 0.5 if there are none. Rows with null labels aren't learnt from; a doc_id with several labels counts
-with each. An empty table gives an empty result. doc_id, lang, source and labels are no inputs of a score.
+with each. Texts of any length are counted whole; equal texts get equal scores, and rows that share a doc_id have scores of their own.
+An empty table gives an empty result. doc_id, lang, source and labels are no inputs of a score; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -263,7 +263,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every span replaced by a mark; none is dropped, null texts stay null. n_chars follows the text."""
+    """The rows with every span replaced by a mark; n_chars follows the text.
+
+    None is dropped: null texts stay null, null and repeated doc_ids don't matter, and columns keep their names, whatever they are.
+    """
     model = ordinary_tokens(docs)
     least = limits(stored(scan(docs, model), "secret-spans"))
     names = [f.name for f in docs.schema]

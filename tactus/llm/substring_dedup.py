@@ -243,7 +243,8 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         index.ingest(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     found = index.candidates()
     index.forget()
-    same = found.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "lo", "hi")).alias("one"), F.max("several").alias("several"))
+    # Stored, so that the join below is of two plain shuffles, whose large keys Spark can split.
+    same = stored(found.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "lo", "hi")).alias("one"), F.max("several").alias("several")), "repeated-spans")
     whole = found.join(same.where("n > 1").select("h", "span"), ["h", "span"], "left_semi").select("doc_id", "row", "lo", "hi")
     windows = window_digests(same.where("several").select("one.*", (F.col("n") == 1).alias("alone")), rows)
     twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")

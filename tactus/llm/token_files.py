@@ -7,7 +7,8 @@ two Elias-Fano sequences, the documents' ends and their doc_ids. A sequence of n
 shard with the number of ids before it.
 
 Defined results: a null text is empty and has its end id only; null doc_ids come first; repeated doc_ids are documents of
-their own, in the order of their texts; an empty table writes no shard; other columns are ignored. A shard is written under
+their own, in the order of their texts, equal rows side by side; a text of any length is encoded whole and lies in one shard; an empty
+table writes no shard; other columns are ignored. A shard is written under
 a name of its own and then moved, so a task that runs again after a lost executor replaces it by the same bytes.
 """
 
@@ -23,13 +24,15 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, scratch, table, texts
+from .common import in_batches, scratch, short_batches, table, text_bytes, texts
 from .tokens import encoder, ids_crc32, vocabulary_path
 
 MAGIC = b"EFTOKEN1"
 END_ID = 1
 #: Ids in a shard, at least until the document that passes it ends.
 SHARD_IDS = 8_000_000
+#: Bytes of text in a range of doc_ids.
+PART_BYTES = 64 << 20
 STEP = 256
 
 
@@ -163,8 +166,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if ids:
             yield pa.RecordBatch.from_pydict(flush(doc_ids, ids))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    ordered = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    short_batches(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // PART_BYTES))
+    ordered = texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "shard string, n_docs long, n_ids long").write.parquet(f"{path}/written")
     w = spark.read.parquet(f"{path}/written")
     # A row per shard, some tens of MB of ids each.
@@ -184,12 +188,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for name, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as f:
                     s = Shard(f.read())
-                ends = s.ends.all()
-                begins = np.concatenate([[0], ends[:-1]])
-                out["doc_id"] += [None] * s.null_docs + (s.docs.all() + s.least_doc).tolist()
-                out["start"] += (begins + base).tolist()
-                out["n_tokens"] += (ends - begins).tolist()
-                out["ids_crc32"] += [ids_crc32(s.ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                begin = 0
+                for i in range(len(s)):
+                    end = s.ends.select(i)
+                    out["doc_id"].append(s.doc_id(i))
+                    out["start"].append(base + begin)
+                    out["n_tokens"].append(end - begin)
+                    out["ids_crc32"].append(ids_crc32(s.ids[begin:end]))
+                    begin = end
             return {k: pa.array(v, pa.int64()) for k, v in out.items()}
 
         return each

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import tempfile
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share; a local one of its own only where all run on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tactus-")
         spark.conf.set("spark.checkpoint.dir", root)

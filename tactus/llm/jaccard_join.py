@@ -39,6 +39,8 @@ SHINGLE = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 RATIO = 1.4
+#: Sizes of sets that may be similar lie in one band of this ratio or in neighbouring ones; more than 100 / PERCENT.
+BAND = 1.26
 #: Keys to spare beyond H that a scheme aims at, and what each one missing costs in chance pairs.
 SPARE, CHANCE = 0.12, 8
 #: Keys that a task gathers before it sends them, and rows that a batch has at most.
@@ -345,9 +347,12 @@ def cross_pairs(s: DataFrame, sets: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("doc_id", "spare").orderBy(F.desc("size"), "key"))
     live = s.withColumn("rank", rank).where(F.col("rank") >= F.col("spare") % 2**32).select("key", "doc_id", "c")
     live = stored(live.join(sets.select("doc_id", F.col("n_shingles").alias("n"), "sketch"), "doc_id"), "jaccard-live")
-    a, b = (live.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & allowed())
-    return pairs.select("a", "b").distinct()
+    # Pairs meet in a key and a band of sizes: similar sets' sizes differ by a quarter at most, less than a band.
+    band = F.floor(F.log("n") / math.log(BAND)).cast("int")
+    side = lambda x, bands: live.select("key", bands.alias("band"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
+    a, b = side("a", band), side("b", F.explode(F.array(band, band - 1)))
+    pairs = a.join(b, ["key", "band"]).where((F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ca") != F.col("cb")) & allowed())
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def labelled(rows: DataFrame, column: str, label: DataFrame, name: str = "c") -> DataFrame:

@@ -87,9 +87,9 @@ def before(rows: DataFrame, value: str, name: str, down: bool = False) -> DataFr
     """rows (source, size, salt, value) with ``name``: the sum of value over those of the source that come before by size and salt."""
     order = F.desc if down else F.asc
     upto = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Ranges of sizes, 16 for each power of two: a few hundred a source.
-    shift = F.greatest(F.length(F.bin("size")) - 5, F.lit(0))
-    rows = rows.withColumn("range", (shift * 16 + F.floor(F.col("size") / F.pow(F.lit(2.0), shift))).cast("int"))
+    # Ranges of sizes, 64 for each power of two: some hundreds a source.
+    shift = F.greatest(F.length(F.bin("size")) - 7, F.lit(0))
+    rows = rows.withColumn("range", (shift * 64 + F.floor(F.col("size") / F.pow(F.lit(2.0), shift))).cast("int"))
     tops = rows.groupBy("source", "range").agg(F.sum(value).alias(value)).withColumn("top", upto(Window.partitionBy("source").orderBy(order("range")))).select(F.col("source").alias("_s"), F.col("range").alias("_r"), "top")
     within = rows.withColumn("within", upto(Window.partitionBy("source", "range").orderBy(order("size"), "salt")))
     return within.join(tops, within.source.eqNullSafe(F.col("_s")) & (within["range"] == F.col("_r"))).withColumn(name, F.col("top") + F.col("within")).drop("range", "top", "within", "_s", "_r")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_batches, stored, table, texts
-from .tokens import encoder, ids_crc32, vocabulary_path
+from .tokens import encoder, ids_crc32, sent, vocabulary_path
 
 END_ID = 0
 LENGTH = 1024
@@ -71,10 +71,10 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, ids (16-bit little-endian, with the end id) and the Hilbert key of each document."""
-    end = struct.pack("<H", end_id)
+    end, spec = struct.pack("<H", end_id), sent(docs.sparkSession, tokenizer)
 
     def start():
-        encode, matrix = encoder(tokenizer).encode, projection()
+        encode, matrix = encoder(spec.value).encode, projection()
 
         def each(batch: pa.RecordBatch) -> dict:
             ids = [x + end for x in encode(batch.column("text").to_pylist())]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, scratch, short_batches, table, text_bytes, texts
-from .tokens import encoder, ids_crc32, vocabulary_path
+from .tokens import encoder, ids_crc32, sent, vocabulary_path
 
 MAGIC = b"EFTOKEN1"
 END_ID = 1
@@ -132,14 +132,14 @@ def shard_bytes(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes shards and ``path/manifest``; returns the manifest: shard, n_docs, n_ids, base (ids before the shard)."""
     spark = docs.sparkSession
-    end = struct.pack("<H", end_id)
+    end, spec = struct.pack("<H", end_id), sent(spark, tokenizer)
 
     def start():
         from pyspark import TaskContext
 
         part, state = TaskContext.get().partitionId(), {"seq": 0}
         fs, root = pyarrow.fs.FileSystem.from_uri(f"{path}/shards")
-        encode = encoder(tokenizer).encode
+        encode = encoder(spec.value).encode
 
         def flush(doc_ids: list, ids: list[bytes]) -> dict:
             name = f"{part:06d}-{state['seq']:06d}"

@@ -19,6 +19,8 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 from .common import kept_by_worker
 
@@ -73,12 +75,12 @@ class Remembered(dict):
 class Encoder:
     """Chunks of bytes -> ids. ``spaced`` chunks have a space before them that belongs to them."""
 
-    def __init__(self, path: str, pieces: str):
+    def __init__(self, spec: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
@@ -122,8 +124,8 @@ class Encoder:
 class WordEncoder(Encoder):
     """For the tokenizer whose pieces hold no white space, and that lowers case first."""
 
-    def __init__(self, path: str):
-        super().__init__(path, WORD_PIECES)
+    def __init__(self, spec: str):
+        super().__init__(spec, WORD_PIECES)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         return [b"".join(map(self.plain.__getitem__, text.lower().split())) for text in texts]
@@ -132,8 +134,8 @@ class WordEncoder(Encoder):
 class ByteEncoder(Encoder):
     """For the byte-level tokenizer that joins one space to the word after it."""
 
-    def __init__(self, path: str):
-        super().__init__(path, BYTE_PIECES)
+    def __init__(self, spec: str):
+        super().__init__(spec, BYTE_PIECES)
         self.newline = self.whole("\n")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -154,15 +156,20 @@ def odd_space(text: bytes) -> bool:
     return not text.isascii() and any(map(text.__contains__, WIDE_SPACES)) and re.search(r"[^\S \n]", text.decode("utf-8", "replace")) is not None
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of the tokenizer file at path, one per worker."""
+def sent(spark: SparkSession, path: str) -> Broadcast:
+    """The tokenizer file at a path of the driver's, some megabytes, for all executors."""
+    with open(path) as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def encoder(spec: str) -> Encoder:
+    """The encoder of a tokenizer file's content, one per worker."""
 
     def make() -> Encoder:
-        with open(path) as f:
-            byte_level = json.load(f)["pre_tokenizer"]["type"] == "ByteLevel"
-        return (ByteEncoder if byte_level else WordEncoder)(path)
+        byte_level = json.loads(spec)["pre_tokenizer"]["type"] == "ByteLevel"
+        return (ByteEncoder if byte_level else WordEncoder)(spec)
 
-    return kept_by_worker(f"encoder:{path}", make)
+    return kept_by_worker(f"encoder:{len(spec)}:{zlib.crc32(spec.encode())}", make)
 
 
 def ids_crc32(ids: np.ndarray) -> int:

@@ -9,7 +9,7 @@ from tactus.llm import tokens
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_tokenizer(name):
-    e = tokens.encoder(tokens.vocabulary_path(name))
+    e = tokens.encoder(open(tokens.vocabulary_path(name)).read())
     parts = ["word", "Word,", "it's", "it',", "'s", "s'", ",", "a.", "a..", "x1,", "12", "é,", "naïve", "日本", "<|endoftext|>", "a-b;", "A!", "?b", "_", "a\x00", ":", ""]
     r = random.Random(3)
     texts = ["", " ", "\n", " a", "a ", "a  b", "a\t b"] + ["".join(r.choice(parts) + r.choice([" ", " ", " ", "\n", "  "]) for _ in range(r.randint(1, 30))) for _ in range(500)]
@@ -19,6 +19,6 @@ def test_encoder_equals_tokenizer(name):
 
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    e = tokens.ByteEncoder(tokens.vocabulary_path("byte_bpe_50k.json"))
+    e = tokens.ByteEncoder(open(tokens.vocabulary_path("byte_bpe_50k.json")).read())
     text = "one two, three four; five one two, six seven. one"
     assert e.encode([text.encode()] * 3) == [e.whole(text)] * 3

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -57,8 +58,8 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def in_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]]) -> DataFrame:
-    """``mapInArrow`` with short batches. ``start()`` runs once a task and returns what turns a batch into columns."""
+def in_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]], only: Marked | None = None) -> DataFrame:
+    """``mapInArrow`` with short batches. ``start()`` runs once a task and returns what turns a batch into columns; ``only``: for these rows."""
     spark = df.sparkSession
     short_batches(spark)
     names = [f.name for f in spark.createDataFrame([], schema).schema]
@@ -66,11 +67,27 @@ def in_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         for batch in batches:
-            out = each(batch)
+            batch = only.of(batch) if only else batch
+            out = each(batch) if batch.num_rows else None
             if out is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names)
 
-    return df.mapInArrow(run, schema)
+    return (only.numbered(df) if only else df).mapInArrow(run, schema)
+
+
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id and the UTF-8 bytes of the whole text (a null text is empty), with further columns as they are."""
+    return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
+def kept_by_worker(key: str, make: Callable[[], Any]) -> Any:
+    """One object per Python worker; workers are reused, so later tasks find it again."""
+    import __main__
+
+    held = __main__.__dict__.setdefault("_tactus_held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def marks(ids: DataFrame) -> np.ndarray:
@@ -82,52 +99,48 @@ def marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def marked(docs: DataFrame, key: str, wanted: np.ndarray, others: bool = False) -> DataFrame:
-    """Rows whose key has its bit in the filter; with ``others``, those whose key hasn't. A few keys besides those marked have one, all if they are many."""
-    columns = docs.columns
+@dataclass(frozen=True)
+class Marked:
+    """Rows whose key has its bit in a filter, or those whose key hasn't. A few keys besides those marked have one, all if they are many."""
+
+    key: str
+    words: np.ndarray
+    others: bool = False
+
+    def numbered(self, df: DataFrame) -> DataFrame:
+        return df.select("*", F.pmod(F.xxhash64(self.key), F.lit(FILTER_BITS)))
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The batch's rows of this kind, without the number that ``numbered`` has put last."""
+        at = batch.column(batch.num_columns - 1).to_numpy()
+        keep = np.flatnonzero(((self.words[at // 64] >> (at % 64)) & 1 == 1) != self.others)
+        return batch.select(batch.schema.names[:-1]).take(pa.array(keep))
+
 
+def filtered(df: DataFrame, only: Marked) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(len(columns)).to_numpy()
-            keep = np.flatnonzero(((wanted[at // 64] >> (at % 64)) & 1 == 1) != others)
-            if len(keep):
-                yield batch.select(columns).take(pa.array(keep))
+        yield from map(only.of, batches)
 
-    short_batches(docs.sparkSession)
-    schema = docs.schema
-    return docs.select("*", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(run, schema)
+    return only.numbered(df).mapInArrow(run, df.schema)
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """docs with the column z, the compressed text, in place of ``text``."""
+def compressed(docs: DataFrame, only: Marked) -> DataFrame:
+    """The rows of docs with the column z, the compressed text, in place of ``text``."""
     kept = [f for f in docs.schema if f.name != "text"]
+    schema = StructType([*kept, StructField("z", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in map(only.of, batches):
             z = pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), z], [*(f.name for f in kept), "z"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), z], schema.names)
 
-    return docs.mapInArrow(run, StructType([*kept, StructField("z", BinaryType())]))
+    short_batches(docs.sparkSession)
+    return only.numbered(docs).mapInArrow(run, schema)
 
 
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, from which numbers of parts are derived."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-
-def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and the UTF-8 bytes of the whole text (a null text is empty), with further columns as they are."""
-    return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-
-
-def kept_by_worker(key: str, make: Callable[[], Any]) -> Any:
-    """One object per Python worker; workers are reused, so later tasks find it again."""
-    import __main__
-
-    held = __main__.__dict__.setdefault("_tactus_held", {})
-    if key not in held:
-        held[key] = make()
-    return held[key]

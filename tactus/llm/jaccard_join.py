@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import compressed, in_batches, marked, marks, short_batches, stored, table, text_bytes, texts, unused
+from .common import Marked, compressed, in_batches, marks, short_batches, stored, table, text_bytes, texts, unused
 from .components import components
 from .substring_dedup import mixed
 
@@ -44,7 +44,7 @@ BAND = 1.26
 #: Keys to spare beyond H that a scheme aims at, and what each one missing costs in chance pairs.
 SPARE, CHANCE = 0.12, 8
 #: Keys that a task gathers before it sends them, and rows that a batch has at most.
-FLUSH, EMIT = 2_000_000, 100_000
+FLUSH, EMIT = 1_000_000, 100_000
 #: Digests of sets that a task remembers, in each of two generations.
 SEEN = 500_000
 #: Bytes of text whose keys make a part of the key space: some millions of keys, which a task sorts in memory.
@@ -279,7 +279,7 @@ def found_in(nodes: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Compressed texts of the documents with these ids, stored; where ids outnumber the filter's bits, of the others too."""
-    return stored(compressed(marked(docs.select("doc_id", "text"), "doc_id", marks(ids))).select("doc_id", "z"), "jaccard-texts")
+    return stored(compressed(docs.select("doc_id", "text"), Marked("doc_id", marks(ids))), "jaccard-texts")
 
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:

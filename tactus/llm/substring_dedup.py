@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import compressed, in_batches, marked, marks, scratch, stored, table, text_bytes, texts
+from .common import Marked, compressed, filtered, in_batches, marks, scratch, stored, table, text_bytes, texts
 
 WINDOW = 35
 GRAM = 8
@@ -138,7 +138,7 @@ class FingerprintIndex:
         found = reduce(DataFrame.unionByName, self.found).groupBy("h").agg(F.max("several").alias("several"))
         found = stored(found, "repeated")
         few = marks(found.select(F.col("h").alias("id")))
-        return stored(marked(reduce(DataFrame.unionByName, self.spans), "h", few).join(found, "h"), "candidates")
+        return stored(filtered(reduce(DataFrame.unionByName, self.spans), Marked("h", few)).join(found, "h"), "candidates")
 
     def compact(self) -> None:
         """One run instead of all."""
@@ -169,7 +169,7 @@ def repeats(met: DataFrame) -> DataFrame:
 def window_digests(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(w, doc_id, row, at, alone): a digest of the words of every window in the given spans."""
     per_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("places"))
-    joined = compressed(marked(docs, "doc_id", marks(per_doc.select(F.col("doc_id").alias("id"))))).join(per_doc, ["doc_id", "row"])
+    joined = compressed(docs, Marked("doc_id", marks(per_doc.select(F.col("doc_id").alias("id"))))).join(per_doc, ["doc_id", "row"])
 
     def start():
         import zstandard
@@ -199,7 +199,7 @@ def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept text; ranges: (doc_id, row, lo, hi) of repeated windows."""
     per_doc = stored(ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("places")), "ranges")
     few = marks(per_doc.select(F.col("doc_id").alias("id")))
-    touched = compressed(marked(docs, "doc_id", few)).join(per_doc, ["doc_id", "row"], "left").select("doc_id", "z", "places")
+    touched = compressed(docs, Marked("doc_id", few)).join(per_doc, ["doc_id", "row"], "left").select("doc_id", "z", "places")
 
     def start():
         import zstandard
@@ -226,7 +226,7 @@ def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
         return each
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return in_batches(touched, schema, start).unionByName(in_batches(marked(docs, "doc_id", few, others=True).select("doc_id", "text"), schema, start))
+    return in_batches(touched, schema, start).unionByName(in_batches(docs.select("doc_id", "text"), schema, start, Marked("doc_id", few, others=True)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -141,6 +142,14 @@ def compressed(docs: DataFrame, only: Marked) -> DataFrame:
     return only.numbered(docs).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system after a large step, as Python workers go on to tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library where it has it
+    if trim:
+        trim(0)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, from which numbers of parts are derived."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

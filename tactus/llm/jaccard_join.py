@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Marked, compressed, in_batches, marks, short_batches, stored, table, text_bytes, texts, unused
+from .common import Marked, compressed, give_back, in_batches, marks, short_batches, stored, table, text_bytes, texts, unused
 from .components import components
 from .substring_dedup import mixed
 
@@ -204,6 +204,7 @@ def key_blobs(nodes: DataFrame, parts: int) -> DataFrame:
                 yield flush()
         if held["count"]:
             yield flush()
+        give_back()
 
     short_batches(nodes.sparkSession)
     return nodes.mapInArrow(run, "part int, doc_id long, n_shingles long, digest binary, sketch array<long>, blob binary")
@@ -258,6 +259,8 @@ def found_in(nodes: DataFrame) -> DataFrame:
             return
         doc_id, spare, count, keys = (np.concatenate(c) for c in (doc_id, spare, count, keys))
         k, d, s, first, two = met_in(keys, doc_id, spare, np.repeat(np.arange(len(count)), count))
+        del doc_id, spare, count, keys, x
+        give_back()
         vote = d != first
         order = np.lexsort((first[vote], d[vote]))
         a, b, t = d[vote][order], first[vote][order], two[vote][order]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_extraction, jaccard_join, mixing, packing, quality_rules, rule_classifier, secret_scan, substring_dedup, token_files
+from . import embedding_dedup, filter_audit, html_extraction, jaccard_join, mixing, packing, quality_rules, rule_classifier, secret_scan, substring_dedup, token_files
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_html_extraction": html_extraction.query,
         "op10_secret_scan": secret_scan.query,
+        "op11_filter_audit": filter_audit.query,
         "pipeline": pipeline,
     }
 
@@ -34,4 +35,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
     }

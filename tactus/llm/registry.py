@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, filter_audit, html_extraction, jaccard_join, mixing, packing, quality_rules, rule_classifier, secret_scan, substring_dedup, token_files
+from . import byte_bpe, embedding_dedup, filter_audit, html_extraction, jaccard_join, mixing, packing, quality_rules, rule_classifier, secret_scan, substring_dedup, token_files, vector_codes
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extraction": html_extraction.query,
         "op10_secret_scan": secret_scan.query,
         "op11_filter_audit": filter_audit.query,
+        "op12_vector_codes": vector_codes.query,
         "op13_byte_bpe": byte_bpe.query,
         "pipeline": pipeline,
     }

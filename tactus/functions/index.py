@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from fractions import Fraction
 
 
@@ -39,16 +40,7 @@ def window_origin(origin: int, width: int, step: int, length: int) -> int:
 
 def first_reaching(target: int, position) -> int:
     """Least n >= 0 whose source index position(n) is target or more; position ascends."""
-    lo, hi = 0, 1
-    while position(hi) < target:
-        hi *= 2
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if position(mid) >= target:
-            hi = mid
-        else:
-            lo = mid + 1
-    return lo
+    return bisect_left(range(1 << 62), target, key=position)
 
 
 def least_tail(delta: Fraction, period: int, needs) -> int:

@@ -8,8 +8,9 @@ are projections and filters; only joins and windows shuffle, and a window shuffl
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ class Stream:
     origin: int = 0
     end: int = 0
     tail: int = 0
+    #: When record n is there, in seconds; None for a source, whose record n comes at (n + 1) * delta. The pattern repeats with ``period`` records.
+    arrival: Callable[[int], Fraction] | None = field(default=None, compare=False)
+    period: int = 1
+
+    def comes(self, n: int) -> Fraction:
+        return self.arrival(n) if self.arrival else (n + 1) * self.delta
 
     @property
     def fields(self) -> list[str]:
@@ -62,7 +69,7 @@ def cyclic(s: Stream, count: int) -> Stream:
 def shift(s: Stream, by: int) -> Stream:
     if by < 1:
         raise ValueError("a shift is 1 or more")
-    return replace(s, df=s.df.withColumn("n", F.col("n") + by), origin=s.origin + by, end=s.end + by, tail=max(0, s.tail - by))
+    return replace(s, df=s.df.withColumn("n", F.col("n") + by), origin=s.origin + by, end=s.end + by, tail=max(0, s.tail - by), arrival=lambda n: s.comes(n - by))
 
 
 def interleave(a: Stream, b: Stream) -> Stream:
@@ -77,11 +84,21 @@ def interleave(a: Stream, b: Stream) -> Stream:
     out = left.unionByName(right).where((F.col("n") >= origin) & (F.col("n") < end))
     delta = a.delta * b.delta / (a.delta + b.delta)
 
-    def needs(n: int) -> list:
+    def picked(n: int) -> tuple[Stream, int]:
         taken = n * v // (u + v)
-        return [(n - taken, b.delta, b.tail) if taken == (n + 1) * v // (u + v) else (taken, a.delta, a.tail)]
+        return (b, n - taken) if taken == (n + 1) * v // (u + v) else (a, taken)
+
+    def needs(n: int) -> list:
+        side, at = picked(n)
+        return [(at, side.delta, side.tail)]
 
-    return Stream(out, delta, a.width, origin, end, least_tail(delta, u + v, needs))
+    def arrival(n: int) -> Fraction:
+        side, at = picked(n)
+        return side.comes(at)
+
+    # u + v records take v of the left and u of the right.
+    period = (u + v) * lcm(a.period // gcd(a.period, v), b.period // gcd(b.period, u))
+    return Stream(out, delta, a.width, origin, end, least_tail(delta, u + v, needs), arrival, period)
 
 
 def _taken(n: str, u: int, v: int) -> str:
@@ -119,14 +136,20 @@ def decimate(s: Stream, to: Fraction | str) -> Stream:
 def _picked(s: Stream, df: DataFrame, delta: Fraction, period: int, at: Callable[[int], int]) -> Stream:
     """A stream whose record n is that of s at ``at(n)``, which ascends."""
     tail = least_tail(delta, period, lambda n: [(at(n), s.delta, s.tail)])
-    return Stream(df, delta, s.width, first_reaching(s.origin, at), first_reaching(s.end, at), tail)
+    return Stream(df, delta, s.width, first_reaching(s.origin, at), first_reaching(s.end, at), tail, lambda n: s.comes(at(n)), _repeats(s, delta, period))
+
+
+def _repeats(s: Stream, delta: Fraction, period: int) -> int:
+    """Records after which a pattern of ``period`` records over those of s repeats, with that of s itself."""
+    taken = int(period * delta / s.delta)
+    return period * (s.period // gcd(s.period, taken))
 
 
 def rescale(s: Stream, factor: Fraction | str) -> Stream:
     """All intervals times a factor: the records, origin, end and tail stay."""
     if Fraction(factor) <= 0:
         raise ValueError("a factor is positive")
-    return replace(s, delta=s.delta * Fraction(factor))
+    return replace(s, delta=s.delta * Fraction(factor), arrival=lambda n: s.comes(n) * Fraction(factor))
 
 
 def shared(s: Stream) -> Stream:
@@ -137,7 +160,7 @@ def shared(s: Stream) -> Stream:
 def add(a: Stream, b: Stream) -> Stream:
     """Rate-aligned join: fields of both; the faster side's index n meets floor(n * fast / slow) of the other."""
     fast = min(a.delta, b.delta)
-    out, origins, ends, tails = None, [], [], []
+    out, origins, ends, tails, sources = None, [], [], [], []
     names = iter(range(a.width + b.width))
     for s in (a, b):
         u, v = ratio(fast, s.delta)
@@ -145,6 +168,7 @@ def add(a: Stream, b: Stream) -> Stream:
         origins.append(first_reaching(s.origin, at))
         ends.append(first_reaching(s.end, at))
         tails.append(least_tail(fast, v, lambda n, at=at, s=s: [(at(n), s.delta, s.tail)]))
+        sources.append((s, at, _repeats(s, fast, v)))
         side = s.df.select(F.col("n").alias("at"), *[F.col(f).alias(f"g{next(names)}") for f in s.fields])
         if s.delta == fast:
             side = side.withColumnRenamed("at", "n")
@@ -157,7 +181,7 @@ def add(a: Stream, b: Stream) -> Stream:
         else:
             out = side.withColumn("at", F.expr(at_sql)).join(out, "at").drop("at")
     out = out.select("n", *[F.col(f"g{i}").alias(f"f{i}") for i in range(a.width + b.width)])
-    return Stream(out, fast, a.width + b.width, max(origins), min(ends), max(tails))
+    return Stream(out, fast, a.width + b.width, max(origins), min(ends), max(tails), lambda n: max(s.comes(at(n)) for s, at, _ in sources), lcm(*(k for _, _, k in sources)))
 
 
 def with_constants(s: Stream, values: list[int]) -> Stream:
@@ -181,8 +205,9 @@ def in_buckets(df: DataFrame, step: int, length: int, bucket: int = BUCKET) -> D
 
 def _windowed(s: Stream, step: int, length: int) -> Stream:
     n, delta = window_origin(s.origin, s.width, step, length), s.delta * step / s.width
-    tail = least_tail(delta, s.width, lambda k: [(k * step // s.width, s.delta, s.tail)])
-    return Stream(s.df, delta, 1, n, max(n, cdiv(s.end * s.width, step)), tail)
+    at = lambda k: k * step // s.width
+    tail = least_tail(delta, s.width, lambda k: [(at(k), s.delta, s.tail)])
+    return Stream(s.df, delta, 1, n, max(n, cdiv(s.end * s.width, step)), tail, lambda k: s.comes(at(k)), _repeats(s, delta, s.width))
 
 
 def window(s: Stream, step: int, length: int, bucket: int = BUCKET) -> Stream:

@@ -6,6 +6,7 @@ index they look the source record up, or use one unbucketed window.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from fractions import Fraction
@@ -17,7 +18,7 @@ from tactus.functions import expr
 from tactus.operators import eventlog, infer, measure, pipelines, quality
 from tactus.operators import streams as S
 from tactus.sources import readers
-from tactus.streaming import live
+from tactus.streaming import live, subscription
 
 TAPS26 = [(k * 7) % 23 - 9 for k in range(26)]
 TAPS25 = [(k * 5) % 17 - 6 for k in range(25)]
@@ -361,27 +362,66 @@ def _fit(s, d):
 def _live(s, d, name="events"):
     if name == "events":
         return live.live_table(s, f"{d}/events.parquet", "event_id", CENTS)
+    if name == "part":
+        return live.live_table(s, f"{d}/part.parquet", "p_partkey", "cast(p_size as bigint)")
     return live.live_table(s, f"{d}/orders.parquet", "o_orderkey", "cast(round(o_totalprice * 100) as bigint)")
 
 
 def _live_stream(s, d, name, delta):
-    batch = ev(s, d) if name == "events" else od(s, d)
+    batch = {"events": ev, "orders": od, "part": pt}[name](s, d)
     return S.Stream(_live(s, d, name), Fraction(delta), 1, 0, batch.end)
 
 
-query("stream_interleave", ORACLES["interleave"])(lambda s, d: live.collected(out(S.interleave(_live_stream(s, d, "events", "1/10"), _live_stream(s, d, "orders", "1/5")), "v")))
-query("stream_window_avg", f"WITH {EV}, w AS (SELECT n, {WIN('sum', 30, 's')} FROM ev) SELECT n, (s // 30)::BIGINT AS f0 FROM w WHERE n >= 29")(lambda s, d: live.collected(live.window_avg(_live(s, d), Fraction(1, 360), 30), "update"))
+def _replayed(s, *streams: S.Stream, batches: int = 3) -> list[S.Stream]:
+    """The streams as live ones, recorded in batches over the time of the first one."""
+    root, seconds = f"{readers.shared_folder(s)}/replayed-{uuid.uuid4().hex}", streams[0].end * streams[0].delta / batches
+    for i, x in enumerate(streams):
+        live.record(x, f"{root}/{i}", seconds, batches)
+    return [live.replayed(s, f"{root}/{i}", x, x.end) for i, x in enumerate(streams)]
+
+
+def _mixed(s, d):
+    return S.interleave(_live_stream(s, d, "events", "1/10"), _live_stream(s, d, "orders", "1/5"))
+
+
+query("stream_interleave", ORACLES["interleave"])(lambda s, d: live.collected(out(_mixed(s, d), "v")))
+query("stream_shift", ORACLES["shift"])(lambda s, d: live.collected(out(S.shift(_live_stream(s, d, "events", "1/10"), 7), "v")))
+query("stream_decimate", ORACLES["decimate"])(lambda s, d: live.collected(out(S.decimate(_live_stream(s, d, "events", "1/10"), "7/30"), "v")))
+query("stream_deinterleave", ORACLES["deinterleave_left"])(lambda s, d: live.collected(out(S.left_of(_mixed(s, d), "1/5"), "v")))
+query("stream_deinterleave_right", ORACLES["deinterleave_right"])(lambda s, d: live.collected(out(S.right_of(_mixed(s, d), "1/10"), "v")))
+query("stream_window_avg", f"WITH {EV}, w AS (SELECT n, {WIN('sum', 30, 's')} FROM ev) SELECT n, (s // 30)::BIGINT AS f0 FROM w WHERE n >= 29")(lambda s, d: live.collected(live.window_reduce(_live_stream(s, d, "events", "1/360"), 1, 30, "avg").trimmed()))
+query("stream_window_step", ORACLES["window_step"])(lambda s, d: live.collected(out(live.window_reduce(_replayed(s, ev(s, d))[0], 3, 7, "sumc", "max"), "s", "m")))
+query("stream_fir", ORACLES["fir"])(lambda s, d: live.collected(out(live.fir(_live_stream(s, d, "events", "1/1000"), TAPS26, (len(TAPS26), 1000)), "y")))
+query("stream_qrs", ORACLES["qrs_features"])(lambda s, d: live.collected(live.qrs_features(_replayed(s, ev(s, d, "1/360"))[0], TAPS25)))
 query("stream_add_static", f"WITH {EV}, {OD} SELECT ev.n, ev.v AS a, od.v AS b FROM ev JOIN od USING (n)")(lambda s, d: live.collected(_live(s, d).withColumnRenamed("f0", "a").join(od(s, d).df.withColumnRenamed("f0", "b"), "n")))
-query("stream_add", f"WITH {EV}, {OD} SELECT ev.n, ev.v AS f0, od.v AS f1 FROM ev JOIN od USING (n)")(lambda s, d: live.collected(live.add(_live(s, d), _live(s, d, "orders"), Fraction(1, 360))))
+query("stream_add", f"WITH {EV}, {OD} SELECT ev.n, ev.v AS f0, od.v AS f1 FROM ev JOIN od USING (n)")(lambda s, d: live.collected(live.add(_live_stream(s, d, "events", "1/360"), _live_stream(s, d, "orders", "1/360")).trimmed()))
+query("stream_add_rate", ORACLES["add_rate"])(lambda s, d: live.collected(out(live.add(*_replayed(s, ev(s, d), pt(s, d))), "a", "b")))
+
+
+@query("stream_multirate", ORACLES["multirate"])
+def _stream_multirate(s, d):
+    """A window over the interleave of two shifted live streams; its watermark waits as long as their records may be out of order."""
+    a, b = _replayed(s, ev(s, d), od(s, d))
+    return live.collected(out(live.window_reduce(S.interleave(S.shift(a, 2), S.shift(b, 1)), 1, 30, "avg"), "v"))
 
 
 @query("stream_subscribe", f"WITH {EV} SELECT n, v AS f0 FROM ev")
 def _subscribe(s, d):
-    import uuid
-
-    root = f"{readers.shared_folder(s)}/subscribed-{uuid.uuid4().hex}"
-    live.subscribe(_live(s, d), f"{root}/rows", f"{root}/state").awaitTermination()
-    return s.read.parquet(f"{root}/rows")
+    root, df = f"{readers.shared_folder(s)}/subscribed-{uuid.uuid4().hex}", _live(s, d)
+    subscription.publish(df, root).awaitTermination()
+    return subscription.Reader(s, root, "all", df.schema).take()
+
+
+@query("stream_subscribers", f"WITH {EV} SELECT 'all' AS reader, n, v AS f0 FROM ev UNION ALL SELECT 'half', n, v FROM ev WHERE n < {size('ev')} // 2 UNION ALL SELECT 'rest', n, v FROM ev WHERE n >= {size('ev')} // 3")
+def _subscribers(s, d):
+    """Three readers of one log of batches: one takes all of it, one the first half in two steps, one what is left after a third."""
+    x = ev(s, d)
+    df, root = _replayed(s, x)[0].df, f"{readers.shared_folder(s)}/subscribed-{uuid.uuid4().hex}"
+    subscription.publish(df, root).awaitTermination()
+    of = lambda name: subscription.Reader(s, root, name, df.schema)
+    of("rest").take(x.end // 3)
+    takes = [("all", of("all").take()), ("half", of("half").take(x.end // 4)), ("half", of("half").take(x.end // 2 - x.end // 4)), ("rest", of("rest").take())]
+    return pipelines.union([t.select(F.lit(name).alias("reader"), "n", "f0") for name, t in takes])
 
 
 def queries() -> dict[str, Query]:

@@ -16,7 +16,6 @@ from tactus.functions.index import left_position, right_position
 from tactus.operators import eventlog, infer, measure, quality
 from tactus.operators import streams as S
 from tactus.plans import registry
-from tactus.streaming import live
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -229,14 +228,6 @@ def test_consistency_of_nothing_is_an_error(spark):
     assert check(df) == (2, 1, False) and check(df.where("k = 1")) == (1, 0, True) and check(df.where("false")) == (0, 0, False)
 
 
-def test_live_windows_are_written_once(spark, tmp_path):
-    for i in range(3):
-        spark.range(40 * i, 40 * i + 40, 1, 1).selectExpr("id as n", "id * 3 as f0").write.parquet(f"file://{tmp_path}/in/{i}")
-    source = spark.readStream.schema("n long, f0 long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
-    got = live.collected(live.window_avg(source, Fraction(1, 360), 30), "update")
-    assert got.inputFiles() and sorted(map(tuple, got.collect())) == [(n, (2 * n - 29) * 3 // 2) for n in range(29, 120)]
-
-
 def test_spans_grow_with_the_tables(spark):
     parts, events = (registry.table(spark, SF, t).count() for t in ("part", "events"))
     assert registry.QUERIES["src_cyclic_wrapped"](spark, SF).count() == 2 * parts + 1

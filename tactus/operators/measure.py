@@ -52,20 +52,58 @@ def percentile_floor(df: DataFrame, run: str, metric: str, per_cent: list[int])
     return placed(df, run, metric).groupBy(run).agg(*[at_rank(metric, at(k)).alias(f"p{k}") for k in per_cent])
 
 
-def median(c: str) -> Column:
-    return F.expr(f"percentile({c}, 0.5)")
+def medians(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """(keys, median) of each group with a value, from counted values: no task holds a group."""
+    p = placed(df.select(F.struct(*keys).alias("group_"), F.col(metric).alias("value_")), "group_", "value_")
+    return p.groupBy("group_").agg(middle("value_").alias("median")).select(*[F.col(f"group_.{k}").alias(k) for k in keys], "median")
+
+
+def middle(metric: str) -> Column:
+    """Aggregate over ``placed``: the median."""
+    return ((at_rank(metric, F.expr("(size - 1) div 2")) + at_rank(metric, F.expr("size div 2"))) / 2).cast("double")
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which any may be NULL."""
+    other = right.withColumnsRenamed({k: f"{k}_of" for k in keys})
+    same = [left[k].eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    return left.join(other, same, "left").drop(*[f"{k}_of" for k in keys])
 
 
 def run_summary(df: DataFrame, run: str, metric: str) -> DataFrame:
     at = lambda k: F.expr(f"cast(bround({k} * (size - 1) / 1000D) as long)")
-    middle = (at_rank(metric, F.expr("(size - 1) div 2")) + at_rank(metric, F.expr("size div 2"))) / 2
     kind = df.schema[metric].dataType.simpleString()
     total = F.sum(F.col(metric) * F.col("n")) if kind in ("double", "float") else F.sum(F.col(metric).cast("long") * F.col("n"))
-    return placed(df, run, metric).groupBy(run).agg(F.sum("n").alias("slots"), middle.cast("double").alias("median"), F.max(metric).alias("largest"), total.alias("total"), *[at_rank(metric, at(k)).alias(f"p{k}") for k in (990, 999)])
+    return placed(df, run, metric).groupBy(run).agg(F.sum("n").alias("slots"), middle(metric).alias("median"), F.max(metric).alias("largest"), total.alias("total"), *[at_rank(metric, at(k)).alias(f"p{k}") for k in (990, 999)])
+
+
+#: What a run's report takes of each metric.
+REPORTED = {"compute": ("median", "p990", "max", "sum"), "wake": ("p999",), "e2e": ("p500", "p990", "p999", "max")}
+
+
+def run_report(df: DataFrame, run: str, metrics: dict[str, str], order: str | None = None, percent: int = 5) -> DataFrame:
+    """(run, slots, <metric>_<statistic> ...) of three integer metrics, by role: {compute, wake, e2e: column}; with ``order``, without the warm-up.
+
+    The metrics are stacked, so all are placed by one pass over the runs. Medians are truncated to integers.
+    """
+    x = warmup_trim(df, run, order, percent) if order else df
+    stacked = x.select(F.col(run).alias("run_"), F.inline(F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).cast("long").alias("value_")) for role, c in metrics.items()])))
+    p = placed(stacked.select(F.struct("run_", "role").alias("group_"), "value_"), "group_", "value_")
+    p = p.select("group_.run_", "group_.role", "value_", "n", "before", "size")
+
+    def statistic(name: str) -> Column:
+        if name[0] == "p":
+            return at_rank("value_", F.expr(f"cast(bround({name[1:]} * (size - 1) / 1000D) as long)"))
+        return {"median": middle("value_").cast("long"), "max": F.max("value_"), "sum": F.sum(F.col("value_") * F.col("n"))}[name]
+
+    names = sorted({s for of in REPORTED.values() for s in of})
+    each = p.groupBy("run_", "role").agg(F.max("size").alias("slots"), *[statistic(s).alias(s) for s in names])
+    cols = [F.max(F.when(F.col("role") == role, F.col(s))).alias(f"{role}_{s}") for role in metrics for s in REPORTED[role]]
+    return each.groupBy("run_").agg(F.max("slots").alias("slots"), *cols).withColumnRenamed("run_", run)
 
 
 def budget_report(df: DataFrame, run: str, metric: str, budget: int) -> DataFrame:
-    s = df.groupBy(run).agg(F.max(metric).alias("largest"), F.avg(metric).alias("mean"), median(metric).alias("median"))
+    s = joined(df.groupBy(run).agg(F.max(metric).alias("largest"), F.avg(metric).alias("mean")), medians(df, [run], metric), [run])
     return s.select(run, F.round(100 * F.col("largest") / budget, 6).alias("max_percent"), (F.col("largest") <= budget).alias("fits"), F.round(1e9 / F.col("mean"), 3).alias("per_s_mean"), F.round(1e9 / F.col("median"), 3).alias("per_s_median"))
 
 
@@ -87,13 +125,41 @@ def ladder_select(df: DataFrame, family: str, case: str, scale: str, fits: Colum
     return per.where("ok").groupBy(family).agg(F.max(F.struct(scale, "cases")).alias("best")).select(family, F.col(f"best.{scale}").alias(scale), "best.cases")
 
 
+def ladder_ledger(df: DataFrame, family: str, case: str, scale: str, worst: str, slot: str, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """((family, scale, cases, excluded), (family, case, scale, p99, budget, stream_hz, required_hz)): the ladder with its ledger.
+
+    df: rows with a p99 (``worst``) and a slot in ns for each case and scale. A case fits where its worst p99 is within ``share`` of the
+    slot. Where no scale fits all cases of a family, those that don't fit at the lowest scale are excluded, with the frequency of
+    slots that they would need, and the others choose; a family without any left has a NULL scale.
+    """
+    cell = df.groupBy(family, case, scale).agg(F.max(worst).alias("p99"), F.min(slot).alias("slot_"))
+    cell = cell.withColumn("fits", F.coalesce(F.col("p99") <= share * F.col("slot_"), F.lit(False)))
+    # A family whose cases all fit at some scale excludes none, even where one misses the lowest.
+    every = cell.groupBy(family).agg(F.count_distinct(case).alias("every"), F.min(scale).alias("low_"))
+    rung = cell.groupBy(family, scale).agg(F.bool_and("fits").alias("all_fit"), F.count("*").alias("here"))
+    whole = rung.join(every, family).where(F.col("all_fit") & (F.col("here") == F.col("every"))).groupBy(family).agg(F.max(scale).alias("scale_"))
+    open_ = every.join(whole, family, "left").withColumnRenamed("scale_", "resolved")
+    at = cell.join(open_, family)
+    out = at.where(F.col("resolved").isNull() & (F.col(scale) == F.col("low_")) & ~F.col("fits"))
+    ledger = out.select(family, case, scale, "p99", (share * F.col("slot_")).alias("budget"), (1e9 / F.col("slot_")).alias("stream_hz"), (share * 1e9 / F.col("p99")).alias("required_hz"))
+    lost = out.groupBy(family).agg(F.count("*").alias("excluded"))
+    left = at.join(out.select(family, case), [family, case], "left_anti")
+    held = left.groupBy(family).agg(F.count_distinct(case).alias("cases"))
+    best = left.groupBy(family, scale).agg(F.bool_and("fits").alias("ok"), F.count("*").alias("here")).join(held, family).where(F.col("ok") & (F.col("here") == F.col("cases"))).groupBy(family).agg(F.max(scale).alias("best"))
+    rates = open_.join(held, family, "left").join(lost, family, "left").join(best, family, "left")
+    return rates.select(family, F.coalesce("resolved", "best").alias(scale), F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("excluded", F.lit(0)).alias("excluded")), ledger
+
+
 def budget_violations(df: DataFrame, case: str, profile: str, p99: str, budgets: DataFrame) -> DataFrame:
     """Cells whose worst p99 is over half the case's slot."""
     return df.groupBy(case, profile).agg(F.max(p99).alias("worst")).join(budgets, case).where(2 * F.col("worst") > F.col("slot")).select(case, profile, "worst", "slot")
 
 
 def profile_pivot(df: DataFrame, case: str, profile: str, metric: str, profiles: list[str]) -> DataFrame:
-    return df.groupBy(case).pivot(profile, profiles).agg(median(metric))
+    """(case, a column per profile): medians."""
+    m = medians(df.where(F.col(profile).isin(profiles)), [case, profile], metric)
+    wide = m.groupBy(case).agg(*[F.max(F.when(F.col(profile) == p, F.col("median"))).alias(p) for p in profiles])
+    return joined(df.select(case).distinct(), wide, [case])
 
 
 def iqr_exclusive(df: DataFrame, run: str, metric: str) -> DataFrame:

@@ -47,13 +47,60 @@ def stream_compare(a: DataFrame, b: DataFrame, first: int, span: int, field: str
     return j.agg(F.count_if(both).alias("compared"), F.count_if(both & bad).alias("mismatches"), (F.lit(span) - F.count_if(both)).cast("long").alias("missing"), F.min(F.when(bad, F.col("n"))).alias("first_bad"), F.min_by("a", F.when(bad, F.col("n"))).alias("first_a"), F.min_by("b", F.when(bad, F.col("n"))).alias("first_b"))
 
 
-def observation_diff(a: Stream, b: Stream) -> DataFrame:
+def record_compare(a: Stream, b: Stream, first: int | None = None, span: int | None = None) -> DataFrame:
+    """One row over [first, first + span): are whole records equal, and where is the first difference.
+
+    first: the greater tail of the two by default; span: up to the earlier end. Columns: compared, mismatches, missing, equal, first_n,
+    first_position, first_a, first_b. An index without a record on either side is a failure, with a NULL position, and so is a
+    record of another width; nothing compared is a failure, too. Records are compared as arrays, without a row per field.
+    """
+    first = max(a.tail, b.tail) if first is None else first
+    span = max(0, min(a.end, b.end) - first) if span is None else span
+    inside = F.col("n").between(first, first + span - 1)
+    side = lambda s, name: s.df.where(inside).select("n", F.array(*[F.col(f).cast("string") for f in s.fields]).alias(name))
+    j = side(a, "a").join(side(b, "b"), "n", "full")
+    there = F.col("a").isNotNull() & F.col("b").isNotNull()
+    # The first position at which the arrays differ; the shorter one's end counts.
+    at = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), False)
+    width = F.when(F.size("a") != F.size("b"), F.least(F.size("a"), F.size("b")) + 1)
+    place = F.when(there, F.least(F.nullif(at.cast("int"), F.lit(0)), width) - 1)  # least skips NULL
+    bad = ~there | place.isNotNull()
+    row = F.struct("n", place.cast("long").alias("place"), F.get("a", place.cast("int")).alias("x"), F.get("b", place.cast("int")).alias("y"))
+    one = j.agg(F.count_if(there).alias("compared"), F.count_if(there & bad).alias("mismatches"), F.min(F.when(bad, row)).alias("d"))
+    # Indexes that neither side has: the first one is where the indexes of what is there stop being dense.
+    lost = first_hole(j.select("n"), first, span)
+    one = one.withColumn("k_", F.lit(1)).join(lost.withColumn("k_", F.lit(1)), "k_")  # one row each
+    hole = F.col("hole").isNotNull() & (F.col("d").isNull() | (F.col("hole") < F.col("d.n")))
+    pick = lambda c: F.when(~hole, F.col(f"d.{c}"))
+    missing = (F.lit(span) - F.col("compared")).cast("long")
+    return one.select("compared", "mismatches", missing.alias("missing"), ((F.col("compared") > 0) & (F.col("mismatches") == 0) & (missing == 0)).alias("equal"), F.when(hole, F.col("hole")).otherwise(F.col("d.n")).alias("first_n"), pick("place").alias("first_position"), pick("x").alias("first_a"), pick("y").alias("first_b"))
+
+
+def first_hole(rows: DataFrame, first: int, span: int, bucket: int = 100_000) -> DataFrame:
+    """(hole): one row, the first index of [first, first + span) that no row has, or NULL. Buckets are counted; only one that lacks rows is looked into."""
+    at = rows.select(F.col("n"), F.expr(f"(n - {first}L) div {bucket}L").alias("bucket")).distinct()
+    full = at.groupBy("bucket").agg(F.count("*").alias("k"))
+    buckets = -(-span // bucket)
+    every = rows.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(full, "bucket", "left")
+    size = F.least(F.lit(bucket), F.lit(span) - F.col("bucket") * bucket)
+    lack = every.where(F.coalesce("k", F.lit(0)) < size).agg(F.min("bucket").alias("bucket"))
+    here = lack.join(at, "bucket", "left").groupBy("bucket").agg(F.collect_list("n").alias("n"))
+    start = F.lit(first) + F.col("bucket") * bucket
+    hole = F.element_at(F.array_except(F.sequence(start, F.least(start + bucket, F.lit(first + span)) - 1), "n"), 1)
+    return here.select(F.when(F.col("bucket").isNotNull(), hole).alias("hole"))
+
+
+def observation_diff(a: Stream, b: Stream, materialised: tuple | None = None) -> DataFrame:
     """(layer, compared, differences) of two observed streams: interval, span, tail, schema, records and gaps.
 
-    Records are compared where both have one, gaps (indexes without a record) where either has one.
+    Records are compared where both have one, gaps (indexes without a record) where either has one. ``materialised``: how each is
+    kept (None: not at all; else its artifact's descriptor), which adds that layer: kept both or neither, and with equal names and types of fields.
     """
     kinds = lambda s: [(f.name, f.dataType.simpleString()) for f in s.df.select(*s.fields).schema]
     heads = [("interval", a.delta == b.delta), ("span", (a.origin, a.end) == (b.origin, b.end)), ("tail", a.tail == b.tail), ("schema", kinds(a) == kinds(b))]
+    if materialised is not None:
+        x, y = (None if d is None else (list(d.names), list(d.types)) for d in materialised)
+        heads.append(("materialisation", x == y))
     side = lambda s, name: s.trimmed().select("n", F.array(*[F.col(f).cast("string") for f in s.fields]).alias(name))
     j = side(a, "a").join(side(b, "b"), "n", "full")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()

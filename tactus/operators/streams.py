@@ -159,31 +159,33 @@ def shared(s: Stream) -> Stream:
 
 def add(a: Stream, b: Stream) -> Stream:
     """Rate-aligned join: fields of both; the faster side's index n meets floor(n * fast / slow) of the other."""
-    fast = min(a.delta, b.delta)
-    out, origins, ends, tails, sources = None, [], [], [], []
-    names = iter(range(a.width + b.width))
-    for s in (a, b):
+    fast, slow = min(a.delta, b.delta), max(a.delta, b.delta)
+    names = [f"g{i}" for i in range(a.width)], [f"h{i}" for i in range(b.width)]
+    sides, sources, bounds = [], [], []
+    for s, g in zip((a, b), names, strict=True):
         u, v = ratio(fast, s.delta)
         at = (lambda n, u=u, v=v: n * u // v)
-        origins.append(first_reaching(s.origin, at))
-        ends.append(first_reaching(s.end, at))
-        tails.append(least_tail(fast, v, lambda n, at=at, s=s: [(at(n), s.delta, s.tail)]))
+        bounds.append((first_reaching(s.origin, at), first_reaching(s.end, at), least_tail(fast, v, lambda n, at=at, s=s: [(at(n), s.delta, s.tail)])))
         sources.append((s, at, _repeats(s, fast, v)))
-        side = s.df.select(F.col("n").alias("at"), *[F.col(f).alias(f"g{next(names)}") for f in s.fields])
-        if s.delta == fast:
-            side = side.withColumnRenamed("at", "n")
-        if out is None:
-            out, first, at_sql = side, s, f"(n * {u}L) div {v}L"
-        elif "n" in out.columns and "n" in side.columns:
-            out = out.join(side, "n")
-        elif "n" in out.columns:
-            out = out.withColumn("at", F.expr(f"(n * {u}L) div {v}L")).join(side, "at").drop("at")
-        else:
-            out = side.withColumn("at", F.expr(at_sql)).join(out, "at").drop("at")
-    out = out.select("n", *[F.col(f"g{i}").alias(f"f{i}") for i in range(a.width + b.width)])
+        renamed = s.df.select("n", *[F.col(f).alias(x) for f, x in zip(s.fields, g, strict=True)])
+        # Both sides meet at the slower one's index; the faster one keeps its own as n.
+        p, q = ratio(s.delta, slow)
+        sides.append(renamed.withColumn("at", F.expr(f"(n * {p}L) div {q}L")))
+    out = _met(a, b, sides)
+    origins, ends, tails = zip(*bounds, strict=True)
+    out = out.select("n", *[F.col(g).alias(f"f{i}") for i, g in enumerate([*names[0], *names[1]])])
     return Stream(out, fast, a.width + b.width, max(origins), min(ends), max(tails), lambda n: max(s.comes(at(n)) for s, at, _ in sources), lcm(*(k for _, _, k in sources)))
 
 
+def _met(a: Stream, b: Stream, sides: list[DataFrame]) -> DataFrame:
+    """The join of a sum's sides, in an order that doesn't depend on which one was named first: a + b and b + a are one plan, which Spark computes once."""
+    if a.delta != b.delta:
+        fast, slow = sides if a.delta < b.delta else sides[::-1]
+        return fast.join(slow.drop("n"), "at")
+    x, y = (s.drop("at") for s in sides)
+    return x.join(y, "n") if a.df.semanticHash() <= b.df.semanticHash() else y.join(x, "n")
+
+
 def with_constants(s: Stream, values: list[int]) -> Stream:
     """Sum with a coefficient stream of one record, which repeats."""
     df = s.df.withColumns({f"f{s.width + i}": F.lit(x).cast("long") for i, x in enumerate(values)})

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import uuid
 
 from pyspark.sql import functions as F
 
 from tactus.functions import expr
-from tactus.operators import infer, pipelines, quality
+from tactus.operators import infer, measure, pipelines, quality
 from tactus.operators import streams as S
-from tactus.plans.registry import EV, OD, PT, R1, WIN, _emb, ev, fir_sql, gather, od, out, pt, query, runs, size, table
-from tactus.sources import readers
+from tactus.plans.registry import CENTS, EV, HOLES, OD, PT, R1, RUNS, WIN, _emb, ev, fir_sql, gather, holes, od, out, pt, query, runs, size, table
+from tactus.sources import artifacts, readers, records
 
 # --- tails ---
 TAILS = f"""WITH {EV}, {OD}, {PT}, s AS (SELECT {size('ev')} AS a, {size('od')} AS b, {size('pt')} AS c, (SELECT count(*) FROM embeddings) AS e),
@@ -79,8 +80,8 @@ def _w7(s, d):
     """The shifted streams are stored before they are interleaved."""
     root = f"{readers.shared_folder(s)}/w7-{uuid.uuid4().hex}"
     for name, x in (("a", S.shift(ev(s, d), 2)), ("b", S.shift(od(s, d), 1))):
-        readers.save_stream(x, f"{root}/{name}")
-    return out(S.interleave(*[readers.load_stream(s, f"{root}/{name}") for name in "ab"]), "v")
+        artifacts.save_stream(x, f"{root}/{name}")
+    return out(S.interleave(*[artifacts.load_stream(s, f"{root}/{name}") for name in "ab"]), "v")
 
 
 TAPS45 = [(k * 11) % 29 - 12 for k in range(45)]
@@ -169,6 +170,122 @@ def _equivalence(s, d):
     return infer.equivalence(r.withColumn("grp", F.col("task") % 5), "grp")
 
 
+# --- files of records and lines, artifacts ---
+def _folder(s, name: str) -> str:
+    return f"{readers.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src_records", f"WITH {EV} SELECT n, v, u FROM ev")
+def _records(s, d):
+    """All events written as records of fixed width and read by ranges of bytes."""
+    path = _folder(s, "records")
+    records.write_records(ev(s, d, "1/360", F.col("user_id")).df.withColumnsRenamed({"f0": "v", "f1": "u"}), path, "<qi", ["v", "u"])
+    return records.binary_records(s, path, "<qi", ["v", "u"], split=1 << 18)
+
+
+@query("src_lines", f"WITH {EV} SELECT n, {HOLES} AS v, u FROM ev")
+def _lines(s, d):
+    """All events written as lines without an index, numbered in file order."""
+    path = _folder(s, "lines")
+    x = holes(ev(s, d)).df.join(ev(s, d, "1/10", F.col("user_id")).df.select("n", "f1"), "n")
+    line = F.concat_ws(" \t", F.coalesce(F.col("f0").cast("string"), F.lit("NULL")), F.col("f1").cast("string"))
+    x.repartitionByRange("n").sortWithinPartitions("n").select(line).write.text(path)
+    return records.numbered_lines(s, path, ["v", "u"], split=1 << 18)
+
+
+@query("src_runs_mixed", f'WITH {RUNS} SELECT "case", task, scale, ns FROM l')
+def _mixed_runs(s, d):
+    """Tables of runs in three formats, with their columns in different orders, as one."""
+    path, x = _folder(s, "runs"), runs(s, d).select("case", "task", "scale", "ns")
+    one = lambda c: x.where(F.col("case") == c)
+    one("A").write.csv(f"{path}/a.csv", header=True)
+    one("N").select("ns", "scale", "task", "case").write.csv(f"{path}/n.tsv", header=True, sep="\t")
+    one("R").write.json(f"{path}/r.jsonl")
+    return readers.read_runs(s, [f"{path}/{f}" for f in ("a.csv", "n.tsv", "r.jsonl")], "case STRING, task LONG, scale LONG, ns LONG").drop("file")
+
+
+def _gappy(s, d):
+    x = ev(s, d, "1/10", F.col("user_id"))
+    return x.select(F.expr("case when n % 17 in (1, 5, 6, 7) then null else f0 end"), F.expr("case when n % 19 in (3, 7) then null else f1 end"))
+
+
+@query("artifact_roundtrip", f"WITH {EV} SELECT n, {HOLES} AS v, CASE WHEN n % 19 IN (3, 7) THEN NULL ELSE u END AS u FROM ev")
+def _artifact(s, d):
+    """The stream as its artifact's second version gives it back."""
+    path = _folder(s, "artifact")
+    artifacts.save_stream(ev(s, d), path)
+    artifacts.save_stream(_gappy(s, d), path)
+    return out(artifacts.load_stream(s, path), "v", "u")
+
+
+_islands = lambda i, where: f"SELECT {i}::INTEGER AS field, min(n) AS first, count(*) AS length FROM (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM ev WHERE {where}) GROUP BY g"
+
+
+@query("artifact_null_index", f"WITH {EV} {_islands(0, 'n % 17 IN (1, 5, 6, 7) OR v IS NULL')} UNION ALL {_islands(1, 'n % 19 IN (3, 7) OR u IS NULL')}")
+def _artifact_nulls(s, d):
+    path = _folder(s, "artifact")
+    artifacts.save_stream(_gappy(s, d), path)
+    return artifacts.load_null_runs(s, path)
+
+
+# --- comparisons ---
+def _wide(s, d) -> tuple[S.Stream, S.Stream]:
+    """The 64-wide stream, and a copy that lacks records and differs in single fields."""
+    a = _emb(s, d)
+    other = a.select(*[F.expr(f"case when n % 97 = 96 and n % 64 = {i} then f{i} + 1 else f{i} end") for i in range(64)])
+    return a, dataclasses.replace(other, df=other.df.where("n % 101 <> 100"))
+
+
+@query("record_compare", """WITH e AS (SELECT vec_id AS n, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 10000) AS BIGINT)) AS f FROM embeddings),
+  b AS (SELECT n, list_transform(f, lambda x, i: CASE WHEN n % 97 = 96 AND n % 64 = i - 1 THEN x + 1 ELSE x END) AS g FROM e WHERE n % 101 <> 100),
+  j AS (SELECT e.n, f, g, list_position(list_transform(list_zip(f, g), lambda z: z[1] IS DISTINCT FROM z[2]), true) - 1 AS place FROM e LEFT JOIN b USING (n)),
+  d AS (SELECT * FROM j WHERE g IS NULL OR place >= 0 ORDER BY n LIMIT 1)
+  SELECT count(g) AS compared, count(*) FILTER (WHERE g IS NOT NULL AND place >= 0) AS mismatches, count(*) - count(g) AS missing, count(*) FILTER (WHERE g IS NULL OR place >= 0) = 0 AS equal, (SELECT n FROM d) AS first_n,
+    (SELECT CASE WHEN g IS NOT NULL THEN place END::BIGINT FROM d) AS first_position, (SELECT CASE WHEN g IS NOT NULL THEN f[place + 1] END::VARCHAR FROM d) AS first_a, (SELECT g[place + 1]::VARCHAR FROM d) AS first_b FROM j""")
+def _record_compare(s, d):
+    return quality.record_compare(*_wide(s, d))
+
+
+@query("observation_materialised", f"WITH {EV} SELECT unnest(['interval', 'span', 'tail', 'schema', 'materialisation']) AS layer, 1::BIGINT AS compared, unnest([0, 0, 0, 1, 1]::BIGINT[]) AS differences UNION ALL SELECT 'records', count(*), 0 FROM ev UNION ALL SELECT 'gaps', count(*), 0 FROM ev")
+def _materialised(s, d):
+    """A stream beside its artifact in another type: values are equal, schema and materialisation differ."""
+    a, paths = ev(s, d), (_folder(s, "artifact"), _folder(s, "artifact"))
+    artifacts.save_stream(a, paths[0])
+    artifacts.save_stream(a.select(F.col("f0").cast("decimal(20,0)")), paths[1])
+    return quality.observation_diff(*[artifacts.load_stream(s, p) for p in paths], tuple(artifacts.descriptor(s, p) for p in paths))
+
+
+# --- reports of runs ---
+_at = lambda role, k: f"max({role}) FILTER (WHERE r_{role} = round_even({k} * (size - 1) / 1000.0::DOUBLE, 0)::BIGINT) AS {role}_p{k}"
+REPORT = f"""WITH p AS (SELECT event_type AS run, event_id AS iter, CAST(round(value * 100) AS BIGINT) AS compute, user_id AS wake, CAST(round(value * 100) AS BIGINT) + user_id AS e2e FROM events),
+  w AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY iter) AS i, count(*) OVER (PARTITION BY run) AS every FROM p),
+  k AS (SELECT *, count(*) OVER (PARTITION BY run) AS size, {', '.join(f'row_number() OVER (PARTITION BY run ORDER BY {m}) - 1 AS r_{m}' for m in ('compute', 'wake', 'e2e'))} FROM w WHERE i > every * 5 // 100)
+  SELECT run, count(*) AS slots, floor(quantile_cont(compute, 0.5))::BIGINT AS compute_median, {_at('compute', 990)}, max(compute) AS compute_max, sum(compute)::BIGINT AS compute_sum, {_at('wake', 999)},
+    {', '.join(_at('e2e', k) for k in (500, 990, 999))}, max(e2e) AS e2e_max FROM k GROUP BY run"""
+
+
+@query("run_report", REPORT)
+def _run_report(s, d):
+    x = table(s, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("iter"), F.expr(CENTS).alias("compute"), F.col("user_id").alias("wake"))
+    return measure.run_report(x.withColumn("e2e", F.col("compute") + F.col("wake")), "run", {"compute": "compute", "wake": "wake", "e2e": "e2e"}, "iter")
+
+
+LADDER = f"""WITH {RUNS}, cell AS (SELECT "case", task, scale, max(ns) AS p99, 13000000 + 1000000 * scale AS slot, max(ns) <= 0.5 * (13000000 + 1000000 * scale) AS fits FROM l GROUP BY 1, 2, 3),
+  fam AS (SELECT "case", count(DISTINCT task) AS every, min(scale) AS low FROM cell GROUP BY 1),
+  whole AS (SELECT "case", max(scale) AS s FROM (SELECT "case", scale, bool_and(fits) AS ok, count(*) AS k FROM cell GROUP BY 1, 2) JOIN fam USING ("case") WHERE ok AND k = every GROUP BY 1),
+  gone AS (SELECT cell.* FROM cell JOIN fam USING ("case") WHERE "case" NOT IN (SELECT "case" FROM whole) AND scale = low AND NOT fits),
+  rest AS (SELECT cell.* FROM cell ANTI JOIN gone USING ("case", task)), held AS (SELECT "case", count(DISTINCT task) AS cases FROM rest GROUP BY 1),
+  best AS (SELECT "case", max(scale) AS s FROM (SELECT "case", scale, bool_and(fits) AS ok, count(*) AS k FROM rest GROUP BY 1, 2) JOIN held USING ("case") WHERE ok AND k = cases GROUP BY 1)"""
+
+
+def _ladder(s, d):
+    return measure.ladder_ledger(runs(s, d).withColumn("slot", F.expr("13000000 + 1000000 * scale")), "case", "task", "scale", "ns", "slot")
+
+
+query("ladder_rates", f'{LADDER} SELECT "case", coalesce(whole.s, best.s) AS scale, coalesce(cases, 0) AS cases, (SELECT count(*) FROM gone g WHERE g."case" = fam."case") AS excluded FROM fam LEFT JOIN whole USING ("case") LEFT JOIN held USING ("case") LEFT JOIN best USING ("case")')(lambda s, d: _ladder(s, d)[0])
+query("ladder_ledger", f'{LADDER} SELECT "case", task, scale, p99, 0.5::DOUBLE * slot AS budget, 1e9::DOUBLE / slot AS stream_hz, 5e8::DOUBLE / p99 AS required_hz FROM gone')(lambda s, d: _ladder(s, d)[1])
+
+
 # --- oracles of queries registered without one ---
 def _oracle(name: str, sql: str) -> None:
     from tactus.plans.registry import ORACLES

@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 import re
-import struct
 import tempfile
-from collections.abc import Iterator
-from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,59 +32,6 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """rows (part, ``order``, ...) with n, their number from 0 on by part and order; a row per part comes to the driver."""
-    sizes, starts, total = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}, {}, 0
-    for part in sorted(sizes):
-        starts[part] = total
-        total += sizes[part]
-    base = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")] if starts else F.lit(0)
-    return rows.withColumn("n", base.cast("long") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1)
-
-
-def numbered_lines(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """Lines without an index: numbered in file order once, at ingest. Files and their splits come in the order of Spark's listing."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "value")
-    parts = F.split(F.trim("value"), r"\s+")
-    return numbered(rows, "at").select("n", *[F.when(F.upper(F.get(parts, i)) != "NULL", F.get(parts, i).cast("long")).alias(f) for i, f in enumerate(fields)])
-
-
-def binary_records(spark: SparkSession, path: str, layout: str, fields: list[str], chunk: int = 100_000) -> DataFrame:
-    """Fixed-length binary records, numbered in file order; layout is that of ``struct``, such as '<ii'.
-
-    Hadoop's splits end at records; a split's records travel in chunks and are unpacked as arrays.
-    """
-    size, order = struct.calcsize(layout), layout[0] if layout[0] in "<>" else "="
-    kinds = [f"{order}{'u' if c.isupper() else 'i'}{struct.calcsize(order + c)}" if c not in "fd" else f"{order}f{struct.calcsize(c)}" for c in layout.lstrip("<>=")]
-    record = np.dtype({"names": fields, "formats": kinds})
-
-    def chunks(part: int, records: Iterator[bytes]) -> Iterator[tuple]:
-        held, at = [], 0
-        for r in records:
-            held.append(r)
-            if len(held) == chunk:
-                yield part, at, b"".join(held)
-                held, at = [], at + 1
-        if held:
-            yield part, at, b"".join(held)
-
-    rows = spark.sparkContext.binaryRecords(path, size).mapPartitionsWithIndex(chunks).toDF("part int, at int, blob binary")
-    counts = rows.select("part", F.expr(f"cast(length(blob) / {size} as long)").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row per split
-    starts, total = {}, 0
-    for r in sorted(counts):
-        starts[r.part] = total
-        total += r.n
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, at, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(blob, record)
-                cols = [np.arange(len(x)) + starts[part] + at * chunk, *(x[f].astype(np.float64 if x[f].dtype.kind == "f" else np.int64) for f in fields)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["n", *fields])
-
-    return rows.mapInArrow(unpack, ", ".join(["n long", *(f"{f} {'double' if 'f' in k else 'long'}" for f, k in zip(fields, kinds, strict=True))]))
-
-
 def synthetic(spark: SparkSession, count: int, *fields: Column) -> DataFrame:
     """n and fields computed from it."""
     return spark.range(count).select(F.col("id").alias("n"), *[c.alias(f"f{i}") for i, c in enumerate(fields)])
@@ -117,9 +59,32 @@ def read_commented_csv(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return meta, body.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
-def read_runs(spark: SparkSession, paths: list[str], schema: str, sep: str = ",") -> DataFrame:
-    """Tables of runs from several files, with the file each row is from."""
-    return spark.read.schema(schema).csv(paths, header=True, sep=sep).withColumn("file", F.input_file_name())
+def read_runs(spark: SparkSession, paths: list[str], schema: str, sep: str | None = None) -> DataFrame:
+    """Tables of runs from several files, with the file each row is from: CSV, TSV and JSON (an object a line, or one array of objects)
+    by the files' names, in one union. Fields that a file lacks are NULL, others of it are left out; ``sep`` replaces the separators of the names.
+    """
+    kinds: dict[str, list[str]] = {}
+    for p in paths:
+        end = p.rsplit(".", 1)[-1].lower()
+        kinds.setdefault(end if end in ("json", "jsonl", "ndjson", "tsv") else "csv", []).append(p)
+    fields = [f.name for f in StructType.fromDDL(schema)]
+    out = None
+    for kind, files in kinds.items():
+        if kind in ("csv", "tsv"):
+            split = sep or ("\t" if kind == "tsv" else ",")
+            # Columns are found by the header's names, so files of one kind may order them differently and are read by themselves.
+            parts = [_by_header(spark, f, schema, split) for f in files]
+        else:
+            parts = [spark.read.schema(schema).json(files, multiLine=kind == "json").select(*fields, F.input_file_name().alias("file"))]
+        for x in parts:
+            out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _by_header(spark: SparkSession, path: str, schema: str, sep: str) -> DataFrame:
+    there = spark.read.csv(path, header=True, sep=sep)
+    cols = [(F.col(f"`{f.name}`").cast(f.dataType) if f.name in there.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in StructType.fromDDL(schema)]
+    return there.select(*cols, F.input_file_name().alias("file"))
 
 
 def log_counters(lines: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
@@ -147,18 +112,6 @@ def validate_table(df: DataFrame, rules: dict[str, str], schema: str | None = No
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in one.columns])).alias("x")).select("x.*")
 
 
-def save_stream(s: Stream, path: str) -> None:
-    """A stream as Parquet files: records ordered by ranges of the index, so that a filter on n skips files, and a descriptor of one row."""
-    s.df.select("n", *s.fields).repartitionByRange("n").sortWithinPartitions("n").write.mode("overwrite").parquet(f"{path}/records")
-    head = [(s.delta.numerator, s.delta.denominator, s.width, s.origin, s.end, s.tail)]
-    s.df.sparkSession.createDataFrame(head, "num long, den long, width int, origin long, end long, tail long").coalesce(1).write.mode("overwrite").parquet(f"{path}/descriptor")
-
-
-def load_stream(spark: SparkSession, path: str) -> Stream:
-    h = spark.read.parquet(f"{path}/descriptor").first()
-    return Stream(spark.read.parquet(f"{path}/records"), Fraction(h.num, h.den), h.width, h.origin, h.end, h.tail)
-
-
 def null_index(s: Stream) -> DataFrame:
     """(n, fields): the records with NULL fields, and which."""
     missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(i)) for i, f in enumerate(s.fields)]))

@@ -7,7 +7,7 @@ a record's slot; how long a watermark waits follows from when a node's records a
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 from fractions import Fraction
@@ -160,31 +160,25 @@ def add(a: S.Stream, b: S.Stream) -> S.Stream:
 
 # --- sinks ---
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries that start inside keep their state in RocksDB, which stateful operators need; the session's setting comes back."""
+def state_store(df: DataFrame) -> Iterator[None]:
+    """A query of df that starts inside keeps its state in RocksDB if it has an operator that needs it; the session's setting comes back."""
+    spark = df.sparkSession
     had = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    if "TransformWithState" in df._jdf.queryExecution().analyzed().toString():
+        spark.conf.set(PROVIDER, ROCKSDB)
     try:
         yield
     finally:
         spark.conf.set(PROVIDER, had) if had else spark.conf.unset(PROVIDER)
 
 
-def collected(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Runs the stream over what is there now and returns what it wrote to the shared folder, a folder per batch, which a repeated batch overwrites.
-
-    In update mode df must put out each row once. ``each`` is called with every batch as well.
-    """
+def collected(df: DataFrame) -> DataFrame:
+    """Runs the stream over what is there now and returns what it wrote to the shared folder, a folder per batch, which a repeated batch overwrites."""
     spark, name = df.sparkSession, f"sink_{uuid.uuid4().hex}"
     out = f"{shared_folder(spark)}/{name}"
     spark.createDataFrame([], df.schema).write.parquet(f"{out}/none")
-
-    def write(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{i}")
-        if each:
-            each(spark.read.schema(df.schema).parquet(f"{out}/{i}"), i)
-
-    with rocksdb(spark):
-        q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/{i}")
+    with state_store(df):
+        q = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/*")

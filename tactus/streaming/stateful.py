@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-#: Records in a range of the index.
-RANGE = 100_000
+#: Records in a range of the index: few enough that a batch has many ranges, many beside a halo.
+RANGE = 10_000
 #: (values, valid) of consecutive positions -> the same of the outputs, a row each; the first ``halo`` rows count for nothing.
 Compute = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 

@@ -7,7 +7,8 @@ are projections and filters; only joins and windows shuffle, and a window shuffl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from fractions import Fraction
 from math import gcd, lcm
@@ -152,9 +153,14 @@ def rescale(s: Stream, factor: Fraction | str) -> Stream:
     return replace(s, delta=s.delta * Fraction(factor), arrival=lambda n: s.comes(n) * Fraction(factor))
 
 
-def shared(s: Stream) -> Stream:
-    """A stream that several results read: computed once and kept on the executors, on disk where memory ends."""
-    return replace(s, df=s.df.persist())
+@contextmanager
+def shared(s: Stream) -> Iterator[Stream]:
+    """A stream that several results read: computed once and kept on the executors, on disk where memory ends, until the block ends."""
+    kept = replace(s, df=s.df.persist())
+    try:
+        yield kept
+    finally:
+        kept.df.unpersist()
 
 
 def add(a: Stream, b: Stream) -> Stream:

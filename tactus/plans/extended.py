@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tactus.functions import expr
 from tactus.operators import infer, measure, pipelines, quality
 from tactus.operators import streams as S
-from tactus.plans.registry import CENTS, EV, HOLES, OD, PT, R1, RUNS, WIN, _emb, ev, fir_sql, gather, holes, od, out, pt, query, runs, size, table
+from tactus.plans.registry import CENTS, EV, HOLES, OD, PT, R1, RUNS, WIN, _emb, ev, fir_sql, gather, holes, multirate_sql, od, out, pt, query, runs, size, table
 from tactus.sources import artifacts, readers, records
 
 # --- tails ---
@@ -70,7 +70,7 @@ query("w6_nearmiss", family_sql(1, 1, "SELECT n, v FROM x"))(lambda s, d: out(_w
 
 @query("w5_control", f"WITH {EV}, {OD}, {gather('ev', 'od', 1, 2, size('ev'), size('od'))} SELECT n, v * (q + 1) AS v, q FROM mix, (SELECT unnest(range(0, 4))::INTEGER AS q)")
 def _w5(s, d):
-    """Sources of their own for each result, nothing shared and nothing shifted."""
+    """Sources of their own for each result, nothing shared and nothing shifted: the tables are read once a result, as is this family's point."""
     one = lambda q: out(S.interleave(ev(s, d).select(F.col("f0") * (q + 1)), od(s, d).select(F.col("f0") * (q + 1))), "v").withColumn("q", F.lit(q))
     return pipelines.union([one(q) for q in range(4)])
 
@@ -170,6 +170,17 @@ def _equivalence(s, d):
     return infer.equivalence(r.withColumn("grp", F.col("task") % 5), "grp")
 
 
+# --- identities that hold for all intervals ---
+query("rescaled", multirate_sql(1, 2, 2, 1, 30))(lambda s, d: out(pipelines.multirate(S.rescale(ev(s, d), "7/3"), S.rescale(od(s, d), "7/3"), 2, 1, 30), "v"))
+query("unreduced_ratio", f"WITH {EV}, {OD}, {gather('ev', 'od', 3, 2, size('ev'), size('od'))} SELECT n, v, true AS same FROM mix")(lambda s, d: _unreduced(s, d))
+
+
+def _unreduced(s, d):
+    """6/4 beside 3/2: the same records at every index."""
+    x, y = (out(S.interleave(ev(s, d, r), od(s, d, "1")), name) for r, name in (("6/4", "v"), ("3/2", "w")))
+    return x.join(y, "n").select("n", "v", F.col("v").eqNullSafe(F.col("w")).alias("same"))
+
+
 # --- files of records and lines, artifacts ---
 def _folder(s, name: str) -> str:
     return f"{readers.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
@@ -204,6 +215,30 @@ def _mixed_runs(s, d):
     return readers.read_runs(s, [f"{path}/{f}" for f in ("a.csv", "n.tsv", "r.jsonl")], "case STRING, task LONG, scale LONG, ns LONG").drop("file")
 
 
+def _probe_rows(s, d):
+    return table(s, d, "events").select(F.col("event_id").alias("iter"), F.expr(CENTS).alias("compute_ns"), F.col("user_id").alias("wake_lag_ns"), (F.expr(CENTS) + F.col("user_id")).alias("e2e_ns"))
+
+
+@query("src_probe", f"WITH {EV} SELECT n AS iter, v AS compute_ns, u AS wake_lag_ns, v + u AS e2e_ns FROM ev")
+def _probe_file(s, d):
+    """A probe of all events, written as CSV and read back with its header and its number of rows checked."""
+    path, x = _folder(s, "probe"), _probe_rows(s, d)
+    x.write.csv(path, header=True)
+    return readers.read_probe(s, path, x.count())
+
+
+@query("src_commented", f"WITH {EV} SELECT 'rate=360 host=pi' AS meta, n AS iter, u AS wake_lag_ns FROM ev")
+def _commented(s, d):
+    """Probe files with lines of metadata before their header; rows carry what the metadata says."""
+    path, x = _folder(s, "commented"), _probe_rows(s, d)
+    head = s.createDataFrame([("# rate=360",), ("#host=pi",), ("iter,wake_lag_ns",)], "value string").coalesce(1)
+    head.write.text(path)
+    x.select(F.concat_ws(",", F.col("iter").cast("string"), F.col("wake_lag_ns").cast("string"))).write.mode("append").text(path)
+    meta, rows = readers.read_commented_csv(s, path, "iter LONG, wake_lag_ns LONG")
+    said = meta.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "key", "value")), asc=False), " ").alias("meta"), F.lit(1).alias("k"))
+    return rows.withColumn("k", F.lit(1)).join(F.broadcast(said), "k").drop("k")  # said is one row
+
+
 def _gappy(s, d):
     x = ev(s, d, "1/10", F.col("user_id"))
     return x.select(F.expr("case when n % 17 in (1, 5, 6, 7) then null else f0 end"), F.expr("case when n % 19 in (3, 7) then null else f1 end"))

@@ -163,10 +163,10 @@ def test_rescaling_and_unreduced_ratios_change_nothing(spark):
 
 
 def test_shared_streams_are_computed_once(spark):
-    s = S.shared(S.add(registry.ev(spark, SF), registry.od(spark, SF, "1/10")))
-    both = S.add(s.select(F.col("f0") + F.col("f1")), s.select(F.col("f1") + F.col("f0"))).df
-    assert both._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") >= 2 and both.where("f0 <> f1").count() == 0
-    s.df.unpersist()
+    with S.shared(S.add(registry.ev(spark, SF), registry.od(spark, SF, "1/10"))) as s:
+        both = S.add(s.select(F.col("f0") + F.col("f1")), s.select(F.col("f1") + F.col("f0"))).df
+        assert both._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") >= 2 and both.where("f0 <> f1").count() == 0
+    assert not s.df.is_cached
 
 
 def test_windows_keep_nulls_and_cross_buckets(spark):

@@ -10,8 +10,11 @@ aggregate.
 The tokens of the nested classes are the template. Its blocks of text go, and its tags and blocks cut each page into slots. A slot
 whose text is mostly links, over all contents of the host, is a menu and goes as well. Where slots can't tell (text that differs
 from page to page and holds few links), the elements' roles decide: menus, headers, footers, asides, forms, adverts, comments
-and the like go. If an article is left, the rest of the page goes. Words in class names that only suggest a role ("related-work")
-never take text out of an article, unless half of the slot's text is links.
+and the like go. If an article is left, the rest of the page goes. Names take out parts of a page (divisions, sections, lists), no
+single paragraph, heading, cell or item; comments, notices, adverts and the like go inside an article, too, while names that
+only suggest a role ("related-work") take nothing out of it, unless half of the slot's text is links. An article or main element inside a
+part that its name alone condemns is read all the same, unless that part is a thread of comments. A form that frames the page
+isn't one: it holds an article or the title, or half of the text and ten words for each control.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; a page without blocks, an empty
 string; tags are cut as browsers do (a quote counts only after an equals sign; a tag, comment or script that doesn't end takes the
@@ -40,13 +43,20 @@ LINKS, SOME_LINKS = 80, 50
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BREAKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "svg", "head", "menu", "dialog", "label", "fieldset"}
+NEVER = {"nav", "footer", "aside", "button", "select", "option", "svg", "head", "menu", "dialog", "label"}
 MAIN = {"article", "main"}
-#: Names that say what an element is, and names that suggest it wherever they are a part of one.
+CONTROLS = {"button", "input", "option", "select", "textarea"}
+#: Elements that hold a sentence or a heading, not a part of the page: a name alone takes none of them out.
+PROSE = {"blockquote", "caption", "dd", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr"}
+#: A form is the page's frame, not a form, if it holds an article or the title, or this many hundredths of the text with so many words a control.
+FRAME_SHARE, FRAME_WORDS = 50, 10
+#: Names that say what an element is, names that say it wherever they are a part of one, inside articles, too, and names that suggest it.
 SURE = {"ad", "ads", "advert", "advertisement", "comment", "comments", "comment-list", "cookie-banner", "disqus_thread", "menu", "navigation", "newsletter", "related", "replies", "respond", "share", "sidebar", "social", "sponsored", "subscribe"}
-SUGGESTED = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[-_ ])", re.I)
-#: Roles of a block's surroundings: none, suggested by a name, suggested inside an article, sure.
-PLAIN, HINT, HINT_IN_ARTICLE, BAD = range(4)
+THREAD = re.compile(r"(?:^|(?<!has)(?<!no)(?<!with)[-_ ])(?:comments?|commentlist|commentary-list|replies|respond|disqus\w*)(?:$|[-_ ])", re.I)
+STRONG = re.compile(r"(?:^|[-_ ])(?:adverts?|advertisements?|advertising|ads?|consent|cookies?|modal|newsletter|notices?|popup|promos?|signup|sponsor\w*|subscribe)(?:$|[-_ ])", re.I)
+SUGGESTED = re.compile(r"(?:^|(?<!has)(?<!no)(?<!with)[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[-_ ])", re.I)
+#: Roles of a block's surroundings: none, suggested by a name, suggested inside an article, sure, sure by a name that an article inside overrules.
+PLAIN, HINT, HINT_IN_ARTICLE, BAD, NAMED_BAD = range(5)
 #: Comments, other declarations, tags. No part gives back what it has taken, so the time is linear.
 PIECE = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
@@ -55,21 +65,27 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 
 
 class Element:
-    __slots__ = ("linked", "main", "path", "role", "tag")
+    __slots__ = ("form", "linked", "main", "path", "role", "tag")
 
-    def __init__(self, tag: str, path: int, main: bool, role: int, linked: bool):
-        self.tag, self.path, self.main, self.role, self.linked = tag, path, main, role, linked
+    def __init__(self, tag: str, path: int, main: bool, role: int, linked: bool, form: int = -1):
+        self.tag, self.path, self.main, self.role, self.linked, self.form = tag, path, main, role, linked, form
 
 
 def role_of(tag: str, names: str, above: Element) -> int:
     if above.role == BAD or tag in NEVER or (tag == "header" and not above.main):
         return BAD
-    if names and tag not in ("body", "html", "main"):
-        if not SURE.isdisjoint(names.lower().split()):
+    role = PLAIN if above.role == NAMED_BAD and tag in MAIN else above.role
+    said = set(names.lower().split())
+    if tag in ("article", "li") and said & {"comment", "comments", "reply"}:
+        return BAD
+    if names and tag not in PROSE and tag not in ("body", "html", "main", "form"):
+        if tag != "article" and THREAD.search(names):
             return BAD
+        if said & SURE or (tag != "article" and STRONG.search(names)):
+            return BAD if above.main else NAMED_BAD
         if tag != "article" and SUGGESTED.search(names):
-            return max(above.role, HINT_IN_ARTICLE if above.main else HINT)
-    return above.role
+            return max(role, HINT_IN_ARTICLE if above.main else HINT)
+    return role
 
 
 def tokens_of(page: str) -> list[tuple[int, str | None, int, int, bool]]:
@@ -79,6 +95,8 @@ def tokens_of(page: str) -> list[tuple[int, str | None, int, int, bool]]:
     hashed = lambda *x: xxh3_64_intdigest("\0".join(map(str, x))) - 2**63
     root = Element("", 0, False, PLAIN, False)
     out: list[tuple[int, str | None, int, int, bool]] = []
+    forms: list[int] = []  # of each token, the form around it; and of each form, its controls and whether it frames an article or a title
+    controls, frames = [], []
     stack, depth = [root], Counter()
     parts: list[str] = []
     linked: list[str] = []
@@ -94,6 +112,7 @@ def tokens_of(page: str) -> list[tuple[int, str | None, int, int, bool]]:
         if text:
             e = stack[-1]
             out.append((hashed(e.path, text), text, min(len(text), len(" ".join("".join(linked).split()))), e.role, e.main))
+            forms.append(e.form)
         parts.clear()
         linked.clear()
 
@@ -108,6 +127,7 @@ def tokens_of(page: str) -> list[tuple[int, str | None, int, int, bool]]:
                     depth[e.tag] -= 1
                     if e.tag in BREAKS:
                         out.append((hashed(e.path, "/"), None, 0, e.role, e.main))
+                        forms.append(e.form)
                 del stack[i:]
                 return
             if stack[i].tag in stops:
@@ -129,6 +149,9 @@ def tokens_of(page: str) -> list[tuple[int, str | None, int, int, bool]]:
                 flush()
             pop((tag,), {"article", "main", "body", "table"} - {tag} if tag not in BREAKS or tag == "p" else set())
             continue
+        if stack[-1].form >= 0:
+            controls[stack[-1].form] += tag in CONTROLS
+            frames[stack[-1].form] |= tag in MAIN or tag == "h1"
         if tag in RAW:
             end = RAW_END[tag].search(page, at)
             at = end.end() if end else size
@@ -146,16 +169,36 @@ def tokens_of(page: str) -> list[tuple[int, str | None, int, int, bool]]:
         if tag in BREAKS or tag in NEVER:
             names = " ".join(a or b or c for a, b, c in NAMED.findall(m[3]))
             role = role_of(tag, names, above)
-            e = Element(tag, hashed(above.path, tag, names), above.main or (tag in MAIN and role < BAD), role, above.linked)
+            e = Element(tag, hashed(above.path, tag, names), above.main or (tag in MAIN and role < BAD), role, above.linked, above.form)
+            if tag == "form" and e.form < 0:  # a form inside another is part of it
+                e.form = len(controls)
+                controls.append(0)
+                frames.append(False)
             out.append((e.path, None, 0, e.role, e.main))
+            forms.append(e.form)
         else:
-            e = Element(tag, above.path, above.main, above.role, above.linked or tag == "a")
+            e = Element(tag, above.path, above.main, above.role, above.linked or tag == "a", above.form)
             if m[3] and tag != "a":  # a span can be an advert, too
                 e.role = role_of(tag, " ".join(a or b or c for a, b, c in NAMED.findall(m[3])), above)
         stack.append(e)
         depth[tag] += 1
     flush()
-    return out
+    return [(*t[:3], t[3] if f < 0 or wide else BAD, t[4]) for t, f, wide in _framed(out, forms, controls, frames)] if controls else out
+
+
+def _framed(tokens: list, forms: list[int], controls: list[int], frames: list[bool]) -> list[tuple]:
+    """(token, its form, whether that form is the page's frame)."""
+    held = [0] * len(controls)
+    words = [0] * len(controls)
+    whole = 0
+    for (_, text, _, role, _), f in zip(tokens, forms, strict=True):
+        if text is not None and role < BAD:
+            whole += len(text)
+            if f >= 0:
+                held[f] += len(text)
+                words[f] += len(text.split())
+    wide = [frames[f] or (100 * held[f] >= FRAME_SHARE * whole and words[f] >= FRAME_WORDS * controls[f]) for f in range(len(controls))]
+    return [(t, f, f >= 0 and wide[f]) for t, f in zip(tokens, forms, strict=True)]
 
 
 def host_column(url: str = "url"):
@@ -181,7 +224,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 times, row = Counter(t[0] for t in page), []
                 for token, text, links, role, main in page:
                     if text is not None or times[token] == 1:
-                        row.append({"token": token, "text": None if role == BAD else text, "chars": len(text) if text is not None else None, "links": links, "role": role, "main": main, "once": times[token] == 1})
+                        row.append({"token": token, "text": None if role >= BAD else text, "chars": len(text) if text is not None else None, "links": links, "role": role, "main": main, "once": times[token] == 1})
                     elif times[token] > 0:
                         row.append({"token": token, "text": None, "chars": None, "links": 0, "role": role, "main": main, "once": False})
                         times[token] = 0

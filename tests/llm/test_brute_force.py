@@ -291,6 +291,44 @@ def test_html_tags_as_browsers_cut_them(spark):
     assert [host_texts(spark, [p], f"http://h{i}")[0] for i, p in enumerate(pages)] == ["hello world\nI don't know\nend", "text", "a b c d", "xy\nw", "<p> a b", "one", "open", "one\ntwo\nthree"]
 
 
+def test_html_roles_by_names_and_forms(spark):
+    """Frames of pages, names of paragraphs, threads and notices inside articles: by each host one page, so without templates."""
+    body = "<p>The council met on Monday and agreed to mend the bridge.</p><p>Work begins in spring.</p>"
+    text = "The council met on Monday and agreed to mend the bridge.\nWork begins in spring."
+    pages = {
+        f"<form id='aspnetForm'><input type=hidden><div>{body}</div></form>": text,
+        f"<form><article><h1>T</h1>{body}</article><label>Search</label><input><button>Go</button></form>": "T\n" + text,
+        f"<div>{body}</div><form><p>Sign up for our letter</p><label>Mail</label><input><button>Go</button></form>": text,
+        "<form><p>Your name</p><input><p>Your mail</p><input><button>Send</button></form>": "",
+        "<article><p class='share price'>Share price rose</p><h2 class='related'>Related</h2><p>x</p></article>": "Share price rose\nRelated\nx",
+        f"<div class='menu'><article>{body}</article></div>": text,
+        f"<div class='comments-off'><p>hi</p></div><article>{body}</article>": text,
+        f"<article>{body}<section class='comments-area'><p>reader 4 says something</p></section></article>": text,
+        f"<article>{body}<ol class='commentlist'><li>first</li></ol></article>": text,
+        f"<article>{body}<div id='user-comments'><article><p>me too</p></article></div></article>": text,
+        f"<article>{body}<ul><li class='comment'>first</li></ul></article>": text,
+        f"<article><div class='notice'>We use your data</div>{body}<div class='cookie-notice'>ok?</div></article>": text,
+        f"<article><div class='advert-slot'>Buy</div>{body}<aside>More</aside><div id='ad-banner'>Buy</div></article>": text,
+        f"<div class='post has-comments no-sidebar'>{body}</div>": text,
+        f"<div class='legal-footer'>{body}</div>": "",  # a name that only suggests a role, outside of an article
+        f"<article><div class='related-work'>{body}</div></article>": text,
+        f"<div class='modal'><main>{body}</main></div>": text,
+        f"<div class='comments'><article>{body}</article></div><p>x</p>": "x",
+        f"<form>{body}<form><p>nested</p></form>": text + "\nnested",
+    }
+    rows = [(i, f"http://r{i}/1", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {p: got[i] for i, p in enumerate(pages)} == pages
+
+
+def test_templates_take_out_what_has_no_name(spark):
+    """Boilerplate without a telling tag or name, in and outside of the article, goes by the template alone: roles change none of these pages."""
+    page = lambda i: f"<div><div>Daily Post</div><div>All the news</div></div><article><h1>Title {i}</h1><p>Read us on paper, too.</p><p>Story {i} is told here.</p><p>Write to the desk.</p></article><div>Printed in town</div>"
+    assert host_texts(spark, [page(i) for i in range(6)]) == [f"Title {i}\nStory {i} is told here." for i in range(6)]
+    alone = host_texts(spark, [page(0)], "http://alone")  # a host of one page has no template
+    assert alone == ["Title 0\nRead us on paper, too.\nStory 0 is told here.\nWrite to the desk."]
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<div>", "<b>x<br>", "<p a='", "<!--", "&am", "= ", "<ul><li>x", "</p>", "<"])
 def test_long_pages_take_linear_time(unit):
     took = []

@@ -2,8 +2,8 @@
 
 Each vector is cut into 8 parts of integers floor(4096 * x). The points of a part are range-sorted by their key on a Hilbert curve and
 cut into flat blocks, stored once with their box (least and greatest component) and their sums. In each round the distances between
-box and codebook entries leave a shortlist per block: an entry whose least distance to the box is beyond another's greatest
-distance wins no point there. A block with one entry left counts by its stored sums, without its points; in the others a small
+box and codebook entries leave a shortlist per block: an entry that is farther than another one from every point of the box
+wins no point there. A block with one entry left counts by its stored sums, without its points; in the others a small
 integer kernel compares the points with the shortlist. Rounds send 8 * 16 sums to the driver, whatever the input.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components are left out, and so are those whose length is no
@@ -29,7 +29,7 @@ PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Greatest component: errors of vectors of up to 256 components stay below 2 ** 62.
 LARGEST = 16_384.0
 #: Points of a block, and bits of a Hilbert key, shared among the dimensions of a part.
-BLOCK, KEY_BITS = 256, 60
+BLOCK, KEY_BITS = 64, 60
 #: Bytes of points in a range of a curve, and groups that a label's rows are dealt to.
 RANGE_BYTES, SALTS = 64 << 20, 32
 
@@ -98,11 +98,15 @@ def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
 
 
 def shortlist(lo: np.ndarray, hi: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """(blocks, entries): the entries that may be nearest to a point of the block's box, or tie with the nearest."""
-    lo, hi, e = lo[:, None, :], hi[:, None, :], book[None, :, :]
-    inside = np.maximum(np.maximum(lo - e, e - hi), 0)
-    beyond = np.maximum(np.abs(e - lo), np.abs(e - hi))
-    return (inside * inside).sum(2) <= (beyond * beyond).sum(2).min(1)[:, None]
+    """(blocks, entries): the entries that may be nearest to a point of the block's box, or tie with the nearest.
+
+    Squared distances to two entries differ by a linear function of the point, whose least value over a box takes an end of it in each
+    dimension: exact, and tighter than comparing least and greatest distances.
+    """
+    apart = book[:, None, :] - book[None, :, :]
+    most = (np.maximum(apart, 0)[None] * hi[:, None, None, :] + np.minimum(apart, 0)[None] * lo[:, None, None, :]).sum(3)
+    norms = (book * book).sum(1)
+    return ~(norms[:, None] - norms[None, :] - 2 * most > 0).any(2)
 
 
 def nearest(x: np.ndarray, book: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

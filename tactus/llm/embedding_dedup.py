@@ -31,8 +31,10 @@ SAMPLE = 32_768
 #: Vectors aimed at in a cell, and the most cells (the centroids are sent to all tasks: at most this many vectors).
 PER_CELL, MOST_CELLS = 1_024, 8_192
 BLOCK = 2_048
-#: How far below COSINE a single-precision product still counts as near it.
-NEAR = 1e-4
+#: How far below COSINE a single-precision product of unit vectors still counts as near it, and what each dimension adds.
+NEAR, NEAR_DIMENSION = 1e-4, 2.0**-22
+#: Rows of a product with all centroids.
+ROWS = 2_048
 ROUNDS = 8
 
 
@@ -46,7 +48,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """k unit centroids of unit vectors; starts from evenly spaced rows, an empty cell keeps its centroid."""
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
+        near = np.concatenate([(x[i : i + ROWS] @ c.T).argmax(axis=1) for i in range(0, len(x), ROWS)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.sqrt((sums * sums).sum(axis=1))
@@ -54,11 +56,18 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def cells_of(x: np.ndarray, c: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home cell of each row, rows of visits, cells of visits)."""
+def distances(c: np.ndarray) -> np.ndarray:
+    """Between all centroids, in single precision and not below the truth."""
+    out = np.empty((len(c), len(c)), np.float32)
+    for i in range(0, len(c), ROWS):
+        out[i : i + ROWS] = np.sqrt(np.maximum(0, 2 - 2 * (c[i : i + ROWS] @ c.T)) + 1e-12)
+    return np.nextafter(out, np.float32(3), out)
+
+
+def cells_of(x: np.ndarray, c: np.ndarray, apart: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home cell of each row, rows of visits, cells of visits). apart: the centroids' ``distances``."""
     dots = x @ c.T
     home = dots.argmax(axis=1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
     reach = math.sqrt(1 - cosine * cosine) + 1e-9
     near = dots[np.arange(len(x)), home][:, None] - dots <= reach * apart[home] + 1e-9
     near &= np.arange(len(c))[None, :] < home[:, None]
@@ -79,7 +88,7 @@ def roots(mask: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether each pair of rows has the cosine, in doubles; single products, whose error is far below NEAR, rule the rest out."""
-    near = x.astype(np.float32) @ y.astype(np.float32).T >= np.float32(COSINE - NEAR)
+    near = x.astype(np.float32) @ y.astype(np.float32).T >= np.float32(COSINE - NEAR - NEAR_DIMENSION * x.shape[1])
     i, j = np.nonzero(near)
     if len(i) * 8 > near.size:
         return x @ y.T >= COSINE
@@ -147,10 +156,12 @@ def _links_of_length(nodes: DataFrame, count: int, per_cell: int, kind: type) ->
     centroids = spherical_kmeans(unit(np.array([r.e for r in sample])), k)
 
     def start():
+        apart = distances(centroids)  # once a task
+
         def each(batch: pa.RecordBatch) -> dict:
             given = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             x = unit(given)
-            home, who, where = cells_of(x, centroids)
+            home, who, where = cells_of(x, centroids, apart)
             at = np.append(np.arange(len(x)), who)
             raw = pa.array([v.tobytes() for v in given.astype(kind)], pa.binary())
             return {"cell": np.append(home, where).astype(np.int64), "home": np.append(np.ones(len(x), bool), np.zeros(len(who), bool)), "node": batch.column("node").to_numpy()[at], "n": batch.column("n").to_numpy()[at], "v": raw.take(pa.array(at))}

@@ -191,7 +191,8 @@ def test_embeddings_in_many_cells(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
-    home, who, _ = embedding_dedup.cells_of(u, embedding_dedup.spherical_kmeans(u, 24))
+    centroids = embedding_dedup.spherical_kmeans(u, 24)
+    home, who, _ = embedding_dedup.cells_of(u, centroids, embedding_dedup.distances(centroids))
     assert len(set(home.tolist())) > 10 and len(who) > 0
     label = list(range(len(x)))
     for _ in range(len(x)):
@@ -291,6 +292,14 @@ def test_html_tags_as_browsers_cut_them(spark):
     assert [host_texts(spark, [p], f"http://h{i}")[0] for i, p in enumerate(pages)] == ["hello world\nI don't know\nend", "text", "a b c d", "xy\nw", "<p> a b", "one", "open", "one\ntwo\nthree"]
 
 
+def test_centroid_distances_are_not_below_the_truth():
+    c = embedding_dedup.unit(np.random.default_rng(3).normal(size=(3_000, 24)))
+    c[7] = c[2_900]
+    exact = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+    got = embedding_dedup.distances(c)
+    assert (got >= exact).all() and (got - exact).max() < 2e-6
+
+
 def test_html_roles_by_names_and_forms(spark):
     """Frames of pages, names of paragraphs, threads and notices inside articles: by each host one page, so without templates."""
     body = "<p>The council met on Monday and agreed to mend the bridge.</p><p>Work begins in spring.</p>"

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from tactus.functions import kernels
 from tactus.functions.expr import idiv
 
 from .streams import BUCKET, Stream, add, fir, in_buckets, interleave, shift, weighted, window_reduce
 
+#: Records that go through a kernel at once.
+RUN = 200_000
 DERIVATIVE = [-1, -2, 0, 2, 1]
 SHORT, LONG = 30, 180
 
@@ -28,20 +34,31 @@ def fir_with_source(s: Stream, taps: list[int]) -> Stream:
     return add(scaled_fir(s, taps), s)
 
 
-def qrs_chain(s: Stream, taps: list[int], bucket: int = BUCKET) -> DataFrame:
-    """(n, f0.., bp, d, sq, mwi, thr): band pass, derivative, square, short and long averages, all in one shuffle."""
-    halo = len(taps) + len(DERIVATIVE) + SHORT + LONG - 4
-    w = Window.partitionBy("bucket").orderBy("p")
+def over_halo(s: Stream, halo: int, compute: kernels.Compute, names: list[str], bucket: int = RUN) -> DataFrame:
+    """(n, the fields of s, names): a kernel over f0 at each record that has ``halo`` consecutive ones before it.
+
+    One shuffle by ranges of the index, of which each goes through the kernel as arrays; a record is copied to two ranges at most.
+    """
     b = in_buckets(s.df.withColumnRenamed("n", "p"), 1, halo + 1, bucket)
-    b = b.withColumn("bp", idiv(weighted("f0", taps, w), 1000))
-    b = b.withColumn("d", weighted("bp", DERIVATIVE, w))
-    b = b.withColumn("sq", idiv(F.col("d") * F.col("d"), 1000))
-    for name, of, size in (("mwi", "sq", SHORT), ("thr", "mwi", LONG)):
-        # Running sums of integers are exact, so a window is a difference of two.
-        b = b.withColumn("run", F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        b = b.withColumn("moved", F.col("run") - F.coalesce(F.lag("run", size).over(w), F.lit(0)))
-        b = b.withColumn(name, F.when(F.lag(of, size - 1).over(w).isNotNull(), idiv(F.col("moved"), size)))
-    return b.where(f"thr is not null and p div {bucket} = bucket").withColumnRenamed("p", "n").drop("bucket")
+    fields, schema = s.fields, StructType([StructField("n", LongType()), *[s.df.schema[f] for f in s.fields], *[StructField(x, LongType()) for x in names]])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("p")
+        p, f0 = rows["p"].to_numpy(), rows["f0"].combine_chunks()
+        valid = f0.is_valid().to_numpy(zero_copy_only=False)
+        y, ok = kernels.in_runs(p, f0.fill_null(0).cast(pa.int64()).to_numpy(), valid, halo, compute, len(names))
+        at = np.flatnonzero((kernels.before(p) >= halo) & (p // bucket == rows["bucket"][0].as_py()))
+        out = rows.select(["p", *fields]).take(pa.array(at))
+        cols = [*out.columns, *(pa.array(y[at, i], mask=~ok[at, i]) for i in range(len(names)))]
+        return pa.Table.from_arrays(cols, schema.names)
+
+    return b.groupBy("bucket").applyInArrow(run, schema)
+
+
+def qrs_chain(s: Stream, taps: list[int], bucket: int = RUN) -> DataFrame:
+    """(n, f0.., mwi, thr): band pass, derivative, square, short and long averages, all in one shuffle. A record with a NULL in its halo is left out."""
+    halo = len(taps) + len(DERIVATIVE) + SHORT + LONG - 4
+    return over_halo(s, halo, kernels.qrs(taps, DERIVATIVE, SHORT, LONG), ["value", "mwi", "thr"], bucket).where("thr is not null").drop("value")
 
 
 def qrs_features(s: Stream, taps: list[int]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tactus.functions import kernels
 from tactus.operators import pipelines
 from tactus.operators import streams as S
 from tactus.sources.readers import shared_folder
@@ -103,7 +104,7 @@ def watermarked(s: S.Stream, delay: int | None = None) -> DataFrame:
 
 
 # --- operators with state ---
-def _chained(s: S.Stream, out: S.Stream, outputs: int, halo: int, compute: stateful.Compute, step: int, delay: int | None, span: int) -> S.Stream:
+def _chained(s: S.Stream, out: S.Stream, outputs: int, halo: int, compute: kernels.Compute, step: int, delay: int | None, span: int) -> S.Stream:
     """``compute`` over the flattened positions of s, n * width + i."""
     x = watermarked(s, delay)
     if s.width > 1:
@@ -119,19 +120,19 @@ def _chained(s: S.Stream, out: S.Stream, outputs: int, halo: int, compute: state
 def window_reduce(s: S.Stream, step: int, length: int, *reducers: str, delay: int | None = None, span: int = stateful.RANGE) -> S.Stream:
     """A live window with reducers over it: the records, fields and NULLs of the batch form, an entry of state a record."""
     size = abs(length)
-    return _chained(s, S._windowed(s, step, size), len(reducers), size - 1, stateful.reducers(size, reducers), step, delay, span)
+    return _chained(s, S._windowed(s, step, size), len(reducers), size - 1, kernels.reducers(size, reducers), step, delay, span)
 
 
 def fir(s: S.Stream, taps: list[int], scale: tuple[int, ...] = (), delay: int | None = None, span: int = stateful.RANGE) -> S.Stream:
     """A live filter, divided by each of ``scale`` in turn."""
-    return _chained(s, S._windowed(s, 1, len(taps)), 1, len(taps) - 1, stateful.filtered(taps, scale), 1, delay, span)
+    return _chained(s, S._windowed(s, 1, len(taps)), 1, len(taps) - 1, kernels.filtered(taps, scale), 1, delay, span)
 
 
 def qrs_features(s: S.Stream, taps: list[int], delay: int | None = None, span: int = stateful.RANGE) -> DataFrame:
     """The live ECG chain over f0: band pass, derivative, square and both averages in one operator with one halo."""
     halo = len(taps) + len(pipelines.DERIVATIVE) + pipelines.SHORT + pipelines.LONG - 4
     one = s.select(F.col("f0"))
-    q = _chained(one, S._windowed(one, 1, halo + 1), 3, halo, stateful.qrs(taps, pipelines.DERIVATIVE, pipelines.SHORT, pipelines.LONG), 1, delay, span).df.where("f2 is not null")
+    q = _chained(one, S._windowed(one, 1, halo + 1), 3, halo, kernels.qrs(taps, pipelines.DERIVATIVE, pipelines.SHORT, pipelines.LONG), 1, delay, span).df.where("f2 is not null")
     return q.select("n", (F.col("f0") - 900).alias("out_0"), (F.col("f1") * 5).alias("out_1"), ((F.col("f1") - F.col("f2") * 2) * 5).alias("out_2"))
 
 

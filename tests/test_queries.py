@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tactus.functions import expr
 from tactus.functions.index import left_position, right_position
-from tactus.operators import eventlog, infer, measure, quality
+from tactus.operators import eventlog, infer, measure, pipelines, quality
 from tactus.operators import streams as S
 from tactus.plans import registry
 
@@ -179,6 +179,22 @@ def test_windows_keep_nulls_and_cross_buckets(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("bucket", [300, 1_000])
+def test_chain_of_windows_crosses_ranges_and_holes(spark, bucket):
+    rows = spark.range(1_500).where("id <> 700").selectExpr("id as n", "if(id = 1200, null, id * 37 % 1000 - 500) as f0", "id as f1")
+    s = S.Stream(rows.repartition(7), Fraction(1, 360), 2, 0, 1_500)
+    got = {r.n: (r.f0, r.f1, r.mwi, r.thr) for r in pipelines.qrs_chain(s, registry.TAPS25, bucket).collect()}
+    x = [None if n in (700, 1200) else n * 37 % 1000 - 500 for n in range(1_500)]
+    trunc = lambda a, b: int(math.copysign(abs(a) // b, a)) if a else 0
+    fir = lambda v, taps: [sum(c * v[n - k] for k, c in enumerate(taps)) if n >= len(taps) - 1 and None not in v[n - len(taps) + 1 : n + 1] else None for n in range(len(v))]
+    avg = lambda v, k: [trunc(sum(v[n - k + 1 : n + 1]), k) if n >= k - 1 and None not in v[n - k + 1 : n + 1] else None for n in range(len(v))]
+    bp = [None if y is None else trunc(y, 1000) for y in fir(x, registry.TAPS25)]
+    sq = [None if y is None else trunc(y * y, 1000) for y in fir(bp, pipelines.DERIVATIVE)]
+    mwi = avg(sq, pipelines.SHORT)
+    thr = avg(mwi, pipelines.LONG)
+    assert got == {n: (x[n], n, mwi[n], thr[n]) for n in range(1_500) if thr[n] is not None}
+
+
 def test_resampling_equals_zero_stuffing(spark):
     x = np.random.default_rng(8).normal(size=37)
     s = S.Stream(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "n long, f0 double"), Fraction(1), 1, 0, len(x))

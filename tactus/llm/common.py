@@ -91,6 +91,14 @@ def kept_by_worker(key: str, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
+def forget_kept() -> None:
+    """Drops what ``kept_by_worker`` holds, for tasks that need the memory and none of it."""
+    import __main__
+
+    __main__.__dict__.pop("_tactus_held", None)
+    give_back()
+
+
 def marks(ids: DataFrame) -> np.ndarray:
     """A filter of FILTER_BITS bits with those of the ids (column ``id``) set: at most FILTER_BITS / 64 rows come to the driver, whatever the input."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, stored, table, texts
+from .common import forget_kept, in_batches, stored, table, texts
 from .tokens import encoder, ids_crc32, sent, vocabulary_path
 
 END_ID = 0
@@ -94,6 +94,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = LE
     def run(batches):
         from pyspark import TaskContext
 
+        forget_kept()  # the tokenizer's memory of the stage before
         seq, tail = TaskContext.get().partitionId() << 36, []
         used = 0
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import SparkSession
 from .common import kept_by_worker
 
 #: Pieces that a generation remembers, each up to LONGEST characters.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 LONGEST = 48
 #: The pieces of the two tokenizers: fixed values, given by their files.
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -15,8 +15,8 @@ Parity sketches, whose bits bound the differences of two sets from below, drop m
 pairs that remain are verified exactly.
 
 Defined results: words `[^ \\t-\\r]+` of the text with A-Z in lower case; fewer words than a shingle has make one shingle of
-all; no words, an empty set that links with nothing (a null text too); a text of any length is shingled whole. Rows that share a doc_id are one node whose set is that
-of its least text; an empty table gives an empty result; other columns are ignored.
+all; no words, an empty set that links with nothing (a null text too); a text of any length is shingled whole. Rows that share a doc_id are one node: it is linked
+with the copies of any of its texts, and with texts that are similar to its least one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

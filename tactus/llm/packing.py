@@ -148,5 +148,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows, with their ids; each row is a document of its own, with a null or repeated doc_id as well."""
+    """The pieces of all rows, with their ids; each row is a document of its own, with a null or repeated doc_id as well.
+
+    Rows that tie on the curve are ordered by doc_id and ids, so equal rows are interchangeable; null texts have their end id only; an
+    empty table gives an empty result; columns of docs other than doc_id and text, whatever their names, are left out.
+    """
     return pack(docs, vocabulary_path("byte_bpe_50k.json"))

@@ -53,12 +53,13 @@ def _first(whole: DataFrame) -> list[list[int]]:
     return [rows[i] for i in ids if len(rows[i]) == size]
 
 
-def _boxed(points: DataFrame, dims: int) -> DataFrame:
-    """Hilbert-sorted flat blocks: part, lo, hi, total, n, rows and points as arrays' bytes. points: (part, row, x array<int>)."""
-    ends = points.select("part", F.posexplode("x").alias("d", "c")).groupBy("part", "d").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).collect()  # 8 * dims rows
-    lo, span = np.zeros((PARTS, dims), np.int64), np.ones((PARTS, dims), np.int64)
-    for r in ends:
-        lo[r.part, r.d], span[r.part, r.d] = r.lo, r.hi - r.lo + 1
+def _boxed(whole: DataFrame, dims: int) -> DataFrame:
+    """Hilbert-sorted flat blocks of the vectors' parts: part, lo, hi, total, n, rows and points as arrays' bytes."""
+    component = [F.get("v", F.lit(i)) for i in range(PARTS * dims)]
+    ends = np.array(whole.agg(*[f(c) for f in (F.min, F.max) for c in component]).first(), np.int64).reshape(2, PARTS, dims)
+    lo, span = ends[0], ends[1] - ends[0] + 1
+    cut = F.posexplode(F.array(*[F.slice("v", p * dims + 1, dims) for p in range(PARTS)])).alias("part", "x")
+    points = whole.select("row", cut).select("part", "row", "x")
     used = min(dims, KEY_BITS)
     bits = max(1, min(16, KEY_BITS // used))
 
@@ -88,7 +89,7 @@ def _boxed(points: DataFrame, dims: int) -> DataFrame:
 
     # Stored, so that sampling the ranges doesn't compute the keys a second time. The row number splits points that tie.
     keys = stored(in_batches(points, "part int, row long, key long, x binary", keyed), "codes-keys")
-    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(keys.agg(F.sum(F.octet_length("x") + 24)).first()[0] or 0) // RANGE_BYTES))
+    parts = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(keys.agg(F.sum(F.octet_length("x") + 24)).first()[0] or 0) // RANGE_BYTES))
     curve = keys.repartitionByRange(parts, "part", "key", "row").sortWithinPartitions("part", "key", "row")
     return stored(in_batches(curve, "part int, n long, lo array<int>, hi array<int>, total array<long>, rows binary, points binary", blocks), "codes-blocks")
 
@@ -187,8 +188,7 @@ def compress(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
     if not first:  # no vector has an id
         return whole.where("false").select("vec_id", "label", F.col("v").alias("entries"), F.col("row").alias("error"), F.col("row").alias("label_error")), books
     whole = whole.where(F.size("v") == PARTS * dims)
-    cut = F.posexplode(F.array(*[F.slice("v", p * dims + 1, dims) for p in range(PARTS)])).alias("part", "x")
-    blocks = _boxed(whole.select("row", cut).select("part", "row", "x"), dims)
+    blocks = _boxed(whole, dims)
     for _ in range(ROUNDS):
         books = _round(blocks, books, dims)
     # A row's parts meet by its number; the sort is of eight pairs.

@@ -15,6 +15,15 @@ from tactus.sources import readers
 from tactus.streaming import live, probe, stateful, subscription
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Operators with state start a worker a partition and batch."""
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
 def stream(spark, delta, end, value="id * 37 % 1000 - 500", width=1):
     df = spark.range(end).select(F.col("id").alias("n"), *[F.expr(f"{value} + {i}").alias(f"f{i}") for i in range(width)])
     return S.Stream(df, Fraction(delta), width, 0, end)

@@ -117,11 +117,13 @@ def shares(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
     room = F.when(F.col("short") > 0, CAP * F.col("n") - F.col("copies_all")).otherwise(F.col("copies_all")) * F.col("size")
     parts = before(parts.withColumn("room", room), "room", "room_before", down=True)
     parts = parts.withColumn("fix", F.greatest(F.least(F.abs("short") - F.col("room_before"), F.col("room")), F.lit(0)).cast("long"))
-    p = stored(parts.select(F.col("source").alias("src"), F.col("size").alias("sz"), F.col("salt").alias("st"), "source_size", "target", "rate", "units", "start", "short", "fix"), "mix-parts")
-    sized = sized.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-    rank = Window.partitionBy("source", "size", "salt").orderBy("id", "row")
-    out = sized.withColumn("k", F.row_number().over(rank))
-    out = out.join(p, out.source.eqNullSafe(F.col("src")) & (out["size"] == F.col("sz")) & (out.salt == F.col("st")))
+    # Rows are dealt by the columns of one key without nulls for both the window and the join, so they are shuffled once.
+    named = {"of_source": F.coalesce("source", F.lit("")), "of_none": F.col("source").isNull()}
+    key = [*named, "size", "salt"]
+    p = stored(parts.withColumns(named).select(*key, "source_size", "target", "rate", "units", "start", "short", "fix"), "mix-parts")
+    sized = sized.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).withColumns(named)
+    rank = Window.partitionBy(*key).orderBy("id", "row")
+    out = sized.withColumn("k", F.row_number().over(rank)).join(p, key)
     out = out.withColumn("copies", upto("k") - upto("k - 1"))
     mine = F.when(F.col("short") > 0, CAP - F.col("copies")).otherwise(F.col("copies")) * F.col("size")
     out = out.withColumn("mine", mine).withColumn("mine_before", F.coalesce(F.sum("mine").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -13,7 +13,6 @@ ignored, whatever their names. Vocabularies have every single byte and at most 6
 from __future__ import annotations
 
 import base64
-import re
 import struct
 import zlib
 from array import array
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_batches, kept_by_worker, table, texts
-from .tokens import BYTE_PIECES, ByteEncoder, Remembered, byte_characters, sent, vocabulary_path
+from .tokens import BYTE_PIECES, ByteEncoder, byte_characters, sent, vocabulary_path
 
 #: Fields of sentencepiece's model format: fixed values, given by its public definition.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -78,20 +77,15 @@ class RankEncoder(ByteEncoder):
     """Chunks of bytes -> ids, as ``ByteEncoder``, with the pieces encoded by a sentencepiece model of the vocabulary."""
 
     def __init__(self, spec: str):
-        import regex
         from sentencepiece import SentencePieceProcessor
 
         self.bytes_of = ranks(spec)
         if len(self.bytes_of) > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.normalizer, self.table = None, byte_characters()
+        self.normalizer = None
         self.processor = SentencePieceProcessor(model_proto=model(self.bytes_of))
         self.known = {as_characters(b): i for i, b in enumerate(self.bytes_of) if b is not None}
-        self.cut = regex.compile(BYTE_PIECES).findall
-        self.unusual = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u017f]").search
-        self.piece = Remembered(self.of_piece)
-        self.plain, self.spaced = Remembered(self.of_plain), Remembered(self.of_spaced)
-        self.newline = self.whole("\n")
+        self.begin(BYTE_PIECES)
 
     def of_piece(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.table)

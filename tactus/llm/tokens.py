@@ -1,11 +1,12 @@
-"""Exact token ids of whole texts, with the pieces that recur looked up instead of encoded again.
-
-Both tokenizers here cut a text into pieces by a pattern and encode each piece by itself. Pieces of the word tokenizer
-never span white space, so a chunk between white space always has the same ids. The byte tokenizer puts a single space
-before a word into the word's piece; runs of white space of other kinds are encoded with the whole text.
-Chunks and pieces are remembered, each in two generations, so that what recurs stays and memory is bounded; a new piece goes
-to the tokenizer's own model. Chunks with control characters or any past Latin Extended-A go to the tokenizer as they are.
-Special tokens' strings in a text are ordinary text.
+"""Exact token ids of whole texts, with the chunks that recur looked up instead of encoded again.
+
+Both tokenizers here cut a text into pieces by a pattern and encode each piece by itself. A batch of texts is cut into chunks where a
+piece begins for certain: before white space (a single space goes into the byte tokenizer's piece, and means nothing to the word
+tokenizer), after a newline, and between ASCII letters, digits and other signs, which no piece mixes unless it has an apostrophe.
+The batch's different chunks are found by Arrow's dictionary encoding and looked up among those remembered, which are Arrow arrays, the
+last used first, so that memory is bounded; a new chunk is cut by the pattern and goes to the tokenizer's own model.
+Chunks with control characters or any past Latin Extended-A go to the tokenizer as they are, and so do whole texts for the byte
+tokenizer where they have runs of white space of other kinds. Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -19,20 +20,29 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 from .common import kept_by_worker
 
-#: Pieces that a generation remembers, each up to LONGEST characters.
-REMEMBERED = 100_000
+#: Chunks remembered, each of up to LONGEST bytes, and pieces of those that hold several in a generation.
+REMEMBERED = 400_000
 LONGEST = 48
+PIECES = 50_000
+#: Chunks that are looked up at once.
+AT_ONCE = 1 << 20
 #: The pieces of the two tokenizers: fixed values, given by their files.
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Marks after a word.
-MARKS = ".,;:!?)]}|\""
+#: Kinds of bytes by which texts are cut: ASCII letters, digits, signs without the apostrophe, space, newline; 0 for all others.
+LETTER, DIGIT, SIGN, SPACE, NEWLINE = range(1, 6)
+KINDS = bytes(0 if not 32 <= b < 127 or b == 39 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256))
+KINDS = KINDS[:10] + bytes([NEWLINE]) + KINDS[11:32] + bytes([SPACE]) + KINDS[33:]
+#: Small letters and spaces for capitals and white space.
+LOWERED = bytes(range(256)).lower().translate(bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256)))
 #: White space other than space and newline, as single bytes and as first bytes in UTF-8; runs of three of those two.
 OTHER_SPACES = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 WIDE_SPACES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80"]
@@ -65,7 +75,7 @@ class Remembered(dict):
             ids = self.make(key)
             if len(key) > LONGEST:
                 return ids
-        if len(self) >= REMEMBERED:
+        if len(self) >= PIECES:
             self.old = dict(self)
             self.clear()
         self[key] = ids
@@ -73,11 +83,10 @@ class Remembered(dict):
 
 
 class Encoder:
-    """Chunks of bytes -> ids. ``spaced`` chunks have a space before them that belongs to them."""
+    """Texts -> ids."""
 
     def __init__(self, spec: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -85,10 +94,15 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.begin(pieces)
+
+    def begin(self, pieces: str) -> None:
+        import regex
+
         self.cut, self.table = regex.compile(pieces).findall, byte_characters()
         self.unusual = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u017f]").search
         self.piece = Remembered(self.of_piece)
-        self.plain, self.spaced = Remembered(self.of_plain), Remembered(self.of_spaced)
+        self.chunks = self.ids = pa.array([], pa.large_binary())
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -98,27 +112,60 @@ class Encoder:
             piece = piece.encode().decode("latin-1").translate(self.table)
         return array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def of_plain(self, chunk: bytes) -> bytes:
-        return self.of_chunk(chunk, "", self.plain)
-
-    def of_spaced(self, chunk: bytes) -> bytes:
-        """Ids of a chunk with its space."""
-        return self.of_chunk(chunk, " ", self.spaced)
-
-    def of_chunk(self, chunk: bytes, before: str, known: Remembered) -> bytes:
-        """A word of letters is one piece and marks after it are another, as no contraction begins with them; the pattern cuts the rest."""
+    def of_chunk(self, chunk: bytes) -> bytes:
+        """A word of letters is one piece, with the space before it; the pattern cuts the rest."""
         text = chunk.decode("utf-8", "replace")
         if self.unusual(text):
-            return self.whole(before + text)
+            return self.whole(text)
         if self.normalizer is not None:  # up to Latin Extended-A, and without marks that combine, it only lowers case
-            text = text.lower()
-        if text.isalpha():
-            return self.of_piece(before + text)
-        word = text.rstrip(MARKS)
-        if word is not text and word.isalpha():
-            return known[word.encode()] + self.piece[text[len(word) :]]
-        pieces = self.cut(before + text)
-        return self.piece[pieces[0]] if len(pieces) == 1 else b"".join(map(self.piece.__getitem__, pieces))
+            text = text.lower().lstrip(" ")
+        if text.removeprefix(" ").isalpha():
+            return self.of_piece(text)
+        return b"".join(map(self.piece.__getitem__, self.cut(text)))
+
+    def of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each chunk. What is remembered afterwards are these chunks and then those before, as many as there is room for."""
+        coded = chunks.dictionary_encode()
+        new, old = coded.dictionary, len(self.chunks)
+        at = pc.index_in(new, value_set=self.chunks).fill_null(-1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(at < 0)
+        made = pa.array(map(self.of_chunk, new.take(pa.array(unknown)).to_pylist()), pa.large_binary())
+        at[unknown] = old + np.arange(len(unknown))
+        ids = pa.concat_arrays([self.ids, made]).take(pa.array(at))
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        unused = np.ones(old, bool)
+        unused[at[at < old]] = False
+        self.chunks, self.ids = (pa.concat_arrays([x.filter(short), before.filter(pa.array(unused))])[:REMEMBERED] for x, before in ((new, self.chunks), (ids, self.ids)))
+        return ids.take(coded.indices)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each whole text, as little-endian 16-bit bytes."""
+        whole = {i: self.whole(t.decode("utf-8", "replace")) for i, t in enumerate(texts) if self.odd(t)}
+        data = b"".join([b"" if i in whole else self.prepared(t) for i, t in enumerate(texts)])
+        bounds = np.cumsum([0, *(0 if i in whole else len(t) for i, t in enumerate(texts))])
+        kinds = np.frombuffer(data.translate(KINDS), np.uint8)
+        here, last = kinds[1:], kinds[:-1]
+        begins = np.ones(len(data), bool)
+        begins[1:] = (here >= SPACE) | (last == NEWLINE) | ((here != last) & (here > 0) & (last > 0) & (last < SPACE))
+        begins[bounds[bounds < len(data)]] = True
+        starts = np.append(np.flatnonzero(begins), len(data))
+        del kinds, here, last, begins
+        flat, lengths = [], [np.zeros(1, np.int64)]
+        for i in range(0, len(starts) - 1, AT_ONCE):
+            part = starts[i : i + AT_ONCE + 1]
+            found = self.of_chunks(pa.Array.from_buffers(pa.large_binary(), len(part) - 1, [None, pa.py_buffer(part), pa.py_buffer(data)]))
+            flat.append(joined(found))
+            lengths.append(pc.binary_length(found).to_numpy())
+        ids, ends = b"".join(flat), np.cumsum(np.concatenate(lengths))
+        edges = ends[np.searchsorted(starts, bounds)].tolist()
+        return [whole[i] if i in whole else ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
+
+
+def joined(values: pa.Array) -> memoryview:
+    """The bytes of all values, one after the other."""
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1]
+    return memoryview(data or b"")[ends[0] : ends[-1]]
 
 
 class WordEncoder(Encoder):
@@ -127,8 +174,11 @@ class WordEncoder(Encoder):
     def __init__(self, spec: str):
         super().__init__(spec, WORD_PIECES)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        return [b"".join(map(self.plain.__getitem__, text.lower().split())) for text in texts]
+    def odd(self, text: bytes) -> bool:
+        return False
+
+    def prepared(self, text: bytes) -> bytes:
+        return text.translate(LOWERED)
 
 
 class ByteEncoder(Encoder):
@@ -136,17 +186,12 @@ class ByteEncoder(Encoder):
 
     def __init__(self, spec: str):
         super().__init__(spec, BYTE_PIECES)
-        self.newline = self.whole("\n")
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        first, later, out = self.plain.__getitem__, self.spaced.__getitem__, []
-        for text in texts:
-            if odd_space(text):
-                out.append(self.whole(text.decode("utf-8", "replace")))
-            else:
-                lines = (x.split(b" ") for x in text.split(b"\n"))
-                out.append(self.newline.join([first(x[0]) + b"".join(map(later, x[1:])) for x in lines]))
-        return out
+    def odd(self, text: bytes) -> bool:
+        return odd_space(text)
+
+    def prepared(self, text: bytes) -> bytes:
+        return text
 
 
 def odd_space(text: bytes) -> bool:
